@@ -28,6 +28,8 @@ END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x2545F4914F6CDD1D)
 #: One training document in DELETED gives held-out counts.
 DELETED = 8
 BUCKETS = 64
+#: Entries that are worked on at once.
+TOKENS = 1 << 18
 ROW = "block long, bucket long, n long, hash binary, train binary, deleted binary"
 REPLY = "block long, bucket long, train binary, deleted binary, n long, types long"
 ASK = {"block": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "hash": pa.binary(), "train": pa.binary(), "deleted": pa.binary()}
@@ -61,7 +63,13 @@ def _grams(table: pa.Table, order: int):
 
 
 def _parts(gram: np.ndarray, k: int, buckets: int):
-    """Distinct n-grams in order of hash, the place of each token among them, and each bucket's slice."""
+    """Distinct n-grams in order of hash, the place of each token among them, and each bucket's slice.
+
+    Above order 1, a hash keeps 41 bits within its bucket: with a million n-grams
+    there, one in two million shares its count with another.
+    """
+    if k:
+        gram = gram & ~np.uint64((1 << max(0, 23 - (buckets - 1).bit_length())) - 1)
     own, place = np.unique(gram, return_inverse=True)
     cuts = np.searchsorted(shared.bucket_of(own, buckets), np.arange(buckets + 1))
     return own, place, [(k * buckets + b, int(cuts[b]), int(cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts)).tolist()]
@@ -153,9 +161,11 @@ def _mix(orders, weights: np.ndarray, types: int):
 
 
 def _lists(batch: pa.RecordBatch, names: list[str]):
+    """Runs of a batch's rows of about ``TOKENS`` list entries: first and last row, the lists' values, their bounds."""
     columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-    at = columns[0].offsets.to_numpy()
-    return [c.values.to_numpy()[at[0] : at[-1]] for c in columns], (at - at[0]).astype(np.int64)
+    at = columns[0].offsets.to_numpy().astype(np.int64)
+    for lo, hi in words.slices(at, TOKENS):
+        yield lo, hi, [c.values.to_numpy()[c.offsets[lo].as_py() : c.offsets[hi].as_py()] for c in columns], at[lo : hi + 1] - at[lo]
 
 
 def _expect(weights: np.ndarray, types: int, tokens: int, docs: int):
@@ -165,21 +175,19 @@ def _expect(weights: np.ndarray, types: int, tokens: int, docs: int):
         total = np.zeros((order, BUCKETS, 2))
         like, n = 0.0, 0
         for batch in batches:
-            counts, at = _lists(batch, [f"kept{k + 1}" for k in range(order)])
-            if not len(counts[0]):
-                continue
-            orders = _orders(counts, at, tokens, docs)
-            p, below = _mix(orders, weights, types)
-            like, n = like + float(np.log(p).sum()), n + len(p)
-            reach = np.ones(len(p))
-            for k in range(order - 1, -1, -1):
-                share, bucket = orders[k]
-                here = weights[k][bucket] * share * (bucket > 0)
-                level = here + (1 - np.where(bucket > 0, weights[k][bucket], 0.0)) * below[k]
-                stop = reach * here / level
-                total[k, :, 0] += np.bincount(bucket, weights=stop, minlength=BUCKETS)
-                total[k, :, 1] += np.bincount(bucket, weights=reach, minlength=BUCKETS)
-                reach = reach - stop
+            for _, _, counts, at in _lists(batch, [f"kept{k + 1}" for k in range(order)]):
+                orders = _orders(counts, at, tokens, docs)
+                p, below = _mix(orders, weights, types)
+                like, n = like + float(np.log(p).sum()), n + len(p)
+                reach = np.ones(len(p))
+                for k in range(order - 1, -1, -1):
+                    share, bucket = orders[k]
+                    weight = np.where(bucket > 0, weights[k][bucket], 0.0)
+                    here = weight * share
+                    stop = reach * here / (here + (1 - weight) * below[k])
+                    total[k, :, 0] += np.bincount(bucket, weights=stop, minlength=BUCKETS)
+                    total[k, :, 1] += np.bincount(bucket, weights=reach, minlength=BUCKETS)
+                    reach = reach - stop
         at = np.argwhere(total[:, :, 1] > 0)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at[:, 0], -1)), pa.array(np.append(at[:, 1], 0)), pa.array(np.append(total[at[:, 0], at[:, 1], 0], like)), pa.array(np.append(total[at[:, 0], at[:, 1], 1], float(n)))], names=["k", "bucket", "stop", "reach"])
 
@@ -191,16 +199,13 @@ def _score(extra: list[str], weights: np.ndarray, types: int, tokens: int, docs:
 
     def score(batches):
         for batch in batches:
-            counts, at = _lists(batch, [f"all{k + 1}" for k in range(order)])
-            if not batch.num_rows:
-                continue
-            p, _ = _mix(_orders(counts, at, tokens, docs), weights, types)
-            first = at[:-1]
-            base = np.add.reduceat(np.log10((counts[0] + 1) / (tokens + types + 1)), first)
-            known = np.add.reduceat((counts[0] > 0).astype(np.int64), first)
-            size = np.diff(at)
-            made = [pa.array(size), pa.array(known), pa.array(np.full(len(size), tokens, np.int64)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), first))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in [*extra, "held_out"]), *made], names=[*extra, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            for lo, hi, counts, at in _lists(batch, [f"all{k + 1}" for k in range(order)]):
+                p, _ = _mix(_orders(counts, at, tokens, docs), weights, types)
+                first = at[:-1]
+                base = np.add.reduceat(np.log10((counts[0] + 1) / (tokens + types + 1)), first)
+                known = np.add.reduceat((counts[0] > 0).astype(np.int64), first)
+                made = [pa.array(np.diff(at)), pa.array(known), pa.array(np.full(hi - lo, tokens, np.int64)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), first))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c))[lo:hi] for c in [*extra, "held_out"]), *made], names=[*extra, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return score
 
