@@ -4,15 +4,17 @@ Rows with equal shingle sets form one class; only classes meet in bands, so any
 number of copies is one row there. Within a bucket not all pairs are compared,
 yet no link that matters is lost:
 
-1. every class is compared with the bucket's first one, and verified links give
-   components;
-2. in buckets that still hold several components, every class is compared with
-   the first class of each other component;
-3. what is left are pairs of different components. Jaccard distance is a metric,
-   so a pair whose distances to the bucket's first class differ by more than the
-   limit is no link; the rest are verified.
-
-A pair inside a component needs no comparison: its link would change nothing.
+1. Every class is compared with the bucket's centre, its member with the largest
+   buckets; verified links give components. A pair inside a component needs no
+   comparison: its link would change nothing.
+2. Buckets that still hold several components are searched for pairs of different
+   ones. With D(x) the symmetric difference of x and a centre, s(x) its size and
+   u(x) how many of its shingles no other class compared with that centre has,
+   the difference of x and y is that of D(x) and D(y), at least
+   s(x) - (s(y) - 2 u(y)). A link allows (|x| + |y|) (1 - t) / (1 + t) of it, and
+   if both are linked to the centre they are in one component. What the bound
+   leaves is verified. Each class is judged against its nearest centre, pairs of
+   different nearest centres against the bucket's.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,31 +76,81 @@ def _sets(n: int):
 def _compare(percent: int):
     def compare(batches):
         for batch in batches:
-            link, distance = [], []
+            link, far, size, delta = [], [], [[], []], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                either = len(p) + len(q) - both
-                link.append(100 * both >= percent * either)
-                distance.append(1 - both / either)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_()), pa.array(distance, pa.float64())], names=["a", "b", "link", "distance"])
+                link.append(100 * both >= percent * (len(p) + len(q) - both))
+                far.append(len(p) + len(q) - 2 * both)
+                size[0].append(len(p))
+                size[1].append(len(q))
+                delta.append(words.signed(np.setxor1d(p, q, assume_unique=True)) if both > far[-1] / 2 else np.zeros(0, np.int64))
+            at = np.concatenate(([0], np.cumsum([len(d) for d in delta]))).astype(np.int64)
+            lists = words.list_column(np.concatenate(delta) if delta else np.zeros(0, np.int64), at)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_()), pa.array(far, pa.int64()), *(pa.array(n, pa.int64()) for n in size), lists], names=["a", "b", "link", "far", "n_a", "n_b", "delta"])
 
     return compare
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``(a, b, link, distance)`` of pairs of classes, from the full sets of their first documents' texts."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    match = docs["mark"].eqNullSafe(ends["mark"]) & docs["doc_id"].eqNullSafe(ends["doc_id"])
-    texts = docs.join(ends, match).select("node", "key", "text")
-    sets = texts.mapInArrow(_sets(n), "node long, shingles binary")
+def class_sets(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``(node, shingles)``: the full set of each class, from the text of its first document."""
+    match = docs["mark"].eqNullSafe(nodes["mark"]) & docs["doc_id"].eqNullSafe(nodes["doc_id"])
+    return docs.join(nodes, match).select("node", "key", "text").dropDuplicates(["node"]).mapInArrow(_sets(n), "node long, shingles binary")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, link``, the size ``far`` of the symmetric difference, both sizes, and the difference (empty for distant pairs)."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long, link boolean, distance double").distinct()
+    kind = "a long, b long, link boolean, far long, n_a long, n_b long, delta array<long>"
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(percent), kind)
+
+
+def open_pairs(members: DataFrame, rooted: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of members of a bucket, in different components, that the bound leaves.
+
+    ``members`` has bucket, centre, node; ``tested`` what ``verify`` said of (centre, node).
+    """
+    own = members.where("node <> centre").join(rooted, "node", "left").select("bucket", "centre", "node", F.coalesce("root", "node").alias("root"))
+    open_ = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    own = own.join(open_, "bucket")
+    alone = tested.select("a", "b", F.explode("delta").alias("shingle")).groupBy("a", "shingle").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").groupBy("a", "b").agg(F.count("*").alias("u"))
+    stats = tested.join(alone, ["a", "b"], "left").select(F.col("a").alias("centre"), F.col("b").alias("node"), F.struct(F.col("far").alias("s"), (F.col("far") - 2 * F.coalesce("u", F.lit(0))).alias("g"), F.col("n_b").alias("n"), F.col("n_a").alias("m")).alias("at"))
+    stats = written(stats, "distances")
+    best = stats.groupBy("node").agg(F.min(F.struct("at.s", "centre", "at")).alias("best")).select("node", F.col("best.centre").alias("home"), F.col("best.at").alias("home_at"))
+    own = written(own.join(stats, ["centre", "node"]).join(best, "node"), "open")
+    share = F.lit((100 - percent) / (100 + percent) * (1 + 1e-12))
+
+    def possible(p: str, q: str) -> Column:
+        allowed = (F.col(f"{p}.n") + F.col(f"{q}.n")) * share
+        return (F.col(f"{p}.s") - F.col(f"{q}.g") <= allowed) & (F.col(f"{q}.s") - F.col(f"{p}.g") <= allowed)
+
+    h = F.col("home_at")
+    right = own.where(h["g"] > (h["m"] - h["n"]) * share).select("bucket", "home", F.col("node").alias("node_"), F.col("root").alias("root_"), h.alias("at_"))
+    most = right.groupBy("bucket", "home").agg(F.max(F.col("at_.g") + F.col("at_.n") * share).alias("most"))
+    left = own.where(h["s"] > (h["n"] + h["m"]) * share).join(most, ["bucket", "home"]).where(h["s"] - h["n"] * share <= F.col("most"))
+    same = left.join(right, ["bucket", "home"]).where("node <> node_ and root <> root_").where(possible("home_at", "at_"))
+    strange = own.where("home <> centre")
+    every = own.select("bucket", F.col("home").alias("home_"), F.col("node").alias("node_"), F.col("root").alias("root_"), F.col("at").alias("at_"))
+    cross = strange.join(every, "bucket").where("home <> home_ and root <> root_").where(possible("at", "at_"))
+    both = same.select("node", "node_").unionByName(cross.select("node", "node_"))
+    return both.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``rid``, a number for each row that stays the same while the input files and their split do."""
+    return docs.drop("rid").withColumn("rid", F.monotonically_increasing_id())
+
+
+def representatives(groups: DataFrame) -> DataFrame:
+    """``rid`` of one row of each group of ``near_duplicates``: the smallest doc_id (null last), then the smallest rid. Rows with an empty set are all their own."""
+    alone = groups.where("root is null").select("rid")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    return groups.where("root is not null").groupBy("root").agg(first).select("first.rid").unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs`` (``doc_id``, ``text``): doc_id, n_shingles, component_id, kept, rid.
+    """Per row of ``docs`` (``doc_id``, ``text``, and ``rid`` if it is numbered): doc_id, n_shingles, component_id, kept, rid, root.
 
     Texts are lower-cased A-Z; a set holds the distinct ``n``-word shingles, or
     the whole text where it has fewer words. Rows link when 100 * intersection
@@ -109,42 +161,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     reach no doc_id at all, when component_id is null and kept true. Other
     columns are ignored.
     """
-    source = docs.select("doc_id", "text").withColumn("mark", F.xxhash64("text"))
+    own = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id()
+    numbered_ = docs.select(own.cast("long").alias("rid"), "doc_id", "text").withColumn("mark", F.xxhash64("text"))
+    source = numbered_.drop("rid")
     kind = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string("mark long, n_shingles long, key binary, bands array<long>")])
-    signed = written(source.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "mark", "text").mapInArrow(_sign(n), kind), "signatures")
+    signed = written(numbered_.select("rid", "doc_id", "mark", "text").mapInArrow(_sign(n), kind), "signatures")
     first = F.min(F.struct("rid", "doc_id", "mark"))
     nodes = written(signed.where("key is not null").groupBy("key").agg(first.alias("f"), F.min("doc_id").alias("least_id")).select(F.col("f.rid").alias("node"), "f.doc_id", "f.mark", "key", "least_id"), "classes")
     named = signed.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), F.explode("bands").alias("bucket"))
-    shared = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").select("bucket", "centre")
+    shared = named.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(named.join(shared, "bucket"), "members")
+    rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
+    centres = members.join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("node")).alias("last"))).alias("c")).select("bucket", (-F.col("c.last")).alias("centre"))
+    members = written(members.join(centres, "bucket").select("bucket", "node", "centre"), "members")
 
-    ends = nodes.select("node", "doc_id", "mark", "key")
+    sets = written(class_sets(nodes.select("node", "doc_id", "mark", "key").join(rank, "node", "left_semi"), source, n), "sets")
     star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tested = written(verify(written(star, "pairs"), ends, source, n, percent), "verified")
+    tested = written(verify(star, sets, percent), "verified")
     found = tested.where("link").select("a", "b")
     rooted = graph.components(found, "a", "b")
-
-    own = members.join(rooted, "node", "left").select("bucket", "centre", "node", F.coalesce("root", "node").alias("root"))
-    open_ = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    own = written(own.join(open_, "bucket"), "open")
-    heads = own.groupBy("bucket", "root").agg(F.min("node").alias("head")).select("bucket", F.col("root").alias("other"), "head")
-    second = own.join(heads, "bucket").where("root <> other and head <> centre and node <> centre").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    second = written(second.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        more = written(verify(second, ends, source, n, percent), "verified")
-        found = found.unionByName(more.where("link").select("a", "b"))
-        rooted = graph.components(found, "a", "b")
-        tested = tested.unionByName(more)
-        away = tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), "distance")
-        own = own.drop("root").join(rooted, "node", "left").join(away, ["centre", "node"], "left")
-        own = own.select("bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-        left, right = own, own.select("bucket", F.col("node").alias("node_"), F.col("root").alias("root_"), F.col("distance").alias("distance_"))
-        near = F.abs(F.col("distance") - F.col("distance_")) <= F.lit(1 - percent / 100 + 1e-9)
-        third = left.join(right, "bucket").where("node < node_ and root <> root_").where(near).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
-        third = written(third.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if not third.isEmpty():
-            last = written(verify(third, ends, source, n, percent), "verified")
-            rooted = graph.components(found.unionByName(last.where("link").select("a", "b")), "a", "b")
+    rest = written(open_pairs(members, rooted, tested, percent), "pairs")
+    if not rest.isEmpty():
+        more = verify(rest, sets, percent).where("link").select("a", "b")
+        rooted = graph.components(found.unionByName(more), "a", "b")
 
     home = nodes.select("key", "node", "least_id").join(rooted, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "least_id")
     named = home.groupBy("root").agg(F.min("least_id").alias("component_id"))
