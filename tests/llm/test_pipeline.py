@@ -1,0 +1,38 @@
+"""The five stages on the smallest table."""
+
+import re
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+SF = "/root/testdata/sf0.001"
+HEX = re.compile("[0-9a-f]{16,}")
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(900001, None, None, "s", 0), (900002, "1234 !!", "en", "s", 7), (900003, "", None, None, 0), (None, "the thing and the other thing was in the end", "en", None, None)], docs.schema)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    leak = spark.createDataFrame([(900004, f"Onthe the thing {item} and more of the same", "en", "s", 1), (900005, "the thing and password=0123456789abcdef0123 of the end", "en", "s", 54)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(leak).withColumn("score", F.lit(7))
+    kept = docs
+    sizes = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{tmp_path}/{name}"
+        stage(spark, kept, SF).write.parquet(path)
+        kept = spark.read.parquet(path)
+        assert kept.columns == docs.columns
+        sizes[name] = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not {900001, 900002, 900003} & sizes["language_id"] and None in sizes["language_id"]
+    assert 900004 in sizes["near_dedup"] and 900004 not in sizes["decontaminate"]
+    assert sizes["secret_scan"] == sizes["decontaminate"]
+    clean = {r.doc_id: r for r in kept.collect()}
+    assert "[secret]" in clean[900005].text and clean[900005].n_chars == len(clean[900005].text)
+    assert not any(HEX.search(r.text) for r in clean.values())
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == sizes["secret_scan"]
+
+
+def test_run(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 100
