@@ -5,8 +5,9 @@ number of copies is one row there. Within a bucket not all pairs are compared,
 yet no link that matters is lost:
 
 1. Every class is compared with the bucket's centre, its member with the largest
-   buckets; verified links give components. A pair inside a component needs no
-   comparison: its link would change nothing.
+   buckets, and then with the one of these classes that has the most of what
+   the majority has; verified links give components. A pair inside a component
+   needs no comparison: its link would change nothing.
 2. Buckets that still hold several components are searched for pairs of different
    ones. With D(x) the symmetric difference of x and a centre, s(x) its size and
    u(x) how many of its shingles no other class compared with that centre has,
@@ -106,8 +107,21 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(percent), kind)
 
 
+def recentred(tested: DataFrame) -> DataFrame:
+    """``(a, b)`` not yet tested: the classes near a centre with a better one, the class that differs least from their majority."""
+    near = tested.where(F.size("delta") > 0)
+    each = near.select("a", "b", F.explode("delta").alias("shingle"))
+    sizes = near.groupBy("a").agg(F.count("*").alias("n"))
+    common = each.groupBy("a", "shingle").agg(F.count("*").alias("times")).join(sizes, "a").where("2 * times > n").select("a", "shingle")
+    hits = each.join(common, ["a", "shingle"]).groupBy("a", "b").agg(F.count("*").alias("hits"))
+    score = near.join(hits, ["a", "b"]).select("a", "b", (F.col("far") - 2 * F.col("hits")).alias("score")).where("score < 0")
+    best = score.groupBy("a").agg(F.min(F.struct("score", "b")).alias("best")).select("a", F.col("best.b").alias("centre"))
+    pairs = near.join(best, "a").where("b <> centre").select(F.col("centre").alias("a"), "b").distinct()
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def open_pairs(members: DataFrame, rooted: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: pairs of members of a bucket, in different components, that the bound leaves.
+    """``(a, b)``: pairs of members of a bucket or of one nearest centre, in different components, that the bound leaves.
 
     ``members`` has bucket, centre, node; ``tested`` what ``verify`` said of (centre, node).
     """
@@ -126,10 +140,11 @@ def open_pairs(members: DataFrame, rooted: DataFrame, tested: DataFrame, percent
         return (F.col(f"{p}.s") - F.col(f"{q}.g") <= allowed) & (F.col(f"{q}.s") - F.col(f"{p}.g") <= allowed)
 
     h = F.col("home_at")
-    right = own.where(h["g"] > (h["m"] - h["n"]) * share).select("bucket", "home", F.col("node").alias("node_"), F.col("root").alias("root_"), h.alias("at_"))
-    most = right.groupBy("bucket", "home").agg(F.max(F.col("at_.g") + F.col("at_.n") * share).alias("most"))
-    left = own.where(h["s"] > (h["n"] + h["m"]) * share).join(most, ["bucket", "home"]).where(h["s"] - h["n"] * share <= F.col("most"))
-    same = left.join(right, ["bucket", "home"]).where("node <> node_ and root <> root_").where(possible("home_at", "at_"))
+    once = own.select("home", "node", "root", "home_at").distinct()
+    right = once.where(h["g"] > (h["m"] - h["n"]) * share).select("home", F.col("node").alias("node_"), F.col("root").alias("root_"), h.alias("at_"))
+    most = right.groupBy("home").agg(F.max(F.col("at_.g") + F.col("at_.n") * share).alias("most"))
+    left = once.where(h["s"] > (h["n"] + h["m"]) * share).join(most, "home").where(h["s"] - h["n"] * share <= F.col("most"))
+    same = left.join(right, "home").where("node <> node_ and root <> root_").where(possible("home_at", "at_"))
     strange = own.where("home <> centre")
     every = own.select("bucket", F.col("home").alias("home_"), F.col("node").alias("node_"), F.col("root").alias("root_"), F.col("at").alias("at_"))
     cross = strange.join(every, "bucket").where("home <> home_ and root <> root_").where(possible("at", "at_"))
@@ -178,6 +193,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sets = written(class_sets(nodes.select("node", "doc_id", "mark", "key").join(rank, "node", "left_semi"), source, n), "sets")
     star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     tested = written(verify(star, sets, percent), "verified")
+    tested = tested.unionByName(written(verify(recentred(tested), sets, percent), "verified"))
     found = tested.where("link").select("a", "b")
     rooted = graph.components(found, "a", "b")
     rest = written(open_pairs(members, rooted, tested, percent), "pairs")
