@@ -4,7 +4,7 @@ Features of a word: byte bigrams and trigrams (with the white space around the
 word, averaged), prefixes and suffixes of two and three bytes, and the word
 itself (the lexicon), each hashed into a table of its own. Transition weights
 are learned with them. Training lays segments of differently labelled documents
-end to end, so the chain sees switches of language; each round, every partition
+end to end, so the chain sees switches of language; each round, every share
 of the sample runs one epoch of AdaGrad and the weights are averaged.
 
 Labelling runs forward-backward over whole documents. The chain is cut into
@@ -136,12 +136,9 @@ def _gradient(energy: np.ndarray, moves: np.ndarray, label: np.ndarray):
 
 
 def _epoch(weights: np.ndarray, moves: np.ndarray, langs: list[str], turn: int, rate: float = 0.5, batch: int = 128):
-    """One pass of AdaGrad over a partition of the sample; gives its weights and the words it used."""
+    """One pass of AdaGrad over a share of the sample; gives its weights and the words it used."""
 
-    def train(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
-            return
+    def train(table):
         w_, m_ = weights.copy(), moves.copy()
         sum_w, sum_m = np.full(w_.shape, 1e-2, np.float32), np.full(m_.shape, 1e-2)
         rng = np.random.default_rng(turn)
@@ -174,7 +171,7 @@ def _epoch(weights: np.ndarray, moves: np.ndarray, langs: list[str], turn: int,
             by_move = by_move / take.shape[1]
             sum_m += by_move * by_move
             m_ += 0.1 * by_move / np.sqrt(sum_m)
-        yield pa.RecordBatch.from_arrays([pa.array([w_.astype(np.float32).tobytes()], pa.binary()), pa.array([m_.astype(np.float64).tobytes()], pa.binary()), pa.array([float(len(order))])], names=["weights", "moves", "n"])
+        return pa.Table.from_arrays([pa.array([w_.astype(np.float32).tobytes()], pa.binary()), pa.array([m_.astype(np.float64).tobytes()], pa.binary()), pa.array([float(len(order))])], names=["weights", "moves", "n"])
 
     return train
 
@@ -203,12 +200,12 @@ class Model:
         return share / np.maximum(share.sum(axis=1, keepdims=True), 1e-12)
 
 
-def fit(labelled: DataFrame, per_language: int = 300, rounds: int = 3, partitions: int = 4) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = 300, rounds: int = 3, shares: int = 4) -> Model | None:
     """Trains on ``(text, lang)`` rows with neither null; None if there are none.
 
     About ``per_language`` whole documents of each language are used, chosen by a
     hash of the text: a sample of bounded expected size. Weights are averaged on
-    the driver: ``partitions`` tables of fixed size a round.
+    the driver: ``shares`` tables of fixed size a round.
     """
     rows = labelled.select("text", "lang", F.xxhash64("text").alias("mark")).where("text is not null and lang is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -218,10 +215,10 @@ def fit(labelled: DataFrame, per_language: int = 300, rounds: int = 3, partition
     keep = F.lit(False)
     for lang in langs:
         keep = keep | ((F.col("lang") == lang) & (F.pmod("mark", F.lit(1_000_000)) <= int(1e6 * per_language / counts[lang])))
-    sample = written(rows.where(keep).repartition(partitions, "mark"), "sample").repartition(partitions, "mark")
+    sample = written(rows.where(keep), "sample").withColumn("share", F.pmod("mark", F.lit(shares)))
     weights, moves = np.zeros((KINDS * SIZE, len(langs)), np.float32), np.zeros((len(langs), len(langs)))
     for turn in range(rounds):
-        got = sample.mapInArrow(_epoch(weights, moves, langs, turn), "weights binary, moves binary, n double").collect()
+        got = sample.groupBy("share").applyInArrow(_epoch(weights, moves, langs, turn), "weights binary, moves binary, n double").collect()
         total = sum(r.n for r in got)
         if total:
             weights = sum(np.frombuffer(r.weights, np.float32) * np.float32(r.n / total) for r in got).reshape(weights.shape)
