@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop_written, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -54,10 +54,12 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     roots = nodes.join(known, ["tree", "node"], "left_anti").select("tree", "node")
     most, reach = nodes.count(), 1
     while reach <= most and not jump.isEmpty():
+        before = paths, jump
         more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
         paths = written(paths.unionByName(more), "paths")
         further = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
         jump = written(jump.join(further, ["tree", "above"]).select("tree", "node", F.col("top").alias("above")), "jumps")
+        drop_written(*before)
         reach *= 2
     complete = paths.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct()
     return paths.join(complete, ["tree", "leaf"], "left_semi")

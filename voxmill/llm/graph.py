@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop_written, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,4 +38,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         again = now.groupBy("u").count().where("count > 1").select("u")
         if now.join(now.select(F.col("u").alias("v")), "v", "left_semi").select("u").unionByName(again).isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        now = written(_small_star(_large_star(now)), "links")
+        before, now = now, written(_small_star(_large_star(now)), "links")
+        drop_written(before)

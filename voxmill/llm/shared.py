@@ -39,15 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table made by ``written`` that no later step reads."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["written_to"] = path
+    return table
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that no later step reads."""
+    for df in tables:
+        if path := df.__dict__.get("written_to"):
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
