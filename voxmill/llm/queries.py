@@ -103,3 +103,41 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Words of documents and of items for the DuckDB twins: A-Z lowered, white space as in ``words``.
+LOWERED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def shingle_sql(n: int) -> str:
+    return f"CASE WHEN len(t) >= {n} THEN list_distinct(list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n - 1}], ' '))) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END"
+
+
+ORACLES["op2_circulant_minhash"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {shingle_sql(4)} AS s FROM (SELECT doc_id, {LOWERED} AS t FROM documents)),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM d),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS reach FROM d UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.reach)
+SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM d JOIN (SELECT doc_id, min(reach) AS c FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
+
+ORACLES["op5_substring_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(t) - 33)) AS p, unnest(list_transform(range(1, len(t) - 33), lambda i: md5(array_to_string(t[i:i + 34], ' ')))) AS h FROM t WHERE len(t) >= 35),
+x AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+o AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS p, unnest(t) AS word FROM t),
+c AS (SELECT o.doc_id, o.p, o.word, max(x.p) OVER (PARTITION BY o.doc_id ORDER BY o.p) AS latest FROM o LEFT JOIN x ON x.doc_id = o.doc_id AND x.p = o.p),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM c WHERE latest IS NULL OR latest < p - 34 GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(t) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON k.doc_id = t.doc_id
+"""
+
+ORACLES["op9_containment_search"] = f"""
+WITH d AS (SELECT DISTINCT doc_id, unnest({shingle_sql(5)}) AS g FROM (SELECT doc_id, {LOWERED} AS t FROM documents)),
+i AS (SELECT item_id, {shingle_sql(5)} AS s FROM (SELECT min(item_id) AS item_id, {LOWERED} AS t FROM benchmark WHERE text IS NOT NULL GROUP BY text)),
+q AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM i)
+SELECT d.doc_id, q.item_id, CAST(q.n AS BIGINT) AS n_shingles, count(*) AS n_shared, count(*) / CAST(q.n AS DOUBLE) AS containment
+FROM q JOIN d ON d.g = q.g GROUP BY d.doc_id, q.item_id, q.n HAVING 100 * count(*) >= 80 * q.n
+"""
