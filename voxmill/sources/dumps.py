@@ -226,6 +226,14 @@ def output_steps(spark: SparkSession, path: str, solver: str) -> DataFrame:
     return found.withColumn("timestep", F.expr(f"try_cast(regexp_extract(path, '/{solver}_([0-9]+)[.][^/]*$', 1) as int)")).where("timestep is not null")
 
 
+def file_for_step(outputs: DataFrame, timestep: int) -> str:
+    """The output file of a timestep, of ``path, timestep``: the first of several by name; DumpError if there is none."""
+    found = outputs.where(F.col("timestep") == timestep).agg(F.min("path").alias("path")).first().path
+    if found is None:
+        raise DumpError(f"no output for timestep {timestep}")
+    return found
+
+
 def boxes_to_points(boxes: DataFrame, key: str = "id", flat: bool = False) -> tuple[DataFrame, DataFrame]:
     """Corners (key, corner, x, y, z) and cells (key, points) of axis-parallel boxes.
 

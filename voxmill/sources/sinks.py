@@ -138,6 +138,11 @@ def write_state(state: DataFrame, folder: str) -> None:
     state.select("x", "y", "z", "removed").write.mode("overwrite").csv(folder)
 
 
+def write_volume_fraction(fractions: DataFrame, cells: int, folder: str) -> None:
+    """One number: the filled share of a grid of ``cells`` cells, from node fractions."""
+    fractions.agg((F.coalesce(F.sum("frac"), F.lit(0.0)) / cells).cast("string").alias("value")).write.mode("overwrite").text(folder)
+
+
 def write_phases(state: DataFrame, folder: str) -> None:
     state.select(F.to_json(F.struct("oid", "phase")).alias("value")).write.mode("overwrite").text(folder)
 
