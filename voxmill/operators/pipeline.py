@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.numbering import numbered
 from ..spec import GridSpec
 from . import cubes, flux, lattice, nodes, squares
+from .mesh import ensure_checkpoints
 
 
 @dataclass(frozen=True)
 class Surface:
-    """Lazily built tables of one run; nothing is computed before an action."""
+    """Tables of one run. The elements are checkpointed, the rest is computed on action."""
 
     fractions: DataFrame
     elements: DataFrame
@@ -38,13 +39,15 @@ class SurfaceMapper:
         return lattice.depth(lattice.padded(voxels, self.spec), axes).withColumn("weight", lattice.weight(self.spec))
 
     def elements(self, fractions: DataFrame) -> DataFrame:
+        """Segments or triangles, numbered. Numbering reads its table several times, so the table is checkpointed first."""
         spec = self.spec
+        ensure_checkpoints(fractions.sparkSession)
         if spec.ndims == 2:
             made = squares.attributes(squares.segments(squares.within(squares.cells(fractions, self.level, self.digits), spec), spec, self.level))
-            return numbered(made, ["cj", "ci", "part"], "elem_id")
+            return numbered(made.checkpoint(), ["cj", "ci", "part"], "elem_id").checkpoint()
         made = cubes.attributes(cubes.triangles(cubes.cells(fractions, self.level, self.digits), spec, self.level)).where("area > 0")
         home = {c: spec.cell_of(a, F.col(f"g{'xyz'[a]}")) for a, c in enumerate(spec.cell_axes)}
-        return numbered(made, ["ck", "cj", "ci", "part"], "elem_id").withColumns(home)
+        return numbered(made.checkpoint(), ["ck", "cj", "ci", "part"], "elem_id").withColumns(home).checkpoint()
 
     def run(self, voxels: DataFrame, check: bool = True) -> Surface:
         spec = self.spec
