@@ -179,7 +179,7 @@ def indexed(triangles_: DataFrame) -> tuple[DataFrame, DataFrame]:
     vertices = numbered(corners.select("x", "y", "z").distinct(), ["z", "y", "x"], "vid")
     named = corners.join(vertices, ["x", "y", "z"]).groupBy("ci", "cj", "ck", "part").agg(*(F.max(F.when(F.col("corner") == n, F.col("vid"))).alias(x) for n, x in enumerate("abc")))
     whole = named.where("a <> b and b <> c and a <> c")
-    return vertices, numbered(whole, ["ck", "cj", "ci", "part"], "elem_id").select("elem_id", "a", "b", "c")
+    return vertices.select("vid", "x", "y", "z"), numbered(whole, ["ck", "cj", "ci", "part"], "elem_id").select("elem_id", "a", "b", "c")
 
 
 def vertex_normals(vertices: DataFrame, faces_: DataFrame) -> DataFrame:
