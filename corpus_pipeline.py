@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from voxmill.llm import crf_language, decontaminate, near_dedup, packing, secrets
 from voxmill.llm.shared import written
 
-#: Documents whose likeliest language has less than this share of their words are rejected.
-LEAST_SHARE = 0.4
+#: Documents whose likeliest language has less than this share of their words are rejected; texts that mix languages pass.
+LEAST_SHARE = 0.3
 CAPACITY = 2048
 
 
