@@ -12,10 +12,11 @@ yet no link that matters is lost:
    ones. With D(x) the symmetric difference of x and a centre, s(x) its size and
    u(x) how many of its shingles no other class compared with that centre has,
    the difference of x and y is that of D(x) and D(y), at least
-   s(x) - (s(y) - 2 u(y)). A link allows (|x| + |y|) (1 - t) / (1 + t) of it, and
-   if both are linked to the centre they are in one component. What the bound
-   leaves is verified. Each class is judged against its nearest centre, pairs of
-   different nearest centres against the bucket's.
+   s(x) - (s(y) - 2 u(y)), and at least the bits in which bitmaps of D(x) and
+   D(y) differ. A link allows (|x| + |y|) (1 - t) / (1 + t) of it, and if both are
+   linked to the centre they are in one component. What the bounds leave is
+   verified. Each class is judged against its home, the near centre that most
+   classes were compared with; pairs of different homes against the bucket's.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .shared import written
 
 #: 32 bands of 4 rows miss a pair at 0.8 once in 2e7.
 COORDINATES, ROWS = 128, 4
+#: 64-bit words of the bitmap of a difference.
+WORDS = 8
 
 
 def set_key(shingle: np.ndarray) -> bytes:
@@ -77,7 +80,7 @@ def _sets(n: int):
 def _compare(percent: int):
     def compare(batches):
         for batch in batches:
-            link, far, size, delta = [], [], [[], []], []
+            link, far, size, delta, bitmap = [], [], [[], []], [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
@@ -85,10 +88,15 @@ def _compare(percent: int):
                 far.append(len(p) + len(q) - 2 * both)
                 size[0].append(len(p))
                 size[1].append(len(q))
-                delta.append(words.signed(np.setxor1d(p, q, assume_unique=True)) if both > far[-1] / 2 else np.zeros(0, np.int64))
+                apart = np.setxor1d(p, q, assume_unique=True)
+                bits = np.zeros(64 * WORDS, dtype=bool)
+                bits[(apart >> np.uint64(20)) % np.uint64(64 * WORDS)] = True
+                bitmap.append(np.packbits(bits).view(np.int64))
+                delta.append(words.signed(apart) if both > far[-1] / 2 else np.zeros(0, np.int64))
             at = np.concatenate(([0], np.cumsum([len(d) for d in delta]))).astype(np.int64)
             lists = words.list_column(np.concatenate(delta) if delta else np.zeros(0, np.int64), at)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_()), pa.array(far, pa.int64()), *(pa.array(n, pa.int64()) for n in size), lists], names=["a", "b", "link", "far", "n_a", "n_b", "delta"])
+            maps = words.list_column(np.concatenate(bitmap) if bitmap else np.zeros(0, np.int64), np.arange(len(bitmap) + 1, dtype=np.int64) * WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_()), pa.array(far, pa.int64()), *(pa.array(n, pa.int64()) for n in size), lists, maps], names=["a", "b", "link", "far", "n_a", "n_b", "delta", "bitmap"])
 
     return compare
 
@@ -100,10 +108,10 @@ def class_sets(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, link``, the size ``far`` of the symmetric difference, both sizes, and the difference (empty for distant pairs)."""
+    """``a, b, link``, the size ``far`` of the symmetric difference, both sizes, the difference (empty for distant pairs) and a bitmap of it."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    kind = "a long, b long, link boolean, far long, n_a long, n_b long, delta array<long>"
+    kind = "a long, b long, link boolean, far long, n_a long, n_b long, delta array<long>, bitmap array<long>"
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(percent), kind)
 
 
@@ -129,15 +137,18 @@ def open_pairs(members: DataFrame, rooted: DataFrame, tested: DataFrame, percent
     open_ = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     own = own.join(open_, "bucket")
     alone = tested.select("a", "b", F.explode("delta").alias("shingle")).groupBy("a", "shingle").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").groupBy("a", "b").agg(F.count("*").alias("u"))
-    stats = tested.join(alone, ["a", "b"], "left").select(F.col("a").alias("centre"), F.col("b").alias("node"), F.struct(F.col("far").alias("s"), (F.col("far") - 2 * F.coalesce("u", F.lit(0))).alias("g"), F.col("n_b").alias("n"), F.col("n_a").alias("m")).alias("at"))
+    stats = tested.join(alone, ["a", "b"], "left").select(F.col("a").alias("centre"), F.col("b").alias("node"), F.struct(F.col("far").alias("s"), (F.col("far") - 2 * F.coalesce("u", F.lit(0))).alias("g"), F.col("n_b").alias("n"), F.col("n_a").alias("m"), *(F.col("bitmap")[w].alias(f"w{w}") for w in range(WORDS))).alias("at"))
     stats = written(stats, "distances")
-    best = stats.groupBy("node").agg(F.min(F.struct("at.s", "centre", "at")).alias("best")).select("node", F.col("best.centre").alias("home"), F.col("best.at").alias("home_at"))
+    stars = tested.where(F.size("delta") > 0).groupBy(F.col("a").alias("centre")).agg(F.count("*").alias("star"))
+    near = F.when(F.col("at.s") < (F.col("at.n") + F.col("at.m")) / 3, F.coalesce("star", F.lit(0))).otherwise(0)  # half their union in common
+    best = stats.join(stars, "centre", "left").groupBy("node").agg(F.max(F.struct(near.alias("star"), (-F.col("at.s")).alias("close"), "centre", "at")).alias("best")).select("node", F.col("best.centre").alias("home"), F.col("best.at").alias("home_at"))
     own = written(own.join(stats, ["centre", "node"]).join(best, "node"), "open")
     share = F.lit((100 - percent) / (100 + percent) * (1 + 1e-12))
 
     def possible(p: str, q: str) -> Column:
         allowed = (F.col(f"{p}.n") + F.col(f"{q}.n")) * share
-        return (F.col(f"{p}.s") - F.col(f"{q}.g") <= allowed) & (F.col(f"{q}.s") - F.col(f"{p}.g") <= allowed)
+        apart = sum(F.bit_count(F.col(f"{p}.w{w}").bitwiseXOR(F.col(f"{q}.w{w}"))) for w in range(WORDS))
+        return (F.col(f"{p}.s") - F.col(f"{q}.g") <= allowed) & (F.col(f"{q}.s") - F.col(f"{p}.g") <= allowed) & (apart <= allowed)
 
     h = F.col("home_at")
     once = own.select("home", "node", "root", "home_at").distinct()
