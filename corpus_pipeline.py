@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the smallest doc_id, and of repeated rows of it one."""
-    numbered = near_dedup.numbered(docs)
+    numbered = written(near_dedup.numbered(docs), "numbered")  # numbered once: a second scan may be split otherwise
     groups = near_dedup.near_duplicates(numbered, n=5, percent=80)
     return numbered.join(near_dedup.representatives(groups), "rid", "left_semi").select(*docs.columns)
 

@@ -34,5 +34,27 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == sizes["secret_scan"]
 
 
+def test_near_duplicates_when_a_later_scan_is_split_otherwise(spark, tmp_path, monkeypatch):
+    texts = [f"{w} " * 3 + " ".join(f"{w}{i}" for i in range(20)) for w in "abcdefgh"]
+    rows = [(i, texts[i % 8]) for i in range(16)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    whole = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+    inner, before = corpus_pipeline.near_dedup.representatives, {k: spark.conf.get(k, None) for k in [*whole, "spark.sql.files.maxPartitionBytes"]}
+
+    def later(groups):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # as after a change of the executors
+        return inner(groups)
+
+    monkeypatch.setattr(corpus_pipeline.near_dedup, "representatives", later)
+    try:
+        for k, v in whole.items():
+            spark.conf.set(k, v)
+        kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), SF)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(8))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100

@@ -164,7 +164,7 @@ def open_pairs(members: DataFrame, rooted: DataFrame, tested: DataFrame, percent
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``rid``, a number for each row that stays the same while the input files and their split do."""
+    """``docs`` with ``rid``, a number for each row. Write it before it is read twice: another scan may be split otherwise and number other rows."""
     return docs.drop("rid").withColumn("rid", F.monotonically_increasing_id())
 
 
