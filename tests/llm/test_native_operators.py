@@ -95,6 +95,33 @@ def test_linked_candidates(leaks):
     assert got[10] == 0  # already a base span
 
 
+def test_linked_without_id_or_length_limit(spark):
+    long, url = "Ab1" * 100, "https://db.example.org/" + "x" * 250
+    texts = [f"{KEY} {WEAK}", f"{KEY} {long}", f"{url} {WEAK}", f"{url} {'pad ' * 49}{WEAK}", f"{WEAK} {'pad ' * 49}{url}", f"{long} {'pad ' * 49}{KEY}"]
+    for gap, n in ((200, 1), (201, 0)):
+        for a, b in ((url, WEAK), (WEAK, url), (long, KEY), (KEY, long)):
+            texts.append(f"{a}{' ' * gap}{b}")
+    docs = spark.createDataFrame([(i, t) for t in texts for i in (None, 7)], "doc_id long, text string")
+    got = Counter(rows_of(secrets.scan(docs), "doc_id", "n_linked"))
+    assert got == {(None, 1): len(texts) - 4, (None, 0): 4, (7, 1): len(texts) - 4, (7, 0): 4}
+    cleaned = [r.text for r in secrets.redact(docs).collect()]
+    assert sum(WEAK in t for t in cleaned) == 2 * 4
+
+
+def test_links_are_brute_force(spark):
+    part = {k: re.compile(secrets.PARTS[k][0]) for k in ("identifier", "endpoint", "linked")}
+    texts = [" ".join((KEY, WEAK, "user=x", f"https://h{'y' * (i * j % 300)}/", "pad " * (i * 7 % 40), "Zz9" * (7 + i * j % 60))[(i * j + k * 5 + k * k * i) % 6] for k in range(12)) for i in range(12) for j in range(3)]
+    docs = spark.createDataFrame([(i if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = Counter()
+    for i, t in rows_of(docs, "doc_id", "text"):
+        base = [(a, b) for a, _, _, b in base_spans(t)]
+        ends = base + [m.span() for k in ("identifier", "endpoint") for m in part[k].finditer(t)]
+        weak = [m.span() for m in part["linked"].finditer(t)]
+        near = [w for w in weak if any(max(e[0] - w[1], w[0] - e[1]) <= secrets.REACH for e in ends)]
+        want[i, sum(all(b <= w[0] or a >= w[1] for a, b in base) for w in near)] += 1
+    assert Counter(rows_of(secrets.scan(docs), "doc_id", "n_linked")) == want
+
+
 def test_redaction(leaks):
     for r in secrets.redact(leaks.drop("found")).collect():
         if r.doc_id == 4:

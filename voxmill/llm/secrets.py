@@ -2,10 +2,10 @@
 
 Strong patterns (assignments, access keys, hex runs) are reported wherever they
 stand. A weak candidate, a long mixed token, is reported only where a
-complementary part, an access identifier or an endpoint, stands within
-``reach`` characters. Parts are rows; the interval join is an equality of
-documents and of blocks of ``reach`` characters, against the first and last
-complement of each block, so many parts of one document give no pairs.
+complementary part, an access identifier or an endpoint, stands at most
+``reach`` characters from it, edge to edge. Parts are rows; the interval join
+is a running maximum of the complements' ends in order of position, so many
+parts of one document give no pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ BASE = {
 PARTS = {
     "identifier": (r"AKIA[A-Z0-9]{14,}|(?i:\b(?:user(?:name)?|login|client_?id|access_?key_?id))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]+", 0, 1),
     "endpoint": (r"\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D\"'<>]+|(?i:\b(?:host|server|endpoint|bucket))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?\b", 0, 1),
-    "linked": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])", 0, 20),
+    "linked": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])", 0, 20),
 }
 REACH = 200
 KINDS = [*BASE, "linked"]
@@ -45,12 +45,17 @@ def _found(docs: DataFrame, kind: str, pattern: str, group: int, least: int, key
 
 
 def _linked(parts: DataFrame, key: list[str], reach: int) -> DataFrame:
-    """Weak candidates with a complement within reach that overlap no base span."""
-    complement = parts.where(F.col("kind").isin("identifier", "endpoint", "access"))
-    ends = complement.withColumn("block", F.floor(F.col("start") / reach)).groupBy(*key, "block").agg(F.min("start").alias("low"), F.max("start").alias("high"))
-    weak = parts.where("kind = 'linked'").withColumn("block", F.explode(F.array(*(F.floor(F.col("start") / reach) + d for d in (-1, 0, 1)))))
-    close = (F.col("high") >= F.col("start") - reach) & (F.col("low") <= F.col("start") + reach)
-    near = weak.join(ends, [*key, "block"]).where(close).select(*key, "kind", "start", "end").distinct()
+    """Weak candidates with at most ``reach`` characters to a complement that overlap no base span.
+
+    Of the complements that start by ``reach`` after a candidate's end, the
+    largest end tells whether one is near. Null keys are keys as any other.
+    """
+    weak = F.col("kind") == "linked"
+    ends = parts.where(weak | F.col("kind").isin("identifier", "endpoint", "access"))
+    ends = ends.withColumns({"part": ~weak, "at": F.when(weak, F.col("end") + reach).otherwise(F.col("start"))})
+    so_far = Window.partitionBy(*key).orderBy("at", F.desc("part")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("reached", F.max(F.when(F.col("part"), F.col("end"))).over(so_far))
+    near = ends.where(weak & (F.col("reached") >= F.col("start") - reach)).select(*key, "kind", "start", "end")
     base = parts.where(F.col("kind").isin(*BASE))
     order = Window.partitionBy(*key).orderBy("start", "end")
     both = near.unionByName(base)
