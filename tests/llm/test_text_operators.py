@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxmill.llm import crf_language, decontaminate, interpolated_lm, near_dedup, substring_dedup, words
+from voxmill.llm import crf_language, decontaminate, interpolated_lm, near_dedup, queries, substring_dedup, words
 
 SF = "/root/testdata/sf0.001"
 UP = bytes(range(65, 91))
@@ -185,6 +185,23 @@ def test_model_sums_to_one(spark, order):
     assert all(0 < x < 1 for x in p.values()) and sum(p.values()) < 1
 
 
+def test_query_knows_trigrams(spark, tmp_path):
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    learned = [i for i in range(1000) if i not in set(held)][:400]
+    rows = [(i, ("a x b", "c x d", "b d", "d b")[n % 4]) for n, i in enumerate(learned)] + [(held[0], "a x b"), (held[1], "a x d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {r.doc_id: r.score for r in queries.op1_deleted_interpolation(spark, str(tmp_path)).where("held_out").collect()}
+    assert score[held[0]] > score[held[1]] + 0.5  # "x b" and "x d" are as frequent, "a x d" is new
+
+
+def test_close_hashes_are_counted_apart():
+    gram = np.array([5, 6, 5, (1 << 40) + 1, 1 << 40], dtype=np.uint64)
+    for k in range(3):
+        own, place, parts = interpolated_lm._parts(gram, k, 3)
+        assert own.tolist() == sorted(set(gram.tolist())) and (own[place] == gram).all()
+        assert parts == [(3 * k, 0, 4)]
+
+
 def test_order_is_brute_force(spark):
     """Bigram shares of a tiny corpus by hand: EM's weights lie in [0, 1) and mixing stays a probability."""
     orders = interpolated_lm._orders([np.array([2, 1, 0]), np.array([1, 0, 0])], np.array([0, 3]), 10, 4)

@@ -32,7 +32,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    return interpolated_lm.score_documents(docs, held_out, order=2)
+    return interpolated_lm.score_documents(docs, held_out, order=3)
 
 
 @query
