@@ -194,12 +194,78 @@ def test_query_knows_trigrams(spark, tmp_path):
     assert score[held[0]] > score[held[1]] + 0.5  # "x b" and "x d" are as frequent, "a x d" is new
 
 
-def test_close_hashes_are_counted_apart():
-    gram = np.array([5, 6, 5, (1 << 40) + 1, 1 << 40], dtype=np.uint64)
-    for k in range(3):
-        own, place, parts = interpolated_lm._parts(gram, k, 3)
-        assert own.tolist() == sorted(set(gram.tolist())) and (own[place] == gram).all()
-        assert parts == [(3 * k, 0, 4)]
+def plain_model(texts, held, order, iterations=15):
+    """Counts, EM and scores of a list of (id, text), word by word."""
+    docs = [[*split(t), None] for _, t in texts]
+    gone = [not h and zlib.crc32(("" if i is None else str(i)).encode()) // 7 % interpolated_lm.DELETED == 0 for (i, _), h in zip(texts, held, strict=True)]
+
+    def grams(w, k):
+        w = ["<s>"] * (order - 1) + w
+        return [tuple(w[p - k + 1 : p + 1]) for p in range(order - 1, len(w))]
+
+    def model(chosen):
+        count = [Counter(g for d, c in zip(docs, chosen, strict=True) if c for g in grams(d, k + 1)) for k in range(order)]
+        return count, sum(count[0].values()), sum(chosen)
+
+    def steps(w, counts):
+        count, tokens, n = counts
+        for p in range(len(w)):
+            row = []
+            for k in range(order):
+                g = grams(w, k + 1)[p]
+                context = tokens if k == 0 else n if p == 0 else count[k - 1][grams(w, k)[p - 1]]
+                row.append((count[k][g] / context if context else 0.0, min(int(math.log2(context)) + 1, 63) if context else 0))
+            yield row
+
+    learned = model([not h for h in held])
+    v = len(learned[0][0])
+    rest = model([not h and not g for h, g in zip(held, gone, strict=True)])
+    rows = [r for w, g in zip(docs, gone, strict=True) if g for r in steps(w, rest)]
+    weight = [[0.5] * 64 for _ in range(order)]
+
+    def mix(row):
+        p, below = 1 / (v + 1), []
+        for k, (share, b) in enumerate(row):
+            below.append(p)
+            w = weight[k][b] if b else 0.0
+            p = w * share + (1 - w) * p
+        return p, below
+
+    before = -math.inf
+    for _ in range(iterations if rows else 0):
+        stop, reach, like = Counter(), Counter(), 0.0
+        for row in rows:
+            p, below = mix(row)
+            like += math.log(p)
+            left = 1.0
+            for k in range(order - 1, -1, -1):
+                share, b = row[k]
+                w = weight[k][b] if b else 0.0
+                here = left * w * share / (w * share + (1 - w) * below[k])
+                stop[k, b] += here
+                reach[k, b] += left
+                left -= here
+        for k, b in reach:
+            weight[k][b] = min(stop[k, b] / reach[k, b], 0.999)
+        if like / len(rows) - before < 1e-5:
+            break
+        before = like / len(rows)
+    return [sum(math.log10(mix(r)[0]) for r in steps(w, learned)) for w in docs]
+
+
+@pytest.mark.parametrize("block_bytes", [300, 4 << 20])
+def test_score_is_brute_force(spark, block_bytes):
+    """Small blocks and buckets, so n-grams are asked about, known without asking, and shared by learned and held-out texts."""
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.6, int(rng.integers(0, 30))) % 40)) for i in range(150)]
+    texts += [(200, None), (201, ""), (7, texts[7][1]), (None, texts[9][1]), (202, "a b c a b c"), (203, "a b c d")]
+    held = [i is not None and i % 5 == 2 for i, _ in texts]
+    docs = spark.createDataFrame([(i, t, 1.5, "clash") for i, t in texts], "doc_id long, text string, score double, block string").repartition(3)
+    got = interpolated_lm.score_documents(docs, F.col("doc_id") % 5 == 2, order=3, block_bytes=block_bytes, bucket_bytes=block_bytes)
+    assert got.columns == ["doc_id", "block", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    want = sorted((str(i), round(s, 6)) for (i, _), s in zip(texts, plain_model(texts, held, 3), strict=True))
+    for a, b in zip(sorted((str(r.doc_id), r.score) for r in got.collect()), want, strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-5)
 
 
 def test_order_is_brute_force(spark):
