@@ -78,6 +78,12 @@ def test_repeats_removed(spark, awkward):
     assert got == sorted(map(repr, want))
 
 
+def test_repeats_across_small_blocks(spark, awkward):
+    whole = rows_of(substring_dedup.remove_repeats(awkward, window=8), "doc_id", "n_removed", "kept", "extra")
+    small = rows_of(substring_dedup.remove_repeats(awkward.repartition(5), window=8, block_bytes=400, bucket_bytes=2000), "doc_id", "n_removed", "kept", "extra")
+    assert Counter(whole) == Counter(small)
+
+
 def test_repeats_on_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     got = {r[0]: r[1:] for r in rows_of(substring_dedup.remove_repeats(docs, window=35, with_text=False), "doc_id", "n_removed", "kept")}
@@ -89,6 +95,23 @@ def test_repeats_on_the_table(spark):
         assert got[i] == (len(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_hot_window_is_one_entry_a_block():
+    """A text that repeats one passage very often asks about each distinct edge once, and its spans are one row for each path."""
+    import pyarrow as pa
+
+    from voxmill.llm import shared
+
+    passage = [f"h{i}" for i in range(20)]
+    docs = pa.table({"text": [" ".join(passage * 3000), " ".join(passage * 2000)]})
+    table = pa.table({"block": [7], "rows": [shared.to_bytes(docs)]})
+    (asked,) = substring_dedup.ask_anchors(35, 16, 1)(table.to_batches())
+    told = substring_dedup.tell_anchors(pa.Table.from_batches([asked]))
+    edges = substring_dedup.ask_edges(35, 16, 1)(None, table, told)
+    assert edges.column("n").to_pylist() == [20]
+    spans = substring_dedup.compact(35)(None, table, substring_dedup.tell_edges(edges))
+    assert spans.num_rows <= 60 and sum(spans.column("n").to_pylist()) >= 2
+
+
 def components(sets, percent):
     n = len(sets)
     root = list(range(n))
@@ -138,6 +161,21 @@ def test_near_duplicates_of_many_edits(spark):
     check_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)
 
 
+def test_near_duplicates_at_the_edge_of_near(spark, monkeypatch):
+    """Classes about a third like a centre, on either side of where differences to it are kept, linked with each other."""
+    monkeypatch.setattr(near_dedup, "SLICE", 8)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 60):
+        own = base[: 44 + d % 13] + [f"g{d // 6}_{i}" for i in range(56 - d % 13)]
+        for p in rng.integers(0, 100, int(rng.integers(0, 5))):
+            own[int(p)] = f"e{d}_{p}"
+        rows.append((d, " ".join(own)))
+    rows += [(100 + d, " ".join([f"c{i}" if i in set(rng.integers(0, 100, 14).tolist()) else b for i, b in enumerate(base)])) for d in range(40)]
+    check_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80)
+
+
 def test_near_duplicates_on_the_table(spark):
     check_components(spark.read.parquet(f"{SF}/documents.parquet"), 4, 80)
 

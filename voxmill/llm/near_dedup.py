@@ -10,13 +10,15 @@ yet no link that matters is lost:
    needs no comparison: its link would change nothing.
 2. Buckets that still hold several components are searched for pairs of different
    ones. With D(x) the symmetric difference of x and a centre, s(x) its size and
-   u(x) how many of its shingles no other class compared with that centre has,
-   the difference of x and y is that of D(x) and D(y), at least
-   s(x) - (s(y) - 2 u(y)), and at least the bits in which bitmaps of D(x) and
-   D(y) differ. A link allows (|x| + |y|) (1 - t) / (1 + t) of it, and if both are
-   linked to the centre they are in one component. What the bounds leave is
-   verified. Each class is judged against its home, the near centre that most
-   classes were compared with; pairs of different homes against the bucket's.
+   u(x) how many of its shingles no other class near that centre has, the
+   difference of x and y is that of D(x) and D(y), at least s(x) - s(y), for x and
+   y near the centre at least s(x) - (s(y) - 2 u(y)), and at least the bits in
+   which bitmaps of D(x) and D(y) differ. A link allows
+   (|x| + |y|) (1 - t) / (1 + t) of it, and if both are linked to the centre they
+   are in one component. What the bounds leave is verified. Each class is judged
+   against its home, the near centre that most classes were compared with; pairs
+   of different homes against the bucket's. A home with very many classes is
+   searched in slices, so no task has all its pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from .shared import written
 COORDINATES, ROWS = 128, 4
 #: 64-bit words of the bitmap of a difference.
 WORDS = 8
+#: Classes of a home that one slice of its search holds.
+SLICE = 1024
 
 
 def set_key(shingle: np.ndarray) -> bytes:
@@ -103,6 +107,7 @@ def _compare(percent: int):
 
 def class_sets(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """``(node, shingles)``: the full set of each class, from the text of its first document."""
+    docs = docs.dropDuplicates(["mark", "doc_id"])  # before the join, so repeated rows don't meet there
     match = docs["mark"].eqNullSafe(nodes["mark"]) & docs["doc_id"].eqNullSafe(nodes["doc_id"])
     return docs.join(nodes, match).select("node", "key", "text").dropDuplicates(["node"]).mapInArrow(_sets(n), "node long, shingles binary")
 
@@ -137,25 +142,34 @@ def open_pairs(members: DataFrame, rooted: DataFrame, tested: DataFrame, percent
     open_ = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     own = own.join(open_, "bucket")
     alone = tested.select("a", "b", F.explode("delta").alias("shingle")).groupBy("a", "shingle").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").groupBy("a", "b").agg(F.count("*").alias("u"))
-    stats = tested.join(alone, ["a", "b"], "left").select(F.col("a").alias("centre"), F.col("b").alias("node"), F.struct(F.col("far").alias("s"), (F.col("far") - 2 * F.coalesce("u", F.lit(0))).alias("g"), F.col("n_b").alias("n"), F.col("n_a").alias("m"), *(F.col("bitmap")[w].alias(f"w{w}") for w in range(WORDS))).alias("at"))
+    near = F.size("delta") > 0
+    stats = tested.join(alone, ["a", "b"], "left").select(F.col("a").alias("centre"), F.col("b").alias("node"), F.struct(near.alias("near"), F.col("far").alias("s"), (F.col("far") - 2 * F.coalesce("u", F.lit(0))).alias("g"), F.col("n_b").alias("n"), F.col("n_a").alias("m"), *(F.col("bitmap")[w].alias(f"w{w}") for w in range(WORDS))).alias("at"))
     stats = written(stats, "distances")
     stars = tested.where(F.size("delta") > 0).groupBy(F.col("a").alias("centre")).agg(F.count("*").alias("star"))
-    near = F.when(F.col("at.s") < (F.col("at.n") + F.col("at.m")) / 3, F.coalesce("star", F.lit(0))).otherwise(0)  # half their union in common
-    best = stats.join(stars, "centre", "left").groupBy("node").agg(F.max(F.struct(near.alias("star"), (-F.col("at.s")).alias("close"), "centre", "at")).alias("best")).select("node", F.col("best.centre").alias("home"), F.col("best.at").alias("home_at"))
+    weight = F.when(F.col("at.s") < (F.col("at.n") + F.col("at.m")) / 3, F.coalesce("star", F.lit(0))).otherwise(0)  # half their union in common
+    best = stats.join(stars, "centre", "left").groupBy("node").agg(F.max(F.struct(weight.alias("star"), (-F.col("at.s")).alias("close"), "centre", "at")).alias("best")).select("node", F.col("best.centre").alias("home"), F.col("best.at").alias("home_at"))
     own = written(own.join(stats, ["centre", "node"]).join(best, "node"), "open")
     share = F.lit((100 - percent) / (100 + percent) * (1 + 1e-12))
 
     def possible(p: str, q: str) -> Column:
         allowed = (F.col(f"{p}.n") + F.col(f"{q}.n")) * share
         apart = sum(F.bit_count(F.col(f"{p}.w{w}").bitwiseXOR(F.col(f"{q}.w{w}"))) for w in range(WORDS))
-        return (F.col(f"{p}.s") - F.col(f"{q}.g") <= allowed) & (F.col(f"{q}.s") - F.col(f"{p}.g") <= allowed) & (apart <= allowed)
+        both = F.col(f"{p}.near") & F.col(f"{q}.near")
+        one, two = (F.col(f"{x}.s") - F.when(both, F.col(f"{y}.g")).otherwise(F.col(f"{y}.s")) for x, y in ((p, q), (q, p)))
+        return (one <= allowed) & (two <= allowed) & (apart <= allowed)
 
     h = F.col("home_at")
     once = own.select("home", "node", "root", "home_at").distinct()
-    right = once.where(h["g"] > (h["m"] - h["n"]) * share).select("home", F.col("node").alias("node_"), F.col("root").alias("root_"), h.alias("at_"))
-    most = right.groupBy("home").agg(F.max(F.col("at_.g") + F.col("at_.n") * share).alias("most"))
-    left = once.where(h["s"] > (h["n"] + h["m"]) * share).join(most, "home").where(h["s"] - h["n"] * share <= F.col("most"))
-    same = left.join(right, "home").where("node <> node_ and root <> root_").where(possible("home_at", "at_"))
+    # lefts are not linked to their home; rights are held once for lefts near it, by what they share with others, and once for the rest
+    held = once.withColumn("close", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("reach", F.when(F.col("close"), h["g"]).otherwise(h["s"]))
+    held = held.where(~F.col("close") | h["near"]).where(F.col("reach") > (h["m"] - h["n"]) * share)
+    right = held.select("home", "close", F.pmod(F.xxhash64("node"), F.lit(1 << 20)).alias("slice"), F.col("node").alias("node_"), F.col("root").alias("root_"), h.alias("at_"), "reach")
+    most = right.groupBy("home", "close").agg(F.max(F.col("reach") + F.col("at_.n") * share).alias("most"), F.ceil(F.count("*") / SLICE).cast("long").alias("slices"))
+    left = once.where(h["s"] > (h["n"] + h["m"]) * share).withColumn("close", F.explode(F.when(h["near"], F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    left = left.join(most, ["home", "close"]).where(h["s"] - h["n"] * share <= F.col("most")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    right = right.join(most.select("home", "close", "slices"), ["home", "close"]).withColumn("slice", F.pmod("slice", "slices"))
+    apart = ~F.col("close") & F.col("home_at.near") & F.col("at_.near")  # met as close ones
+    same = left.join(right, ["home", "close", "slice"]).where("node <> node_ and root <> root_").where(~apart).where(possible("home_at", "at_"))
     strange = own.where("home <> centre")
     every = own.select("bucket", F.col("home").alias("home_"), F.col("node").alias("node_"), F.col("root").alias("root_"), F.col("at").alias("at_"))
     cross = strange.join(every, "bucket").where("home <> home_ and root <> root_").where(possible("at", "at_"))
