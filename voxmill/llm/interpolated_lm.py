@@ -64,11 +64,8 @@ def _packed(block: int, rows: pa.RecordBatch, extra: list[str]) -> pa.RecordBatc
     rank = np.empty(len(own), np.uint32)
     rank[order] = np.arange(len(own), dtype=np.uint32)
     flags = [rows.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("held_out", "deleted")]
-    sink = pa.BufferOutputStream()
-    rest = rows.select(extra) if extra else pa.record_batch([pa.nulls(rows.num_rows)], names=["none"])
-    with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(rest)
-    made = [block, len(size), shared.pack(size.astype(np.uint32)), *map(shared.pack, flags), shared.pack(own[order]), shared.pack(rank[place]), len(own), len(token), sink.getvalue().to_pybytes()]
+    rest = pa.Table.from_batches([rows.select(extra) if extra else pa.record_batch([pa.nulls(rows.num_rows)], names=["none"])])
+    made = [block, len(size), shared.pack(size.astype(np.uint32)), *map(shared.pack, flags), shared.pack(own[order]), shared.pack(rank[place]), len(own), len(token), shared.to_bytes(rest)]
     return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in made], names=["block", "n_docs", "size", "held_out", "deleted", "words", "token", "n_words", "n_tokens", "rest"])
 
 
@@ -266,14 +263,14 @@ def _score(extra: list[str], weights: np.ndarray, types: int, tokens: int, docs:
         for row in (row for batch in batches for row in batch.to_pylist()):
             size = shared.unpack(row["size"], "uint32", row["n_docs"]).astype(np.int64)
             held = shared.unpack(row["held_out"], "uint8", row["n_docs"]).astype(bool)
-            rest = pa.ipc.open_stream(row["rest"]).read_next_batch()
+            rest = shared.from_bytes(row["rest"])
             for lo, hi, counts, at in _stretches(size, _unpacked(row, "all", order, row["n_tokens"])):
                 p, _ = _mix(_orders(counts, at, tokens, docs), weights, types)
                 first = at[:-1]
                 base = np.add.reduceat(np.log10((counts[0] + 1) / (tokens + types + 1)), first)
                 known = np.add.reduceat((counts[0] > 0).astype(np.int64), first)
                 values = [pa.array(held[lo:hi]), pa.array(size[lo:hi]), pa.array(known), pa.array(np.full(hi - lo, tokens, np.int64)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), first))]
-                yield pa.RecordBatch.from_arrays([*(rest.column(c)[lo:hi] for c in range(len(extra))), *values], names=[*extra, *made])
+                yield pa.RecordBatch.from_arrays([*(rest.column(c).slice(lo, hi - lo).combine_chunks() for c in range(len(extra))), *values], names=[*extra, *made])
 
     return score
 

@@ -1,13 +1,14 @@
 """Written tables in the folder that all executors share, and the blocked exchange.
 
 The blocked exchange answers "what does the whole corpus know about each n-gram
-of my texts?" with few, large rows. Texts are dealt into blocks; a block asks
-each hash bucket about all of its n-grams in one packed row; a bucket sees all
-blocks' questions about its hashes and sends one packed reply to each block. A
-frequent n-gram is one entry per block however often it occurs there, so no
-bucket grows with a hot key. ``block_bytes`` and ``bucket_bytes`` bound what one
-task holds; both may be raised with executor memory to keep rows large on very
-large inputs.
+of my texts?" with few, large rows. Texts are packed into blocks; a block asks
+each hash bucket about all of its distinct n-grams in one packed row; a bucket
+sees all blocks' questions about its hashes and sends one packed reply to each
+block. A frequent n-gram is one entry per block however often it occurs there,
+so a hot key adds one entry for each block to its bucket. ``block_bytes`` and
+``bucket_bytes`` bound what one task holds; a row carries about their product
+over the input's size, so both should grow with the square root of very large
+inputs, as far as executor memory allows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +60,48 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0)
 
 
-def blocked(docs: DataFrame, block_bytes: int, total: int) -> DataFrame:
-    """``docs`` with ``rid``, a number of its own for each row, and ``block``."""
-    blocks = max(1, math.ceil(total / block_bytes))
-    return docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
+def _pack_rows(block_bytes: int):
+    def pack(batches):
+        block, parts, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            length = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0).to_numpy()
+            at = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + block_bytes - size, side="right")) - 1)
+                parts.append(batch.slice(lo, hi - lo))
+                size += int(at[hi] - at[lo])
+                lo = hi
+                if size >= block_bytes or lo < batch.num_rows:
+                    yield _block_row(block, parts)
+                    block, parts, size = block + 1, [], 0
+        if parts:
+            yield _block_row(block, parts)
+
+    return pack
+
+
+def _block_row(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([to_bytes(pa.Table.from_batches(parts))], pa.binary())], names=["block", "rows"])
+
+
+def to_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all().combine_chunks()
+
+
+def packed_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """``(block, rows)``: the rows of ``docs`` in runs of about ``block_bytes`` of ``text`` (a longer text is a block of its own), packed as Arrow bytes.
+
+    Written once, so that every step sees the same rows in the same order and place whatever is computed anew.
+    """
+    return written(docs.mapInArrow(_pack_rows(block_bytes), "block long, rows binary"), "blocks")
 
 
 def buckets_for(total: int, bucket_bytes: int) -> int:
@@ -83,8 +124,3 @@ def unpack(blob: bytes, dtype: str, n: int) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     raw = np.frombuffer(pa.decompress(blob, decompressed_size=n * width, codec="zstd", asbytes=True), dtype=np.uint8)
     return np.ascontiguousarray(raw.reshape(width, n).T).view(dtype).reshape(n) if n else np.zeros(0, dtype)
-
-
-def in_order(table: pa.Table) -> pa.Table:
-    """A block's rows by ``rid``, whatever order the shuffle brought them in."""
-    return table.sort_by("rid").combine_chunks()

@@ -6,16 +6,19 @@ k-1 words to its last k-1 words. Only repeated edges matter, so:
 1. Anchors. Two equal windows of ``window`` words hold the same minimal short
    k-mer, so windows around an anchor that occurs once in the corpus can't
    repeat. This leaves about the repeated part of the text, and loses nothing.
-2. Edges. The k-mers (k = ``window``) that are left are counted, with the words
-   before and after them, by the blocked exchange. An edge repeats if it starts
-   at two places. It is the end of a path if its occurrences disagree about
-   the next word, or its successor's about the previous one.
+2. Edges. The distinct k-mers (k = ``window``) that are left in a block are
+   joined with those of all other blocks by the blocked exchange, with the words
+   before and after them. An edge repeats if it starts at two places. It is the
+   end of a path if its occurrences disagree about the next word, or its
+   successor's about the previous one.
 3. Compaction. Repeated edges that follow each other with no branch between
-   them form one path. Every occurrence of one edge of a path is part of an
+   them form one path: a second join by block brings each edge's branches back
+   to its documents. Every occurrence of one edge of a path is part of an
    occurrence of the whole path, so each occurrence is read off its source
    document as one span, named by the hash of its first edge.
 4. Verification. The source words at the span's coordinates are digested
-   (128 bits); a join keeps spans whose path and digest occur twice or more.
+   (128 bits); a join keeps paths whose digest occurs twice or more. A block's
+   spans of one path are one row, however many they are.
 5. Words covered by a verified span are removed.
 """
 
@@ -32,8 +35,9 @@ from pyspark.sql import types as T
 from . import shared, words
 
 ANCHOR = 16
-ROW = "block long, bucket long, n long, pos binary, hash binary, near binary"
-REPLY = "block long, bucket long, n long, pos binary, flag binary"
+ROW = "block long, bucket long, n long, hash binary, count binary, near binary"
+REPLY = "block long, bucket long, n long, hash binary, flag binary"
+SPANS = "block long, path long, digest binary, n long, doc binary, start binary, stop binary"
 #: Bits of a reply: the edge repeats; a path ends before it; a path ends after it.
 REPEATS, OPENS, CLOSES = 1, 2, 4
 
@@ -48,7 +52,7 @@ def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
 
 
 def read_block(table: pa.Table):
-    """Word hashes and word bounds of a block's texts in order of ``rid``."""
+    """Word hashes and word bounds of a block's texts."""
     data, at = words.utf8(table.column("text"))
     hashes, bounds = [], [np.zeros(1, np.int64)]
     for lo, hi in words.slices(at):
@@ -94,17 +98,29 @@ def arrow(ddl: dict[str, pa.DataType]) -> pa.Schema:
     return pa.schema(list(ddl.items()))
 
 
-ASK = {"block": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "pos": pa.binary(), "hash": pa.binary(), "near": pa.binary()}
-TOLD = {"block": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "pos": pa.binary(), "flag": pa.binary()}
+ASK = {"block": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "hash": pa.binary(), "count": pa.binary(), "near": pa.binary()}
+TOLD = {"block": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "hash": pa.binary(), "flag": pa.binary()}
+SPAN = {"block": pa.int64(), "path": pa.int64(), "digest": pa.binary(), "n": pa.int64(), "doc": pa.binary(), "start": pa.binary(), "stop": pa.binary()}
+
+
+def opened(table: pa.Table) -> tuple[int, pa.Table]:
+    """A block's number and documents."""
+    return table.column("block")[0].as_py(), shared.from_bytes(table.column("rows")[0].as_py())
+
+
+def column(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    """A packed column of all rows, laid end to end."""
+    return np.concatenate([shared.unpack(x, kind, m) for x, m in zip(table.column(name).to_pylist(), table.column("n").to_pylist(), strict=True)])
 
 
 def ask_anchors(window: int, size: int, buckets: int):
-    def ask(key, table):
-        block = key[0].as_py()
-        word, bounds = read_block(shared.in_order(table))
-        _, mer = anchors(word, bounds, window, size)
-        mer, count = np.unique(mer, return_counts=True)
-        return rows([(block, b, len(p), b"", shared.pack(mer[p]), shared.pack(np.minimum(count[p], 2).astype(np.uint8))) for b, p in by_bucket(mer, buckets)], arrow(ASK))
+    def ask(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block, table = opened(pa.Table.from_batches([batch.slice(at, 1)]))
+                _, mer = anchors(*read_block(table), window, size)
+                mer, count = np.unique(mer, return_counts=True)
+                yield from rows([(block, b, len(p), shared.pack(mer[p]), shared.pack(np.minimum(count[p], 2).astype(np.uint8)), b"") for b, p in by_bucket(mer, buckets)], arrow(ASK)).to_batches()
 
     return ask
 
@@ -113,26 +129,28 @@ def tell_anchors(table):
     """To each block, its anchors that occur twice or more in the corpus."""
     table = table.combine_chunks()
     block, bucket, n = (table.column(c).to_pylist() for c in ("block", "bucket", "n"))
-    hashes = [shared.unpack(x, "uint64", m) for x, m in zip(table.column("hash").to_pylist(), n, strict=True)]
-    counts = [shared.unpack(x, "uint8", m) for x, m in zip(table.column("near").to_pylist(), n, strict=True)]
-    _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    often = np.bincount(which, weights=np.concatenate(counts))[which] > 1
+    hashes = column(table, "hash", "uint64")
+    _, which = np.unique(hashes, return_inverse=True)
+    often = np.bincount(which, weights=column(table, "count", "uint8"))[which] > 1
     out, at = [], 0
-    for b, r, m, h in zip(block, bucket, n, hashes, strict=True):
-        keep = h[often[at : at + m]]
+    for b, r, m in zip(block, bucket, n, strict=True):
+        keep = hashes[at : at + m][often[at : at + m]]
         at += m
         if len(keep):
-            out.append((b, r, len(keep), b"", shared.pack(keep)))
+            out.append((b, r, len(keep), shared.pack(keep), b""))
     return rows(out, arrow(TOLD))
 
 
 def ask_edges(window: int, size: int, buckets: int):
+    """A block's distinct edges: 1 or 2 for once or more, and the words before and after where all occurrences agree, else 0."""
+
     def ask(key, table, told):
         if not table.num_rows or not told.num_rows:
             return arrow(ASK).empty_table()
-        word, bounds = read_block(shared.in_order(table))
+        block, docs = opened(table)
+        word, bounds = read_block(docs)
         at, mer = anchors(word, bounds, window, size)
-        often = np.sort(np.concatenate([shared.unpack(x, "uint64", m) for x, m in zip(told.column("flag").to_pylist(), told.column("n").to_pylist(), strict=True)]))
+        often = np.sort(column(told.combine_chunks(), "hash", "uint64"))
         at = at[often[np.minimum(np.searchsorted(often, mer), len(often) - 1)] == mer]
         change = np.zeros(len(word) + 2, dtype=np.int32)  # windows that start up to window - size words before an anchor
         np.add.at(change, np.maximum(at - (window - size), 0), 1)
@@ -144,97 +162,110 @@ def ask_edges(window: int, size: int, buckets: int):
         first[bounds] = True
         after = np.where(first[start + window], 0, np.append(short | 1, np.zeros(window + 1, np.uint32))[np.minimum(start + window, len(word))])
         before = np.where(first[start], 0, short[start - 1] | 1)
-        near = (before.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
-        return rows([(key[0].as_py(), b, len(p), shared.pack(np.diff(start[p], prepend=0).astype(np.uint32)), shared.pack(edge[p]), shared.pack(near[p])) for b, p in by_bucket(edge, buckets)], arrow(ASK))
+        order = np.argsort(edge, kind="stable")
+        own = edge[order]
+        head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        count = np.minimum(np.diff(np.append(head, len(own))), 2).astype(np.uint8)
+        near = np.zeros(len(head), np.uint64)
+        for part, shift in ((before, 32), (after, 0)):
+            low, high = (f.reduceat(part[order], head) if len(head) else part for f in (np.minimum, np.maximum))
+            near |= np.where(low == high, low, 0).astype(np.uint64) << np.uint64(shift)
+        own = own[head]
+        return rows([(block, b, len(p), shared.pack(own[p]), shared.pack(count[p]), shared.pack(near[p])) for b, p in by_bucket(own, buckets)], arrow(ASK))
 
     return ask
 
 
 def tell_edges(table):
-    """To each block, for each edge that repeats: whether paths end before or after it, and the position it asked about."""
+    """To each block, its edges that repeat in the corpus: whether paths end before or after them."""
     table = table.combine_chunks()
-    block, bucket, n, pos = (table.column(c).to_pylist() for c in ("block", "bucket", "n", "pos"))
-    hashes = np.concatenate([shared.unpack(x, "uint64", m) for x, m in zip(table.column("hash").to_pylist(), n, strict=True)])
-    near = np.concatenate([shared.unpack(x, "uint64", m) for x, m in zip(table.column("near").to_pylist(), n, strict=True)])
+    block, bucket, n = (table.column(c).to_pylist() for c in ("block", "bucket", "n"))
+    hashes, near, count = column(table, "hash", "uint64"), column(table, "near", "uint64"), column(table, "count", "uint8")
     order = np.argsort(hashes, kind="stable")
     sorted_hash, sorted_near = hashes[order], near[order]
     head = np.flatnonzero(np.concatenate(([True], sorted_hash[1:] != sorted_hash[:-1])))
-    size = np.diff(np.append(head, len(order)))
-    flag = np.where(size > 1, REPEATS, 0).astype(np.uint8)
+    flag = np.where(np.add.reduceat(count[order].astype(np.int64), head) > 1, REPEATS, 0).astype(np.uint8)
     for part, bit in ((sorted_near >> np.uint64(32), OPENS), (sorted_near & np.uint64(0xFFFFFFFF), CLOSES)):
         low, high = np.minimum.reduceat(part, head), np.maximum.reduceat(part, head)
         flag |= np.where((low != high) | (low == 0), bit, 0).astype(np.uint8)
     out = np.empty(len(order), dtype=np.uint8)
-    out[order] = np.repeat(flag, size)
-    cuts = np.cumsum(n)[:-1]
-    return rows([(b, r, m, p, shared.pack(f)) for b, r, m, p, f in zip(block, bucket, n, pos, np.split(out, cuts), strict=True) if (f & REPEATS).any()], arrow(TOLD))
+    out[order] = np.repeat(flag, np.diff(np.append(head, len(order))))
+    told, at = [], 0
+    for b, r, m in zip(block, bucket, n, strict=True):
+        keep = np.flatnonzero(out[at : at + m] & REPEATS) + at
+        at += m
+        if len(keep):
+            told.append((b, r, len(keep), shared.pack(hashes[keep]), shared.pack(out[keep])))
+    return rows(told, arrow(TOLD))
 
 
-SPAN = {"block": pa.int64(), "rid": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "path": pa.int64(), "digest": pa.binary()}
+def where_in(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``values`` that are in ``among`` (sorted), and their places there; a bitmap rules most others out."""
+    bits = np.uint64((1 << max(16, int(len(among)).bit_length() + 4)) - 1)
+    seen = np.zeros(int(bits) + 1, dtype=bool)
+    seen[among & bits] = True
+    at = np.flatnonzero(seen[values & bits])
+    place = np.minimum(np.searchsorted(among, values[at]), len(among) - 1)
+    same = among[place] == values[at]
+    return at[same], place[same]
 
 
 def compact(window: int):
-    """Spans of compacted paths in a block's documents, with the digest of their source words."""
+    """Spans of compacted paths in a block's documents, a row for each path and digest of the source words."""
 
     def spans(key, table, told):
         if not table.num_rows or not told.num_rows:
             return arrow(SPAN).empty_table()
-        table = shared.in_order(table)
+        block, docs = opened(table)
         told = told.combine_chunks()
-        n = told.column("n").to_pylist()
-        at = np.concatenate([np.cumsum(shared.unpack(x, "uint32", m)).astype(np.int64) for x, m in zip(told.column("pos").to_pylist(), n, strict=True)])
-        flag = np.concatenate([shared.unpack(x, "uint8", m) for x, m in zip(told.column("flag").to_pylist(), n, strict=True)])
-        at, flag = at[flag & REPEATS > 0], flag[flag & REPEATS > 0]
-        order = np.argsort(at)
-        at, flag = at[order], flag[order]
-        data, offset = words.utf8(table.column("text"))
-        rid = table.column("rid").to_numpy()
-        out, done = [], 0
+        edges, flags = column(told, "hash", "uint64"), column(told, "flag", "uint8")
+        order = np.argsort(edges)
+        edges, flags = edges[order], flags[order]
+        data, offset = words.utf8(docs.column("text"))
+        found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
         for lo, hi in words.slices(offset):
             w = words.Words(data[offset[lo] : offset[hi]], offset[lo : hi + 1] - offset[lo], lower=False, spans=True)
-            part = slice(*np.searchsorted(at, (done, done + len(w.hash))))
-            mine, bits = at[part] - done, flag[part]
-            done += len(w.hash)
+            edge = words.ngrams(w.hash, window)
+            mine, place = where_in(edge, edges)
+            inside = starts_within(w.bounds, window)[mine]
+            mine, bits = mine[inside], flags[place[inside]]
             if not len(mine):
                 continue
             doc = np.searchsorted(w.bounds, mine, side="right") - 1
             cut = (np.diff(mine) != 1) | (np.diff(doc) != 0) | (bits[1:] & OPENS > 0) | (bits[:-1] & CLOSES > 0)
             first = np.concatenate(([0], np.flatnonzero(cut) + 1))
             last = np.append(first[1:] - 1, len(mine) - 1)
-            edge = words.ngrams(w.hash, window)
             text = data[offset[lo] : offset[hi]].tobytes()
-            for a, b in zip(mine[first].tolist(), mine[last].tolist(), strict=True):
-                d = int(np.searchsorted(w.bounds, a, side="right")) - 1
+            for a, b, d, path in zip(mine[first].tolist(), mine[last].tolist(), doc[first].tolist(), words.signed(edge[mine[first]]).tolist(), strict=True):
                 source = b" ".join(text[w.start[a] : w.end[b + window - 1]].split())
-                out.append((key[0].as_py(), int(rid[lo + d]), a - int(w.bounds[d]), b + window - int(w.bounds[d]), int(words.signed(edge[a : a + 1])[0]), hashlib.blake2b(source, digest_size=16).digest()))
-        return rows(out, arrow(SPAN))
+                at = int(w.bounds[d])
+                found.setdefault((path, hashlib.blake2b(source, digest_size=16).digest()), []).append((lo + d, a - at, b + window - at))
+        return rows([(block, path, digest, len(x), *(shared.pack(np.array(c, np.int64)) for c in zip(*x, strict=True))) for (path, digest), x in found.items()], arrow(SPAN))
 
     return spans
 
 
-def remove(extra: list[str], with_text: bool):
+def remove(kept: list[str], with_text: bool):
     def cut(key, table, spans):
-        covered: dict[int, list[tuple[int, int]]] = {}
-        for r, a, b in zip(*(spans.column(c).to_pylist() for c in ("rid", "start", "stop")), strict=True):
-            covered.setdefault(r, []).append((a, b))
-        n_words, n_removed, kept = [], [], []
-        data, at = words.utf8(table.column("text"))
-        rids = table.column("rid").to_pylist()
-        for rid, lo, hi in zip(rids, at[:-1].tolist(), at[1:].tolist(), strict=True):
+        _, docs = opened(table)
+        doc, start, stop = (column(spans.combine_chunks(), c, "int64") if spans.num_rows else np.zeros(0, np.int64) for c in ("doc", "start", "stop"))
+        order = np.lexsort((start, doc))
+        cuts = np.searchsorted(doc[order], np.arange(docs.num_rows + 1))
+        n_words, n_removed, left = [], [], []
+        data, at = words.utf8(docs.column("text"))
+        for d, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
             word = data[lo:hi].tobytes().split()
-            keep, end = word, 0
-            if rid in covered:
-                keep = []
-                for a, b in sorted(covered[rid]):
-                    keep += word[end:a]
-                    end = max(end, b)
-                keep += word[end:]
-            left = b" ".join(keep)
+            keep, end, mine = [], 0, order[cuts[d] : cuts[d + 1]]
+            for a, b in zip(start[mine].tolist(), stop[mine].tolist(), strict=True):
+                keep += word[end:a]
+                end = max(end, b)
+            keep += word[end:]
+            rest = b" ".join(keep)
             n_words.append(len(word))
             n_removed.append(len(word) - len(keep))
-            kept.append(left.decode() if with_text else hashlib.sha256(left).hexdigest())
-        made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-        return pa.Table.from_arrays([*(table.column(c) for c in extra), *made], names=[*extra, "n_words", "n_removed", "kept"])
+            left.append(rest.decode() if with_text else hashlib.sha256(rest).hexdigest())
+        made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.string())]
+        return pa.Table.from_arrays([*(docs.column(c) for c in kept), *made], names=[*kept, "n_words", "n_removed", "kept"])
 
     return cut
 
@@ -247,22 +278,21 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_t
     words, nothing kept. Rows are told apart by position, so repeated rows and
     null or repeated ids are separate documents (and so repeat each other).
     Added columns replace columns of the same name; an empty table gives no row.
-    Everything is one plan, so the shuffled texts are written once and read by
-    each step.
+    Texts are packed into a table of blocks first; the rest is one plan, so the
+    shuffled blocks are written once and read by each step.
     """
-    extra = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "rid", "block", text)]
-    total = shared.text_bytes(docs, text)
-    buckets = shared.buckets_for(total, bucket_bytes)
+    extra = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", text)]
+    buckets = shared.buckets_for(shared.text_bytes(docs, text), bucket_bytes)
     size = min(ANCHOR, max(1, window // 2))
-    source = docs.select(*(F.col(f"`{c}`") for c in extra), F.col(f"`{text}`").alias("text"))
-    extra = ["text_" if c == "text" else c for c in extra]
-    corpus = shared.blocked(source.toDF(*extra, "text"), block_bytes, total)
-    asked = corpus.groupBy("block").applyInArrow(ask_anchors(window, size, buckets), ROW)
-    told = asked.groupBy("bucket").applyInArrow(tell_anchors, REPLY)
-    edges = corpus.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask_edges(window, size, buckets), ROW)
+    kept = [f"x{i}" for i in range(len(extra))]
+    blocks = shared.packed_blocks(docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(extra, kept, strict=True)), F.col(f"`{text}`").alias("text")), block_bytes)
+    corpus = blocks.groupBy("block")
+    told = blocks.mapInArrow(ask_anchors(window, size, buckets), ROW).groupBy("bucket").applyInArrow(tell_anchors, REPLY)
+    edges = corpus.cogroup(told.groupBy("block")).applyInArrow(ask_edges(window, size, buckets), ROW)
     marked = edges.groupBy("bucket").applyInArrow(tell_edges, REPLY)
-    spans = corpus.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(compact(window), "block long, rid long, start long, stop long, path long, digest binary")
-    repeated = spans.groupBy("path", "digest").count().where("count > 1").select("path", "digest")
-    verified = spans.join(repeated, ["path", "digest"]).select("block", "rid", "start", "stop")
-    schema = T.StructType([*(f for f in corpus.schema if f.name in extra), *T._parse_datatype_string("n_words long, n_removed long, kept string")])
-    return corpus.groupBy("block").cogroup(verified.groupBy("block")).applyInArrow(remove(extra, with_text), schema)
+    spans = corpus.cogroup(marked.groupBy("block")).applyInArrow(compact(window), SPANS)
+    repeated = spans.groupBy("path", "digest").agg(F.sum("n").alias("times")).where("times > 1").select("path", "digest")
+    verified = spans.join(repeated, ["path", "digest"]).select("block", "n", "doc", "start", "stop")
+    schema = T.StructType([*(T.StructField(x, docs.schema[c].dataType) for c, x in zip(extra, kept, strict=True)), *T._parse_datatype_string("n_words long, n_removed long, kept string")])
+    cut = corpus.cogroup(verified.groupBy("block")).applyInArrow(remove(kept, with_text), schema)
+    return cut.toDF(*extra, "n_words", "n_removed", "kept")
