@@ -59,8 +59,8 @@ def _packed(block: int, rows: pa.RecordBatch, extra: list[str]) -> pa.RecordBatc
         tokens.append(out)
         sizes.append(size)
     token, size = np.concatenate(tokens), np.concatenate(sizes)
-    own, place, count = np.unique(token, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
+    own, _, place = shared.distinct(token)
+    order = np.argsort(-np.bincount(place), kind="stable")  # words of one frequency in order of hash
     rank = np.empty(len(own), np.uint32)
     rank[order] = np.arange(len(own), dtype=np.uint32)
     flags = [rows.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("held_out", "deleted")]
@@ -104,7 +104,7 @@ class Block:
     def grams(self, k: int):
         """Distinct k-grams in order of hash, where each token's is, how often each occurs in learned, deleted and held-out documents."""
         gram = words.ngrams(self.padded, k)[self.at - k + 1]
-        own, first, place = np.unique(gram, return_index=True, return_inverse=True)
+        own, first, place = shared.distinct(gram)
         return own, first, place, [np.bincount(place[f], minlength=len(own)) for f in self.flags]
 
     def asked(self, k: int, own: np.ndarray, first: np.ndarray, mine, every: np.ndarray | None):
@@ -144,10 +144,24 @@ def _block(table: pa.Table, order: int, buckets: int) -> tuple[Block, bytes]:
     return Block(row, order, buckets), row["rest"]
 
 
+def _ask_words(order: int, buckets: int):
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from Block(row, order, buckets).ask([], 1).to_batches()
+
+    return ask
+
+
 def _ask(k: int, order: int, buckets: int):
-    if k == 1:
-        return lambda key, table: _block(table, order, buckets)[0].ask([], 1)
-    return lambda key, table, told: _block(table, order, buckets)[0].ask(told.to_pylist(), k) if table.num_rows else _rows([], ASK)
+    return lambda key, table, told: _block(table, order, buckets)[0].ask(told.to_pylist(), k)
+
+
+def _by_block(told: list[DataFrame]):
+    every = told[0]
+    for more in told[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("block")
 
 
 def _tell(buckets: int):
@@ -155,7 +169,7 @@ def _tell(buckets: int):
         table = table.combine_chunks()
         block, n = table.column("block").to_pylist(), table.column("n").to_pylist()
         hashes = np.concatenate([shared.unpack(x, "uint64", m) for x, m in zip(table.column("hash").to_pylist(), n, strict=True)])
-        own, place = np.unique(hashes, return_inverse=True)
+        own, _, place = shared.distinct(hashes)
         sums = []
         for c in ("train", "deleted", "held"):
             count = np.concatenate([shared.unpack(x, "uint32", m) for x, m in zip(table.column(c).to_pylist(), n, strict=True)])
@@ -175,8 +189,6 @@ def _counted(order: int, buckets: int):
     kind = {"size": pa.binary(), "held_out": pa.binary(), "deleted": pa.binary(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "types": pa.int64(), "rest": pa.binary(), "n_kept": pa.int64(), "kept_size": pa.binary(), "kept_docs": pa.int64(), "learned": pa.int64(), "learned_docs": pa.int64(), "rest_tokens": pa.int64(), "rest_docs": pa.int64()} | dict.fromkeys(names, pa.binary())
 
     def count(key, table, told):
-        if not table.num_rows:
-            return _rows([], kind)
         block, rest = _block(table, order, buckets)
         row, told = table.to_pylist()[0], told.to_pylist()
         counts, _ = block.counts(told, order)
@@ -311,16 +323,15 @@ def score_documents(docs: DataFrame, held_out, order: int = 3, block_bytes: int
     flagged = flagged.select(*(F.col(c).alias(f"x{i}") for i, c in enumerate(extra)), "held_out", "deleted", "text")
     kept = [f"x{i}" for i in range(len(extra))]
     blocks = shared.written(flagged.mapInArrow(_pack(kept, block_bytes), BLOCK), "blocks")
-    told = None
+    told = []
     for k in range(1, order + 1):
         dealt = blocks.groupBy("block")
-        asked = dealt.applyInArrow(_ask(k, order, buckets), ROW) if told is None else dealt.cogroup(told.groupBy("block")).applyInArrow(_ask(k, order, buckets), ROW)
-        new = asked.groupBy("bucket").applyInArrow(_tell(buckets), REPLY)
-        told = new if told is None else told.unionByName(new)
+        asked = dealt.cogroup(_by_block(told)).applyInArrow(_ask(k, order, buckets), ROW) if told else blocks.mapInArrow(_ask_words(order, buckets), ROW)
+        told.append(shared.written(asked.groupBy("bucket").applyInArrow(_tell(buckets), REPLY), "told"))
     count, kind = _counted(order, buckets)
     schema = ", ".join(f"{c} {'long' if x == pa.int64() else 'binary'}" for c, x in kind.items())
-    counted = shared.written(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(count, schema), "counts")
-    shared.drop_written(blocks)
+    counted = shared.written(blocks.groupBy("block").cogroup(_by_block(told)).applyInArrow(count, schema), "counts")
+    shared.drop_written(blocks, *told)
     n = counted.agg(*(F.sum(c).alias(c) for c in ("types", "learned", "learned_docs", "rest_tokens", "rest_docs"))).first()
     types, tokens, some = int(n.types or 0), int(n.learned or 0), int(n.learned_docs or 0)
     weights = learn_weights(counted, order, types, int(n.rest_tokens or 0), int(n.rest_docs or 0))

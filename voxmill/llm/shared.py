@@ -37,11 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Spark's setting by which a query's shuffle files go when it has ended.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it survives lost executors and ends the lineage."""
+    """``df`` as a table in the shared folder: it survives lost executors and ends the lineage. The shuffle files behind it are freed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.__dict__["written_to"] = path
     return table
@@ -113,6 +122,16 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place where each stands, and each value's number among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    head = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(values) else np.zeros(0, bool)
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(head) - 1
+    return ordered[head], order[head], number
+
+
 def pack(values: np.ndarray) -> bytes:
     """Fixed-width integers as compressed byte planes; sorted or small ones take a few bytes or less."""
     width = values.dtype.itemsize

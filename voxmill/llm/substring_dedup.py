@@ -130,7 +130,7 @@ def tell_anchors(table):
     table = table.combine_chunks()
     block, bucket, n = (table.column(c).to_pylist() for c in ("block", "bucket", "n"))
     hashes = column(table, "hash", "uint64")
-    _, which = np.unique(hashes, return_inverse=True)
+    _, _, which = shared.distinct(hashes)
     often = np.bincount(which, weights=column(table, "count", "uint8"))[which] > 1
     out, at = [], 0
     for b, r, m in zip(block, bucket, n, strict=True):
@@ -162,7 +162,7 @@ def ask_edges(window: int, size: int, buckets: int):
         first[bounds] = True
         after = np.where(first[start + window], 0, np.append(short | 1, np.zeros(window + 1, np.uint32))[np.minimum(start + window, len(word))])
         before = np.where(first[start], 0, short[start - 1] | 1)
-        order = np.argsort(edge, kind="stable")
+        order = np.argsort(edge)
         own = edge[order]
         head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
         count = np.minimum(np.diff(np.append(head, len(own))), 2).astype(np.uint8)
@@ -181,7 +181,7 @@ def tell_edges(table):
     table = table.combine_chunks()
     block, bucket, n = (table.column(c).to_pylist() for c in ("block", "bucket", "n"))
     hashes, near, count = column(table, "hash", "uint64"), column(table, "near", "uint64"), column(table, "count", "uint8")
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     sorted_hash, sorted_near = hashes[order], near[order]
     head = np.flatnonzero(np.concatenate(([True], sorted_hash[1:] != sorted_hash[:-1])))
     flag = np.where(np.add.reduceat(count[order].astype(np.int64), head) > 1, REPEATS, 0).astype(np.uint8)
@@ -278,8 +278,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_t
     words, nothing kept. Rows are told apart by position, so repeated rows and
     null or repeated ids are separate documents (and so repeat each other).
     Added columns replace columns of the same name; an empty table gives no row.
-    Texts are packed into a table of blocks first; the rest is one plan, so the
-    shuffled blocks are written once and read by each step.
+    Texts are packed into a table of blocks first; each step's answers are a
+    written table, so none is computed twice.
     """
     extra = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", text)]
     buckets = shared.buckets_for(shared.text_bytes(docs, text), bucket_bytes)
@@ -287,10 +287,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_t
     kept = [f"x{i}" for i in range(len(extra))]
     blocks = shared.packed_blocks(docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(extra, kept, strict=True)), F.col(f"`{text}`").alias("text")), block_bytes)
     corpus = blocks.groupBy("block")
-    told = blocks.mapInArrow(ask_anchors(window, size, buckets), ROW).groupBy("bucket").applyInArrow(tell_anchors, REPLY)
+    told = shared.written(blocks.mapInArrow(ask_anchors(window, size, buckets), ROW).groupBy("bucket").applyInArrow(tell_anchors, REPLY), "anchors")
     edges = corpus.cogroup(told.groupBy("block")).applyInArrow(ask_edges(window, size, buckets), ROW)
-    marked = edges.groupBy("bucket").applyInArrow(tell_edges, REPLY)
-    spans = corpus.cogroup(marked.groupBy("block")).applyInArrow(compact(window), SPANS)
+    marked = shared.written(edges.groupBy("bucket").applyInArrow(tell_edges, REPLY), "edges")
+    spans = shared.written(corpus.cogroup(marked.groupBy("block")).applyInArrow(compact(window), SPANS), "spans")
+    shared.drop_written(told, marked)
     repeated = spans.groupBy("path", "digest").agg(F.sum("n").alias("times")).where("times > 1").select("path", "digest")
     verified = spans.join(repeated, ["path", "digest"]).select("block", "n", "doc", "start", "stop")
     schema = T.StructType([*(T.StructField(x, docs.schema[c].dataType) for c, x in zip(extra, kept, strict=True)), *T._parse_datatype_string("n_words long, n_removed long, kept string")])
