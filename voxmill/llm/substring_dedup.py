@@ -25,6 +25,7 @@ k-1 words to its last k-1 words. Only repeated edges matter, so:
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ from . import shared, words
 ANCHOR = 16
 ROW = "block long, bucket long, n long, hash binary, count binary, near binary"
 REPLY = "block long, bucket long, n long, hash binary, flag binary"
-SPANS = "block long, path long, digest binary, n long, doc binary, start binary, stop binary"
+SPANS = "block long, path long, digest binary, n long, at binary"
+#: A span: its document's place in the block, first word, word after the last.
+AT = "<qqq"
 #: Bits of a reply: the edge repeats; a path ends before it; a path ends after it.
 REPEATS, OPENS, CLOSES = 1, 2, 4
 
@@ -100,7 +103,7 @@ def arrow(ddl: dict[str, pa.DataType]) -> pa.Schema:
 
 ASK = {"block": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "hash": pa.binary(), "count": pa.binary(), "near": pa.binary()}
 TOLD = {"block": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "hash": pa.binary(), "flag": pa.binary()}
-SPAN = {"block": pa.int64(), "path": pa.int64(), "digest": pa.binary(), "n": pa.int64(), "doc": pa.binary(), "start": pa.binary(), "stop": pa.binary()}
+SPAN = {"block": pa.int64(), "path": pa.int64(), "digest": pa.binary(), "n": pa.int64(), "at": pa.binary()}
 
 
 def opened(table: pa.Table) -> tuple[int, pa.Table]:
@@ -222,7 +225,7 @@ def compact(window: int):
         order = np.argsort(edges)
         edges, flags = edges[order], flags[order]
         data, offset = words.utf8(docs.column("text"))
-        found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        found: dict[tuple[int, bytes], bytearray] = {}
         for lo, hi in words.slices(offset):
             w = words.Words(data[offset[lo] : offset[hi]], offset[lo : hi + 1] - offset[lo], lower=False, spans=True)
             edge = words.ngrams(w.hash, window)
@@ -239,8 +242,9 @@ def compact(window: int):
             for a, b, d, path in zip(mine[first].tolist(), mine[last].tolist(), doc[first].tolist(), words.signed(edge[mine[first]]).tolist(), strict=True):
                 source = b" ".join(text[w.start[a] : w.end[b + window - 1]].split())
                 at = int(w.bounds[d])
-                found.setdefault((path, hashlib.blake2b(source, digest_size=16).digest()), []).append((lo + d, a - at, b + window - at))
-        return rows([(block, path, digest, len(x), *(shared.pack(np.array(c, np.int64)) for c in zip(*x, strict=True))) for (path, digest), x in found.items()], arrow(SPAN))
+                name = path, hashlib.blake2b(source, digest_size=16).digest()
+                found.setdefault(name, bytearray()).extend(struct.pack(AT, lo + d, a - at, b + window - at))
+        return rows([(block, path, digest, len(x) // struct.calcsize(AT), bytes(x)) for (path, digest), x in found.items()], arrow(SPAN))
 
     return spans
 
@@ -248,7 +252,7 @@ def compact(window: int):
 def remove(kept: list[str], with_text: bool):
     def cut(key, table, spans):
         _, docs = opened(table)
-        doc, start, stop = (column(spans.combine_chunks(), c, "int64") if spans.num_rows else np.zeros(0, np.int64) for c in ("doc", "start", "stop"))
+        doc, start, stop = np.frombuffer(b"".join(spans.column("at").to_pylist()), np.int64).reshape(-1, 3).T
         order = np.lexsort((start, doc))
         cuts = np.searchsorted(doc[order], np.arange(docs.num_rows + 1))
         n_words, n_removed, left = [], [], []
@@ -293,7 +297,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_t
     spans = shared.written(corpus.cogroup(marked.groupBy("block")).applyInArrow(compact(window), SPANS), "spans")
     shared.drop_written(told, marked)
     repeated = spans.groupBy("path", "digest").agg(F.sum("n").alias("times")).where("times > 1").select("path", "digest")
-    verified = spans.join(repeated, ["path", "digest"]).select("block", "n", "doc", "start", "stop")
+    verified = spans.join(repeated, ["path", "digest"]).select("block", "at")
     schema = T.StructType([*(T.StructField(x, docs.schema[c].dataType) for c, x in zip(extra, kept, strict=True)), *T._parse_datatype_string("n_words long, n_removed long, kept string")])
     cut = corpus.cogroup(verified.groupBy("block")).applyInArrow(remove(kept, with_text), schema)
     return cut.toDF(*extra, "n_words", "n_removed", "kept")
