@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +46,7 @@ def _rows(records, kind):
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*records), schema, strict=True)], schema=schema) if records else schema.empty_table()
 
 
-def _packed(block: int, rows: pa.RecordBatch, extra: list[str]) -> pa.RecordBatch:
+def _packed(block: int, rows: pa.Table, extra: list[str]) -> pa.RecordBatch:
     """One row: documents' sizes and flags, the block's words (most frequent first) and each token's place among them, other columns as Arrow bytes."""
     data, at = words.utf8(rows.column("text"))
     tokens, sizes = [], []
@@ -64,24 +63,15 @@ def _packed(block: int, rows: pa.RecordBatch, extra: list[str]) -> pa.RecordBatc
     rank = np.empty(len(own), np.uint32)
     rank[order] = np.arange(len(own), dtype=np.uint32)
     flags = [rows.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("held_out", "deleted")]
-    rest = pa.Table.from_batches([rows.select(extra) if extra else pa.record_batch([pa.nulls(rows.num_rows)], names=["none"])])
+    rest = rows.select(extra) if extra else pa.table({"none": pa.nulls(rows.num_rows)})
     made = [block, len(size), shared.pack(size.astype(np.uint32)), *map(shared.pack, flags), shared.pack(own[order]), shared.pack(rank[place]), len(own), len(token), shared.to_bytes(rest)]
     return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in made], names=["block", "n_docs", "size", "held_out", "deleted", "words", "token", "n_words", "n_tokens", "rest"])
 
 
 def _pack(extra: list[str], block_bytes: int):
     def pack(batches):
-        block, parts, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            _, at = words.utf8(batch.column("text"))
-            for lo, hi in words.slices(at, block_bytes):
-                parts.append(batch.slice(lo, hi - lo))
-                size += int(at[hi] - at[lo])
-                if size >= block_bytes:
-                    yield _packed(block, pa.concat_batches(parts), extra)
-                    block, parts, size = block + 1, [], 0
-        if parts:
-            yield _packed(block, pa.concat_batches(parts), extra)
+        for block, rows in shared.runs(batches, block_bytes):
+            yield _packed(block, rows, extra)
 
     return pack
 
@@ -127,7 +117,8 @@ class Block:
             known = [mine[0].astype(np.int64), mine[1].astype(np.int64), (mine[0] + mine[2]).astype(np.int64)]
             for b, lo, hi in parts:
                 for x, c in zip(known, ("train", "deleted", "every"), strict=True):
-                    x[need[lo:hi]] = shared.unpack(reply[b][c], "uint64", hi - lo)
+                    if reply[b][c] is not None:
+                        x[need[lo:hi]] = shared.unpack(reply[b][c], "uint64", hi - lo)
             every = known[2][place]
             out.append([x[place] for x in known])
         return out, every
@@ -164,21 +155,23 @@ def _by_block(told: list[DataFrame]):
     return every.groupBy("block")
 
 
-def _tell(buckets: int):
+def _tell(buckets: int, last: bool):
+    """Sums of each asked n-gram's counts, to each block that asked; the last order's count over all documents is of no use."""
+
     def tell(key, table):
         table = table.combine_chunks()
         block, n = table.column("block").to_pylist(), table.column("n").to_pylist()
         hashes = np.concatenate([shared.unpack(x, "uint64", m) for x, m in zip(table.column("hash").to_pylist(), n, strict=True)])
         own, _, place = shared.distinct(hashes)
         sums = []
-        for c in ("train", "deleted", "held"):
+        for c in ("train", "deleted") if last else ("train", "deleted", "held"):
             count = np.concatenate([shared.unpack(x, "uint32", m) for x, m in zip(table.column(c).to_pylist(), n, strict=True)])
             sums.append(np.bincount(place, weights=count, minlength=len(own)).astype(np.uint64))
-        sums[2] += sums[0]
+        sums[2:] = [sums[0] + x for x in sums[2:]]
         types = int((sums[0] > 0).sum()) if key[0].as_py() < buckets else 0
         cuts, first = np.cumsum(n)[:-1], min(block)
         told = [np.split(s[place], cuts) for s in sums]
-        return _rows([(b, key[0].as_py(), m, *map(shared.pack, x), types * (b == first)) for b, m, *x in zip(block, n, *told, strict=True)], TOLD)
+        return _rows([(b, key[0].as_py(), m, *map(shared.pack, x), *[None] * last, types * (b == first)) for b, m, *x in zip(block, n, *told, strict=True)], TOLD)
 
     return tell
 
@@ -317,17 +310,18 @@ def score_documents(docs: DataFrame, held_out, order: int = 3, block_bytes: int
     """
     made = {"held_out", "deleted", "n_tokens", "n_known", "train_tokens", "base_score", "score", "text"}
     extra = [c for c in docs.columns if c not in made]
-    buckets = shared.buckets_for(shared.text_bytes(docs), bucket_bytes)
+    total = shared.text_bytes(docs)
+    buckets = shared.buckets_for(total, bucket_bytes)
     own = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     flagged = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))).withColumn("deleted", ~F.col("held_out") & (F.floor(own / 7) % DELETED == 0))
     flagged = flagged.select(*(F.col(c).alias(f"x{i}") for i, c in enumerate(extra)), "held_out", "deleted", "text")
     kept = [f"x{i}" for i in range(len(extra))]
-    blocks = shared.written(flagged.mapInArrow(_pack(kept, block_bytes), BLOCK), "blocks")
+    blocks = shared.written_by(flagged.mapInArrow(_pack(kept, block_bytes), BLOCK), "blocks", "block", shared.block_buckets(total, block_bytes))
     told = []
     for k in range(1, order + 1):
         dealt = blocks.groupBy("block")
         asked = dealt.cogroup(_by_block(told)).applyInArrow(_ask(k, order, buckets), ROW) if told else blocks.mapInArrow(_ask_words(order, buckets), ROW)
-        told.append(shared.written(asked.groupBy("bucket").applyInArrow(_tell(buckets), REPLY), "told"))
+        told.append(shared.written(asked.groupBy("bucket").applyInArrow(_tell(buckets, k == order), REPLY), "told"))
     count, kind = _counted(order, buckets)
     schema = ", ".join(f"{c} {'long' if x == pa.int64() else 'binary'}" for c, x in kind.items())
     counted = shared.written(blocks.groupBy("block").cogroup(_by_block(told)).applyInArrow(count, schema), "counts")

@@ -29,9 +29,11 @@ BUCKET_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests on one machine)."""
+    """The shared folder: ``spark.checkpoint.dir``, or a temporary one where that is unset and Spark runs in this machine alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -56,11 +58,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``written``, as a bucketed table: joins and groups by ``key`` read it where it lies, without a shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out.__dict__.update(written_to=path, written_as=table)
+    return out
+
+
 def drop_written(*tables: DataFrame) -> None:
-    """Deletes tables made by ``written`` that no later step reads."""
+    """Deletes tables made by ``written`` or ``written_by`` that no later step reads."""
     for df in tables:
         if path := df.__dict__.get("written_to"):
             spark = df.sparkSession
+            if table := df.__dict__.get("written_as"):
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -69,31 +84,35 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0)
 
 
+def runs(batches, block_bytes: int):
+    """Rows in runs of at most ``block_bytes`` of ``text``, or of one longer text: a number of its own for each, and its rows."""
+    block, parts, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        length = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0).to_numpy()
+        at = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(at, at[lo] + block_bytes - size, side="right")) - 1
+            if parts and hi <= lo:
+                yield block, pa.Table.from_batches(parts)
+                block, parts, size = block + 1, [], 0
+                continue
+            hi = max(hi, lo + 1)
+            parts.append(batch.slice(lo, hi - lo))
+            size += int(at[hi] - at[lo])
+            lo = hi
+    if parts:
+        yield block, pa.Table.from_batches(parts)
+
+
 def _pack_rows(block_bytes: int):
     def pack(batches):
-        block, parts, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            length = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0).to_numpy()
-            at = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
-            lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + block_bytes - size, side="right")) - 1)
-                parts.append(batch.slice(lo, hi - lo))
-                size += int(at[hi] - at[lo])
-                lo = hi
-                if size >= block_bytes or lo < batch.num_rows:
-                    yield _block_row(block, parts)
-                    block, parts, size = block + 1, [], 0
-        if parts:
-            yield _block_row(block, parts)
+        for block, table in runs(batches, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([to_bytes(table)], pa.binary())], names=["block", "rows"])
 
     return pack
 
 
-def _block_row(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([to_bytes(pa.Table.from_batches(parts))], pa.binary())], names=["block", "rows"])
-
-
 def to_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -105,12 +124,17 @@ def from_bytes(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
-def packed_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+def block_buckets(total: int, block_bytes: int) -> int:
+    """Buckets of a table of blocks: two blocks each, so a task of a later step is small."""
+    return max(1, math.ceil(total / (2 * block_bytes)))
+
+
+def packed_blocks(docs: DataFrame, block_bytes: int, total: int) -> DataFrame:
     """``(block, rows)``: the rows of ``docs`` in runs of about ``block_bytes`` of ``text`` (a longer text is a block of its own), packed as Arrow bytes.
 
     Written once, so that every step sees the same rows in the same order and place whatever is computed anew.
     """
-    return written(docs.mapInArrow(_pack_rows(block_bytes), "block long, rows binary"), "blocks")
+    return written_by(docs.mapInArrow(_pack_rows(block_bytes), "block long, rows binary"), "blocks", "block", block_buckets(total, block_bytes))
 
 
 def buckets_for(total: int, bucket_bytes: int) -> int:

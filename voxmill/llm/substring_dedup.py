@@ -286,10 +286,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", with_t
     written table, so none is computed twice.
     """
     extra = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", text)]
-    buckets = shared.buckets_for(shared.text_bytes(docs, text), bucket_bytes)
+    total = shared.text_bytes(docs, text)
+    buckets = shared.buckets_for(total, bucket_bytes)
     size = min(ANCHOR, max(1, window // 2))
     kept = [f"x{i}" for i in range(len(extra))]
-    blocks = shared.packed_blocks(docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(extra, kept, strict=True)), F.col(f"`{text}`").alias("text")), block_bytes)
+    blocks = shared.packed_blocks(docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(extra, kept, strict=True)), F.col(f"`{text}`").alias("text")), block_bytes, total)
     corpus = blocks.groupBy("block")
     told = shared.written(blocks.mapInArrow(ask_anchors(window, size, buckets), ROW).groupBy("bucket").applyInArrow(tell_anchors, REPLY), "anchors")
     edges = corpus.cogroup(told.groupBy("block")).applyInArrow(ask_edges(window, size, buckets), ROW)
