@@ -26,8 +26,6 @@ from . import words
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern published with this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Texts are encoded in stretches of about so many bytes, cut where a line ends; a longer line is a stretch of its own.
-STRETCH = 1 << 20
 
 
 def line_starts(raw: np.ndarray) -> np.ndarray:
@@ -61,7 +59,8 @@ def count_tokens(docs: DataFrame, fields: list[str] | None = None, rule: str = "
     Sections are the lines of ``text``, or the ``fields`` laid end to end, in
     order (null ones empty). A null or empty document has no token and one empty
     section (or as many as fields). Special tokens have no meaning inside texts.
-    Repeated rows each give a row; other columns are ignored.
+    A text of any length is encoded whole, one at a time. Repeated rows each give
+    a row; an empty table gives none; other columns are ignored.
     """
     if rule not in ("first", "most", "share"):
         raise ValueError(f"no rule {rule!r}")
@@ -82,16 +81,9 @@ def count_tokens(docs: DataFrame, fields: list[str] | None = None, rule: str = "
             for d in range(batch.num_rows):
                 raw = data[at[d] : at[d + 1]]
                 starts = line_starts(raw)
-                ids, lo = [], 0
-                while lo < len(raw):
-                    hi = len(raw)
-                    if hi - lo > STRETCH:
-                        later = starts[starts > lo + STRETCH]
-                        hi = int(later[0]) if len(later) else hi
-                    ids.append(encoding.encode_to_numpy(raw[lo:hi].tobytes().decode(), disallowed_special=()))
-                    lo = hi
-                end = np.cumsum(length[np.concatenate(ids)]) if ids else np.zeros(0, np.int64)
-                start = end - length[np.concatenate(ids)] if ids else end
+                ids = encoding.encode_to_numpy(raw.tobytes().decode(), disallowed_special=())
+                end = np.cumsum(length[ids])
+                start = end - length[ids]
                 character = np.concatenate((np.cumsum((raw & 0xC0) != 0x80), [0]))  # number of the character each byte belongs to, from 1
                 spans = (character[start] - 1, character[end - 1]) if len(end) else (start, end)
                 cuts = starts if cut_bytes[d] is None else np.minimum(np.array(cut_bytes[d], np.int64), len(raw))
