@@ -10,7 +10,8 @@ equal coordinate makes a candidate, which the document's whole shingle set then
 confirms or not.
 
 The benchmark is a stated query set: its distinct texts go to the tasks in blocks
-of about ``ITEM_BYTES``, one pass over the documents for each.
+of about ``ITEM_BYTES``, one pass over the documents for each. A pass is written
+before the next one is planned, so the driver and a plan hold one block at most.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import minhash, words
+from .shared import drop_written, written
 
 COORDINATES = 48
 ITEM_BYTES = 2 << 20
@@ -100,13 +103,13 @@ class Items:
 
 
 def item_blocks(items: DataFrame, n: int):
-    """The distinct item texts, each with its smallest item_id, in blocks of bounded size."""
+    """``(block, whether it is the last)``: the distinct item texts, each with its smallest item_id, in blocks of bounded size."""
     own = items.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / ITEM_BYTES))
     for b in range(blocks):
         rows = own.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        yield Items([r.item_id for r in rows], [r.text for r in rows], n)
+        yield Items([r.item_id for r in rows], [r.text for r in rows], n), b == blocks - 1
 
 
 def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -119,19 +122,22 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int
     are ignored.
     """
 
+    kind = to_arrow_type(items.schema["item_id"].dataType)
+
     def of(block: Items):
         def find(batches):
             for batch in batches:
                 hits = [x for x in block.search(batch.column("text")) if 100 * x[3] >= percent * x[2]]
                 take = batch.column("doc_id").take(pa.array([x[0] for x in hits], pa.int64()))
-                yield pa.RecordBatch.from_arrays([take, pa.array([block.ids[x[1]] for x in hits], pa.int64()), pa.array([x[2] for x in hits], pa.int64()), pa.array([x[3] for x in hits], pa.int64()), pa.array([x[3] / x[2] for x in hits], pa.float64())], names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
+                yield pa.RecordBatch.from_arrays([take, pa.array([block.ids[x[1]] for x in hits], kind), pa.array([x[2] for x in hits], pa.int64()), pa.array([x[3] for x in hits], pa.int64()), pa.array([x[3] / x[2] for x in hits], pa.float64())], names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
         return find
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string("item_id long, n_shingles long, n_shared long, containment double")])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", items.schema["item_id"].dataType), *T._parse_datatype_string("n_shingles long, n_shared long, containment double")])
     out = None
-    for block in item_blocks(items, n):
+    for block, last in item_blocks(items, n):
         part = docs.select("doc_id", "text").mapInArrow(of(block), schema)
+        part = part if last else written(part, "contained")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -150,6 +156,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, percent: in
 
         return keep
 
-    for block in item_blocks(items, n):
-        docs = docs.mapInArrow(of(block), docs.schema)
+    for block, last in item_blocks(items, n):
+        left = docs.mapInArrow(of(block), docs.schema)
+        before, docs = docs, left if last else written(left, "clean")
+        if not last:
+            drop_written(before)
     return docs
