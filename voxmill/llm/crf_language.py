@@ -5,7 +5,10 @@ word, averaged), prefixes and suffixes of two and three bytes, and the word
 itself (the lexicon), each hashed into a table of its own. Transition weights
 are learned with them. Training lays segments of differently labelled documents
 end to end, so the chain sees switches of language; each round, every share
-of the sample runs one epoch of AdaGrad and the weights are averaged.
+of the sample runs one epoch of AdaGrad and the weights are averaged. The model
+also holds which byte trigrams the sample has: what share of a word's trigrams
+it knows, averaged over a text's words, is a measure of confidence that does not
+depend on how many languages there are, and is high for texts that mix them.
 
 Labelling runs forward-backward over whole documents. The chain is cut into
 steps of ``CHUNK`` words: transfer matrices of all chunks are multiplied at
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,6 +143,7 @@ def _epoch(weights: np.ndarray, moves: np.ndarray, langs: list[str], turn: int,
 
     def train(table):
         w_, m_ = weights.copy(), moves.copy()
+        seen = np.zeros(len(w_), dtype=bool)
         sum_w, sum_m = np.full(w_.shape, 1e-2, np.float32), np.full(m_.shape, 1e-2)
         rng = np.random.default_rng(turn)
         table = table.sort_by("mark").combine_chunks()
@@ -157,6 +161,7 @@ def _epoch(weights: np.ndarray, moves: np.ndarray, langs: list[str], turn: int,
             flat = take.ravel()
             view = _Part(w, flat)
             grams, each, first = features(data, view)
+            seen[grams[1]] = True
             size = view.end - view.start
             energy = emissions(w_, grams, each, first, size).reshape(steps, -1, len(langs))
             by_word, by_move = _gradient(energy.astype(np.float64), m_, label[take])
@@ -171,7 +176,7 @@ def _epoch(weights: np.ndarray, moves: np.ndarray, langs: list[str], turn: int,
             by_move = by_move / take.shape[1]
             sum_m += by_move * by_move
             m_ += 0.1 * by_move / np.sqrt(sum_m)
-        return pa.Table.from_arrays([pa.array([w_.astype(np.float32).tobytes()], pa.binary()), pa.array([m_.astype(np.float64).tobytes()], pa.binary()), pa.array([float(len(order))])], names=["weights", "moves", "n"])
+        return pa.Table.from_arrays([pa.array([w_.astype(np.float32).tobytes()], pa.binary()), pa.array([m_.astype(np.float64).tobytes()], pa.binary()), pa.array([float(len(order))]), pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["weights", "moves", "n", "seen"])
 
     return train
 
@@ -184,74 +189,133 @@ class _Part:
 
 
 class Model:
-    def __init__(self, langs: list[str], weights: np.ndarray, moves: np.ndarray):
-        self.langs, self.weights, self.moves = langs, weights, moves
+    """``langs`` in order, the weights of features and transitions, and which feature rows the sample has."""
 
-    def label(self, data: np.ndarray, at: np.ndarray):
-        """Per text: the expected share of its lettered words in each language."""
+    def __init__(self, langs: list[str], weights: np.ndarray, moves: np.ndarray, seen: np.ndarray):
+        self.langs, self.weights, self.moves, self.seen = langs, weights, moves, seen
+
+    def words(self, data: np.ndarray, at: np.ndarray):
+        """The words of texts, each one's posterior of each language, whether it has a letter (or a byte above 127), and the share of its bytes' trigrams that is known."""
         w = words.Words(data, at, lower=True, spans=True)
         grams, each, first = features(data, w)
         p = posteriors(emissions(self.weights, grams, each, first, w.end - w.start), self.moves, w.bounds)
         letter = np.zeros(256, dtype=bool)
         letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-        has = np.add.reduceat(np.append(letter[data], False).astype(np.int64), w.start) > 0 if len(w.start) else np.zeros(0, bool)
-        mass = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(p * has[:, None], axis=0)))
-        share = mass[w.bounds[1:]] - mass[w.bounds[:-1]]
-        return share / np.maximum(share.sum(axis=1, keepdims=True), 1e-12)
+        if not len(w.start):
+            return w, p, np.zeros(0, bool), np.zeros(0)
+        has = np.add.reduceat(np.append(letter[data], False).astype(np.int64), w.start) > 0
+        return w, p, has, np.add.reduceat(self.seen[grams[1]].astype(np.int64), first) / (w.end - w.start)
+
+    def label(self, data: np.ndarray, at: np.ndarray):
+        """Per text: the expected share of its lettered words in each language, and the mean of what share of their trigrams is known."""
+        w, p, has, known = self.words(data, at)
 
+        def by_text(values):
+            total = np.concatenate((np.zeros((1, values.shape[1])), np.cumsum(values * has[:, None], axis=0)))
+            return total[w.bounds[1:]] - total[w.bounds[:-1]]
+
+        share, count = by_text(p), by_text(np.stack((known, np.ones(len(known))), axis=1))
+        return share / np.maximum(share.sum(axis=1, keepdims=True), 1e-12), count[:, 0] / np.maximum(count[:, 1], 1)
 
-def fit(labelled: DataFrame, per_language: int = 300, rounds: int = 3, shares: int = 4) -> Model | None:
-    """Trains on ``(text, lang)`` rows with neither null; None if there are none.
 
-    About ``per_language`` whole documents of each language are used, chosen by a
-    hash of the text: a sample of bounded expected size. Weights are averaged on
-    the driver: ``shares`` tables of fixed size a round.
+def sample_texts(labelled: DataFrame, per_language: int, most_languages: int, most_chars: int) -> DataFrame:
+    """``(text, lang, mark)``: of each language at most ``per_language`` different texts, chosen by a hash; copies count once.
+
+    Only the ``most_languages`` languages with most rows are learned, and of a
+    text ``most_chars`` characters, so the sample is bounded in bytes.
     """
     rows = labelled.select("text", "lang", F.xxhash64("text").alias("mark")).where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    chosen = rows.select("lang", "mark").distinct().join(F.broadcast(common), "lang").withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "mark")
+    taken = rows.join(F.broadcast(chosen), ["lang", "mark"])  # at most per_language * most_languages rows of a name and a number
+    return taken.withColumn("text", F.substr("text", F.lit(1), F.lit(most_chars))).groupBy("lang", "mark").agg(F.min("text").alias("text"))
+
+
+def fit(labelled: DataFrame, per_language: int = 300, rounds: int = 3, shares: int = 4, most_languages: int = 64, most_chars: int = 50_000) -> Model | None:
+    """Trains on ``(text, lang)`` rows with neither null; None if there are none.
+
+    The sample is bounded, see ``sample_texts``. Weights are averaged on the
+    driver: ``shares`` tables a round, of a size bounded by ``most_languages``.
+    """
+    sample = written(sample_texts(labelled, per_language, most_languages, most_chars), "sample")
+    langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = sorted(counts)
-    keep = F.lit(False)
-    for lang in langs:
-        keep = keep | ((F.col("lang") == lang) & (F.pmod("mark", F.lit(1_000_000)) <= int(1e6 * per_language / counts[lang])))
-    sample = written(rows.where(keep), "sample").withColumn("share", F.pmod("mark", F.lit(shares)))
+    dealt = sample.withColumn("share", F.pmod("mark", F.lit(shares)))
     weights, moves = np.zeros((KINDS * SIZE, len(langs)), np.float32), np.zeros((len(langs), len(langs)))
+    seen = np.zeros(KINDS * SIZE, dtype=bool)
     for turn in range(rounds):
-        got = sample.groupBy("share").applyInArrow(_epoch(weights, moves, langs, turn), "weights binary, moves binary, n double").collect()
+        got = dealt.groupBy("share").applyInArrow(_epoch(weights, moves, langs, turn), "weights binary, moves binary, n double, seen binary").collect()
         total = sum(r.n for r in got)
         if total:
             weights = sum(np.frombuffer(r.weights, np.float32) * np.float32(r.n / total) for r in got).reshape(weights.shape)
             moves = sum(np.frombuffer(r.moves, np.float64) * (r.n / total) for r in got).reshape(moves.shape)
-    return Model(langs, weights, moves)
+        for r in got:
+            seen |= np.unpackbits(np.frombuffer(r.seen, np.uint8))[: len(seen)].astype(bool)
+    return Model(langs, weights, moves, seen)
+
+
+def _lettered(text: str):
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
 def label_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``: the language of most of the text's words, and its expected share of them.
+    """``docs`` with ``lang_pred``, ``score`` and ``known``: the language of most of the text's words, its expected share of them, the mean share of their byte trigrams that the model knows.
 
-    ``und`` and 0 where the text is null, has no letter, or there is no model.
+    ``und``, 0 and 0 where the text is null, has no letter, or there is no model.
     Ties go to the first language in order. Repeated rows get equal labels; columns
-    named lang_pred and score are replaced.
+    of the added names are replaced; an empty table gives no row. Texts are labelled whole.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "has_letter")]
+    made = ("lang_pred", "score", "known")
+    keep = [c for c in docs.columns if c not in made]
+    if model is None:
+        return docs.select(*keep).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "known": F.lit(0.0)})
+    given = [f"given{i}_" for i in range(len(keep))]
 
     def label(batches):
         for batch in batches:
-            data, at = words.utf8(batch.column(batch.schema.get_field_index(text)))
-            lettered = batch.column(batch.schema.get_field_index("has_letter")).to_numpy(zero_copy_only=False)
-            lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            data, at = words.utf8(batch.column("whole"))
+            lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
+            lang, score, known = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for lo, hi in words.slices(at):
-                share = model.label(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                share, part = model.label(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 best = share.argmax(axis=1)
                 for d in np.flatnonzero(lettered[lo:hi]).tolist():
-                    lang[lo + d], score[lo + d] = model.langs[best[d]], min(1.0, float(share[d, best[d]]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                    lang[lo + d], score[lo + d], known[lo + d] = model.langs[best[d]], min(1.0, float(share[d, best[d]])), part[d]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), pa.array(lang, pa.string()), pa.array(score), pa.array(known)], names=[*given, *made])
 
-    flagged = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    if model is None:
-        return docs.select(*keep).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return flagged.mapInArrow(label, schema)
+    flagged = docs.select(*(F.col(c).alias(g) for c, g in zip(keep, given, strict=True)), F.col(text).alias("whole"), _lettered(text).alias("lettered"))
+    schema = T.StructType([*(T.StructField(g, docs.schema[c].dataType) for c, g in zip(keep, given, strict=True)), *T._parse_datatype_string("lang_pred string, score double, known double")])
+    return flagged.mapInArrow(label, schema).toDF(*keep, *made)
+
+
+def label_words(docs: DataFrame, model: Model, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """``doc_id`` and ``runs``: the words' labels, as runs of one language: (lang, first word, word after the last, mean posterior). Words without a letter join the run before them.
+
+    Null and empty texts and those without a letter have no runs.
+    """
+
+    def label(batches):
+        for batch in batches:
+            data, at = words.utf8(batch.column("text"))
+            runs = []
+            for lo, hi in words.slices(at):
+                w, p, has, _ = model.words(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                best = p.argmax(axis=1)
+                for d in range(hi - lo):
+                    mine = np.arange(w.bounds[d], w.bounds[d + 1])
+                    mine = mine[has[mine]]
+                    first = np.flatnonzero(np.concatenate(([True], best[mine][1:] != best[mine][:-1]))) if len(mine) else np.zeros(0, np.int64)
+                    start = mine[first] - w.bounds[d]
+                    stop = np.append(start[1:], w.bounds[d + 1] - w.bounds[d])
+                    mean = [float(p[x, best[x[0]]].mean()) for x in np.split(mine, first[1:])] if len(mine) else []
+                    runs.append([{"lang": model.langs[best[m]], "first": int(a), "end": int(b), "score": s} for m, a, b, s in zip(mine[first], start, stop, mean, strict=len(mine) > 0)] if len(mine) else [])
+            kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(runs, kind)], names=[id_, "runs"])
+
+    schema = T.StructType([T.StructField(id_, docs.schema[id_].dataType), *T._parse_datatype_string("runs array<struct<lang:string,first:bigint,end:bigint,score:double>>")])
+    return docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).mapInArrow(label, schema)
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_: str = "doc_id", per_language: int = 300) -> DataFrame:
