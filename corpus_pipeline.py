@@ -10,26 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.llm import crf_language, decontaminate, near_dedup, packing, secrets
-from voxmill.llm.shared import written
+from voxmill.llm.shared import aside, written
 
-#: Documents whose likeliest language has less than this share of their words are rejected; texts that mix languages pass.
-LEAST_SHARE = 0.3
+#: Documents are rejected if the model knows less than this share of their words' byte trigrams, averaged over words: no language of the corpus explains them. Texts that mix languages pass.
+LEAST_KNOWN = 0.6
 CAPACITY = 2048
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those no language explains; fills in a missing ``lang``."""
-    held = docs.withColumnsRenamed({c: f"{c}__given" for c in ("lang_pred", "score", "held_out") if c in docs.columns})
-    judged = crf_language.identify(held).where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    judged = judged.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score", "held_out")
-    return judged.withColumnsRenamed({f"{c}__given": c for c in ("lang_pred", "score", "held_out")}).select(*docs.columns)
+    held, back = aside(docs, "doc_id", "text", "lang")
+    judged = crf_language.identify(held).where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("known") >= LEAST_KNOWN))
+    return back(judged.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the smallest doc_id, and of repeated rows of it one."""
-    numbered = written(near_dedup.numbered(docs), "numbered")  # numbered once: a second scan may be split otherwise
+    held, back = aside(docs, "doc_id", "text")
+    numbered = written(near_dedup.numbered(held), "numbered")  # numbered once: a second scan may be split otherwise
     groups = near_dedup.near_duplicates(numbered, n=5, percent=80)
-    return numbered.join(near_dedup.representatives(groups), "rid", "left_semi").select(*docs.columns)
+    return back(numbered.join(near_dedup.representatives(groups), "rid", "left_semi"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in texts; ``n_chars`` follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    return secrets.redact(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("decontaminate", decontamination), ("secret_scan", secret_scan), ("best_fit_packing", best_fit)]
 
-#: Models, signatures and packing are beyond SQL; tests compare the stages with brute force.
+#: Models, signatures and packing are beyond SQL; tests compare the stages, one by one, with brute force.
 ORACLE_SQL = None
 
 

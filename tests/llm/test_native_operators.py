@@ -122,6 +122,15 @@ def test_links_are_brute_force(spark):
     assert Counter(rows_of(secrets.scan(docs), "doc_id", "n_linked")) == want
 
 
+def test_links_name_their_parts(spark):
+    docs = spark.createDataFrame([(1, f"{KEY} {WEAK} https://h/"), (2, f"user=x {WEAK}"), (3, f"{WEAK} host=h {WEAK}x"), (4, "nothing"), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: r.links for r in secrets.scan(docs).collect()}
+    assert got == {1: "linked:21:48@identifier:0:20+endpoint:49:59", 2: "linked:7:34@identifier:0:6", 3: "linked:0:27@endpoint:28:34,linked:35:63@endpoint:28:34", 4: "", 5: ""}
+    assert secrets.scan(docs.where("false")).count() == 0 and secrets.redact(docs.where("false")).count() == 0
+    more = docs.selectExpr("1 found", "2 mark", "doc_id", "3 kind", "text", "4 start")
+    assert secrets.redact(more).columns == more.columns and secrets.redact(more).where("doc_id = 1").first().text == "[secret] [secret] https://h/"
+
+
 def test_redaction(leaks):
     for r in secrets.redact(leaks.drop("found")).collect():
         if r.doc_id == 4:
@@ -276,6 +285,22 @@ def test_token_attribution(spark, rule):
         assert r.section_tokens == pytest.approx(want)
 
 
+def test_long_texts_are_encoded_whole(spark):
+    """Texts over 1 MB, whose white-space runs meet every kind of cut, and rows that repeat or have clashing columns."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.VOCABULARY, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a\n\n\nb  \n\t c\n" * 120_000, ("word " * 9 + "\n\n") * 30_000, "x" * 300_000]
+    rows = [(n, t, 1, "s") for n, t in enumerate(texts)] + [(1, texts[1], 1, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, cuts string")
+    got = [(r.doc_id, r.n_tokens, r.n_sections) for r in token_counts.count_tokens(docs, rule="first").collect()]
+    assert sorted(got) == sorted((n, len(encoding.encode(t, disallowed_special=())), max(1, t.count("\n"))) for n, t, *_ in rows)
+    assert token_counts.count_tokens(docs.where("false")).count() == 0
+
+
 def test_token_fields(spark):
     docs = spark.createDataFrame([(1, "alpha beta", None, "gamma"), (2, None, None, None)], "doc_id long, a string, b string, c string")
     got = {r.doc_id: r for r in token_counts.count_tokens(docs, fields=["a", "b", "c"]).collect()}
@@ -285,5 +310,51 @@ def test_token_fields(spark):
         token_counts.count_tokens(docs, rule="none")
 
 
+def naive_fit(items, capacity):
+    """Best fit by looking at every bin."""
+    bins, out = [], []
+    for size, source, cluster in items:
+        fit = [(left, n) for n, (left, sources, clusters) in enumerate(bins) if left >= size and not (sources & source or clusters & cluster)]
+        if fit:
+            left, n = min(fit)
+            bins[n] = [left - size, bins[n][1] | source, bins[n][2] | cluster]
+        else:
+            n = len(bins)
+            bins.append([capacity - size, source, cluster])
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bins_are_best_fit(seed, monkeypatch):
+    import random
+
+    rng = random.Random(seed)
+    monkeypatch.setattr(packing, "RUN", rng.choice([2, 5, 128]))
+    items = sorted(((rng.randint(0, 60), 1 << rng.randint(0, 3) if rng.random() < 0.9 else 0, 1 << rng.randint(4, 9) if rng.random() < 0.4 else 0) for _ in range(400)), key=lambda x: -x[0])
+    bins = packing.Bins(60)
+    got = [bins.add(*x) for x in items]
+    assert [n for n, _ in got] == naive_fit(items, 60)
+    fill = defaultdict(int)
+    for (size, *_), (n, offset) in zip(items, got, strict=True):
+        assert offset == fill[n]
+        fill[n] += size
+
+
+def test_equal_items_are_packed_fast():
+    import time
+
+    bins, began = packing.Bins(2048), time.time()
+    assert [bins.add(7, 1, 1)[0] for _ in range(16_000)] == list(range(16_000))
+    assert time.time() - began < 4
+
+
+def test_packing_of_equal_rows_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 3)] * 300 + [(2, None, None, 3), (2, "", "s", 3)], "doc_id long, text string, source string, size int")
+    got = packing.pack_documents(docs, 10).collect()
+    assert len(got) == 302 and len({r.bin_id for r in got if r.doc_id == 1}) == 300
+    assert packing.pack_documents(docs.where("false")).count() == 0
+
+
 def test_queries_are_registered():
     assert [n for n in range(1, 11) if any(q.startswith(f"op{n}_") for q in queries.QUERIES)] == list(range(1, 11))

@@ -80,6 +80,16 @@ def drop_written(*tables: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def aside(docs: DataFrame, *own: str):
+    """``docs`` with all columns but ``own`` under names of no meaning, and a function that gives a table of these its columns, names and order again."""
+    held = [c if c in own else f"given{i}_" for i, c in enumerate(docs.columns)]
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(h).alias(c) for h, c in zip(held, docs.columns, strict=True)))
+
+    return docs.toDF(*held), back
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0)
 
