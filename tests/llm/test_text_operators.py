@@ -446,6 +446,21 @@ def test_labels_with_clashing_columns(spark):
     assert rows_of(got.where("doc_id = 1").distinct(), "has_letter", "whole") == [(True, "w")]
 
 
+def test_labels_do_not_depend_on_neighbours(spark, monkeypatch):
+    """A text alone, beside others, and in parts of a few words."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
+    model = crf_language.fit(docs, rounds=1)
+    texts = [r.text for r in docs.limit(30).collect()]
+    whole = model.label(*words.utf8(pa.array(texts)))
+    alone = [model.label(*words.utf8(pa.array([t]))) for t in texts]
+    assert np.allclose(whole[0], np.concatenate([a[0] for a in alone]), atol=1e-5) and np.allclose(whole[1], np.concatenate([a[1] for a in alone]))
+    monkeypatch.setattr(crf_language, "PART", 7)
+    parts = model.label(*words.utf8(pa.array(texts)))
+    assert np.allclose(whole[0], parts[0], atol=1e-5) and np.allclose(whole[1], parts[1])
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert rows_of(crf_language.identify(docs), "lang_pred", "score") == [("und", 0.0)]

@@ -28,6 +28,8 @@ from . import words
 from .shared import written
 
 CHUNK = 64
+#: Words whose features are held at once; bytes of texts that are labelled at once, unless one is longer.
+PART, LABEL_BYTES = 1 << 15, 1 << 19
 SIZE = 1 << 14
 KINDS = 7
 UNKNOWN = "und"
@@ -57,6 +59,13 @@ def features(data: np.ndarray, w: words.Words) -> tuple[np.ndarray, np.ndarray,
     return grams, each, first
 
 
+def spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts laid end to end with a space after each, so that no word's features see the next text."""
+    out = np.full(len(data) + len(at) - 1, 32, dtype=np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = data
+    return out, at + np.arange(len(at))
+
+
 def emissions(weights: np.ndarray, grams: np.ndarray, each: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """``(words, languages)`` log-potentials."""
     out = np.zeros((len(size), weights.shape[1]), dtype=np.float32)
@@ -147,7 +156,7 @@ def _epoch(weights: np.ndarray, moves: np.ndarray, langs: list[str], turn: int,
         sum_w, sum_m = np.full(w_.shape, 1e-2, np.float32), np.full(m_.shape, 1e-2)
         rng = np.random.default_rng(turn)
         table = table.sort_by("mark").combine_chunks()
-        data, at = words.utf8(table.column("text"))
+        data, at = spaced(*words.utf8(table.column("text")))
         w = words.Words(data, at, lower=True, spans=True)
         tag = np.array([langs.index(x) for x in table.column("lang").to_pylist()])
         label = np.repeat(tag, np.diff(w.bounds))
@@ -182,10 +191,10 @@ def _epoch(weights: np.ndarray, moves: np.ndarray, langs: list[str], turn: int,
 
 
 class _Part:
-    """Some words of a batch, in any order."""
+    """Some words of a batch, in any order; ``first`` is the byte their data begins with."""
 
-    def __init__(self, w: words.Words, take: np.ndarray):
-        self.hash, self.start, self.end = w.hash[take], w.start[take], w.end[take]
+    def __init__(self, w: words.Words, take, first: int = 0):
+        self.hash, self.start, self.end = w.hash[take], w.start[take] - first, w.end[take] - first
 
 
 class Model:
@@ -196,15 +205,23 @@ class Model:
 
     def words(self, data: np.ndarray, at: np.ndarray):
         """The words of texts, each one's posterior of each language, whether it has a letter (or a byte above 127), and the share of its bytes' trigrams that is known."""
+        data, at = spaced(data, at)
         w = words.Words(data, at, lower=True, spans=True)
-        grams, each, first = features(data, w)
-        p = posteriors(emissions(self.weights, grams, each, first, w.end - w.start), self.moves, w.bounds)
+        n = len(w.start)
+        energy, known, has = np.empty((n, len(self.langs)), np.float32), np.empty(n), np.empty(n, bool)
         letter = np.zeros(256, dtype=bool)
         letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-        if not len(w.start):
-            return w, p, np.zeros(0, bool), np.zeros(0)
-        has = np.add.reduceat(np.append(letter[data], False).astype(np.int64), w.start) > 0
-        return w, p, has, np.add.reduceat(self.seen[grams[1]].astype(np.int64), first) / (w.end - w.start)
+        for lo in range(0, n, PART):  # features of some words at a time: they take many times a text's room
+            hi = min(n, lo + PART)
+            a = int(w.start[lo]) - 1 if w.start[lo] else 0
+            part = _Part(w, slice(lo, hi), a)
+            mine = data[a : int(w.end[hi - 1]) + 1]
+            grams, each, first = features(mine, part)
+            size = part.end - part.start
+            energy[lo:hi] = emissions(self.weights, grams, each, first, size)
+            known[lo:hi] = np.add.reduceat(self.seen[grams[1]].astype(np.int64), first) / size
+            has[lo:hi] = np.add.reduceat(letter[mine].astype(np.int64), part.start) > 0
+        return w, posteriors(energy, self.moves, w.bounds), has, known
 
     def label(self, data: np.ndarray, at: np.ndarray):
         """Per text: the expected share of its lettered words in each language, and the mean of what share of their trigrams is known."""
@@ -278,7 +295,7 @@ def label_documents(docs: DataFrame, model: Model | None, text: str = "text") ->
             data, at = words.utf8(batch.column("whole"))
             lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
             lang, score, known = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for lo, hi in words.slices(at):
+            for lo, hi in words.slices(at, LABEL_BYTES):
                 share, part = model.label(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 best = share.argmax(axis=1)
                 for d in np.flatnonzero(lettered[lo:hi]).tolist():
@@ -300,7 +317,7 @@ def label_words(docs: DataFrame, model: Model, text: str = "text", id_: str = "d
         for batch in batches:
             data, at = words.utf8(batch.column("text"))
             runs = []
-            for lo, hi in words.slices(at):
+            for lo, hi in words.slices(at, LABEL_BYTES):
                 w, p, has, _ = model.words(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 best = p.argmax(axis=1)
                 for d in range(hi - lo):

@@ -42,6 +42,10 @@ WORDS = 8
 SLICE = 1024
 
 
+#: Two hashes of a row's text and doc_id that name it together.
+MARKS = ["mark", "other"]
+
+
 def set_key(shingle: np.ndarray) -> bytes:
     return hashlib.blake2b(shingle.tobytes(), digest_size=16).digest()
 
@@ -61,7 +65,7 @@ def _sign(n: int):
                     size[d], keys[d] = len(own), set_key(own)
                 count = np.zeros(hi - lo + 1, np.int64)
                 count[full + 1] = band.shape[1]
-                yield pa.RecordBatch.from_arrays([batch.column("rid")[lo:hi], batch.column("doc_id")[lo:hi], batch.column("mark")[lo:hi], pa.array(size), pa.array(keys, pa.binary()), words.list_column(words.signed(band.reshape(-1)), np.cumsum(count))], names=["rid", "doc_id", "mark", "n_shingles", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in ("rid", "doc_id", *MARKS)), pa.array(size), pa.array(keys, pa.binary()), words.list_column(words.signed(band.reshape(-1)), np.cumsum(count))], names=["rid", "doc_id", *MARKS, "n_shingles", "key", "bands"])
 
     return sign
 
@@ -107,9 +111,8 @@ def _compare(percent: int):
 
 def class_sets(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """``(node, shingles)``: the full set of each class, from the text of its first document."""
-    docs = docs.dropDuplicates(["mark", "doc_id"])  # before the join, so repeated rows don't meet there
-    match = docs["mark"].eqNullSafe(nodes["mark"]) & docs["doc_id"].eqNullSafe(nodes["doc_id"])
-    return docs.join(nodes, match).select("node", "key", "text").dropDuplicates(["node"]).mapInArrow(_sets(n), "node long, shingles binary")
+    docs = docs.select(*MARKS, "text").dropDuplicates(MARKS)  # before the join, so repeated rows don't meet there
+    return docs.join(nodes, MARKS).select("node", "key", "text").dropDuplicates(["node"]).mapInArrow(_sets(n), "node long, shingles binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,12 +205,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     columns are ignored.
     """
     own = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id()
-    numbered_ = docs.select(own.cast("long").alias("rid"), "doc_id", "text").withColumn("mark", F.xxhash64("text"))
+    numbered_ = docs.select(own.cast("long").alias("rid"), "doc_id", "text").withColumns({"mark": F.xxhash64("text", "doc_id"), "other": F.xxhash64(F.lit(1), "doc_id", "text")})
     source = numbered_.drop("rid")
-    kind = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string("mark long, n_shingles long, key binary, bands array<long>")])
-    signed = written(numbered_.select("rid", "doc_id", "mark", "text").mapInArrow(_sign(n), kind), "signatures")
-    first = F.min(F.struct("rid", "doc_id", "mark"))
-    nodes = written(signed.where("key is not null").groupBy("key").agg(first.alias("f"), F.min("doc_id").alias("least_id")).select(F.col("f.rid").alias("node"), "f.doc_id", "f.mark", "key", "least_id"), "classes")
+    kind = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string("mark long, other long, n_shingles long, key binary, bands array<long>")])
+    signed = written(numbered_.select("rid", "doc_id", *MARKS, "text").mapInArrow(_sign(n), kind), "signatures")
+    first = F.min(F.struct("rid", *MARKS))
+    nodes = written(signed.where("key is not null").groupBy("key").agg(first.alias("f"), F.min("doc_id").alias("least_id")).select(F.col("f.rid").alias("node"), *(f"f.{c}" for c in MARKS), "key", "least_id"), "classes")
     named = signed.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), F.explode("bands").alias("bucket"))
     shared = named.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(named.join(shared, "bucket"), "members")
@@ -215,7 +218,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     centres = members.join(rank, "node").groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("node")).alias("last"))).alias("c")).select("bucket", (-F.col("c.last")).alias("centre"))
     members = written(members.join(centres, "bucket").select("bucket", "node", "centre"), "members")
 
-    sets = written(class_sets(nodes.select("node", "doc_id", "mark", "key").join(rank, "node", "left_semi"), source, n), "sets")
+    sets = written(class_sets(nodes.select("node", *MARKS, "key").join(rank, "node", "left_semi"), source, n), "sets")
     star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     tested = written(verify(star, sets, percent), "verified")
     tested = tested.unionByName(written(verify(recentred(tested), sets, percent), "verified"))
