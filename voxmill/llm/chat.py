@@ -1,9 +1,11 @@
 """Conversations from reply trees, by DataFrame operations only.
 
 Messages are nodes that name their parent. Root-to-leaf paths come from
-iterative self-joins with doubling: round k extends every path by the ancestors
-2^k steps up, so depth d takes log2(d) rounds. Branches are ranked by score
-within their tree, and each chosen path becomes one formatted conversation.
+iterative self-joins with doubling: round k joins each node to its ancestor 2^k
+steps up and carries the score of the way there, so depth d takes log2(d) rounds
+over one row a node. Leaves are ranked by the score of their path within their
+tree; only the chosen ones' paths are then spelled out, by the same rounds, and
+each becomes one formatted conversation.
 
 A turn is ``<|im_start|>`` role, line feed, text, ``<|im_end|>``, line feed.
 Inside texts and roles, ``<`` followed by any backslashes and ``|`` gets one
@@ -37,6 +39,42 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
+def climbs(messages: DataFrame) -> list[DataFrame]:
+    """``(tree, node, above, score, turns)`` of each round k: the ancestor 2^k steps up (null: none), and what the nodes below it on the way sum to.
+
+    A parent that is null or not a node of the tree makes a root. Nodes on a
+    cycle, or below one, have an ancestor in every round; when only such are left,
+    a round ends no more ways, and the last table still has their ancestors.
+    """
+    nodes = messages.select("tree", "node", "parent", "score")
+    parents = nodes.select("tree", F.col("node").alias("parent"), F.col("node").alias("above"))
+    rounds = [written(nodes.join(parents, ["tree", "parent"], "left").select("tree", "node", "above", "score", F.lit(1).cast("long").alias("turns")), "climbs")]
+    left, before = rounds[0].where("above is not null").count(), None
+    while left and left != before:
+        now = rounds[-1]
+        up = now.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("score").alias("more"), F.col("turns").alias("further"))
+        way = now.join(up, ["tree", "above"], "left")
+        rounds.append(written(way.select("tree", "node", F.col("top").alias("above"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("turns") + F.coalesce("further", F.lit(0).cast("long"))).alias("turns")), "climbs"))
+        left, before = rounds[-1].where("above is not null").count(), left
+    return rounds
+
+
+def leaves(rounds: list[DataFrame]) -> DataFrame:
+    """``(tree, leaf, score, n_turns)`` of the leaves that reach a root."""
+    inner = rounds[0].where("above is not null").select("tree", F.col("above").alias("node"))
+    return rounds[-1].where("above is null").join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score", F.col("turns").alias("n_turns"))
+
+
+def spelled_out(chosen: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """``(tree, leaf, node, up)``: every node on the way of the ``chosen`` leaves to their root, ``up`` steps above."""
+    paths = written(chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")), "paths")
+    for k, jump in enumerate(rounds[:-1]):
+        more = paths.join(jump.where("above is not null").select("tree", "node", "above"), ["tree", "node"])
+        before, paths = paths, written(paths.unionByName(more.select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))), "paths")
+        drop_written(before)
+    return paths
+
+
 def reply_paths(messages: DataFrame) -> DataFrame:
     """``(tree, leaf, node, up)``: each leaf with every node on its way to the root, ``up`` steps above it.
 
@@ -44,25 +82,8 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     parent that is null or not a node of the tree makes a root. Nodes on a cycle,
     or below one, reach no root and give no path.
     """
-    spark = messages.sparkSession
-    nodes = messages.select("tree", "node", "parent")
-    parents = nodes.select("tree", F.col("node").alias("parent"))
-    known = nodes.join(parents, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("above"))
-    jump = written(known, "jumps")
-    leaves = nodes.join(jump.select("tree", F.col("above").alias("node")), ["tree", "node"], "left_anti")
-    paths = written(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    roots = nodes.join(known, ["tree", "node"], "left_anti").select("tree", "node")
-    most, reach = nodes.count(), 1
-    while reach <= most and not jump.isEmpty():
-        before = paths, jump
-        more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
-        paths = written(paths.unionByName(more), "paths")
-        further = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
-        jump = written(jump.join(further, ["tree", "above"]).select("tree", "node", F.col("top").alias("above")), "jumps")
-        drop_written(*before)
-        reach *= 2
-    complete = paths.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct()
-    return paths.join(complete, ["tree", "leaf"], "left_semi")
+    rounds = climbs(messages.select("tree", "node", "parent", F.lit(0.0).alias("score")))
+    return spelled_out(leaves(rounds), rounds)
 
 
 def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
@@ -74,16 +95,18 @@ def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     exclusive) of assistant texts in ``formatted``. Null role or text: empty.
     Other columns are ignored.
     """
-    body = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    paths = written(reply_paths(messages), "paths")
-    scored = paths.join(body.select("tree", "node", "score"), ["tree", "node"])
+    body = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rounds = climbs(messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n_turns"), "leaf")
-    ranked = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("n_turns")).withColumn("rank", F.row_number().over(best))
+    ranked = leaves(rounds).withColumn("rank", F.row_number().over(best))
     if branches is not None:
         ranked = ranked.where(F.col("rank") <= branches)
+    ranked = written(ranked, "ranked")
+    paths = spelled_out(ranked, rounds)
+    drop_written(*rounds)
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
     turn = F.concat(head, escape(F.col("text")), F.lit(CLOSE + "\n"))
-    turns = paths.join(ranked.select("tree", "leaf"), ["tree", "leaf"], "left_semi").join(body.drop("score"), ["tree", "node"]).select("tree", "leaf", "up", "role", turn.alias("turn"), F.length(head).alias("head"), F.length(turn).alias("size"))
+    turns = paths.join(body, ["tree", "node"]).select("tree", "leaf", "up", "role", turn.alias("turn"), F.length(head).alias("head"), F.length(turn).alias("size"))
     before = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
     mask = F.when(F.col("role") == "assistant", F.struct((F.col("at") + F.col("head")).alias("start"), (F.col("at") + F.col("size") - len(CLOSE) - 1).alias("end")))
