@@ -242,6 +242,11 @@ def test_members_are_retried(spark, tmp_path):
     assert got == [f"text {n} " * 50 for n in range(20)]
 
 
+def test_media_of_text_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([("", "a", 1), (None, "b", 1), ("x:y", None, 1), ("", "a", 1)], "doc_id string, text string, n_bytes int")
+    assert Counter((r.doc_id, r.n_bytes) for r in media.media_columns(docs).collect()) == {("", 1): 2, (None, 1): 1, ("x:y", 0): 1}
+
+
 def test_damaged_images():
     image = media.to_png(b"hello")
     with pytest.raises(ValueError):

@@ -107,7 +107,7 @@ def write_archives(docs: DataFrame, path: str, archive_bytes: int = 64 << 20) ->
                     temp, members, size = f"{name}.{uuid.uuid4().hex}.tmp", 0, 0
                     stream = fs.open_output_stream(temp)
                     out = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=True)
-                out.writestr(zipfile.ZipInfo(f"{members}:{'' if doc is None else doc}"), image)
+                out.writestr(zipfile.ZipInfo(str(members) if doc is None else f"{members}:{doc}"), image)
                 members, size = members + 1, size + len(image)
         if out is not None:
             close()
@@ -211,8 +211,8 @@ def image_features(members: DataFrame) -> DataFrame:
                 sample = np.frombuffer(raw, np.uint8)
                 level = np.bincount(sample >> 4, minlength=16)
                 feature = f"{len(raw) // WIDTH}x{WIDTH} mean {int(sample.sum(dtype=np.int64)) / len(raw):.4f} levels {' '.join(map(str, level.tolist()))}"
-                doc = name.split(":", 1)[1]
-                rows.append((doc or None, length, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                _, given, doc = name.partition(":")
+                rows.append((doc if given else None, length, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = list(zip(*rows)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
