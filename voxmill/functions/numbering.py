@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Uses ``spark.checkpoint.dir``; sets a temporary folder only where it is unset and Spark runs in this machine alone."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not on_one_machine(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+
+
 def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
     """``df`` with ``name``: 0, 1, ... in the order of columns whose values together are unique.
 
-    The table is range-partitioned and sorted in its partitions; what is summed
-    in one place is one count for each partition.
+    The table is range-partitioned, sorted in its partitions and checkpointed, so
+    that it is dealt out once; a row's place is its partition and its number there.
+    What is summed in one place is one count for each partition. Rows with equal
+    values come in any order, each with a number of its own.
     """
+    ensure_checkpoints(df.sparkSession)
     tag, place = "__part", "__place"
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(tag, F.spark_partition_id())
-    local = dealt.withColumn(place, F.row_number().over(Window.partitionBy(tag).orderBy(*order)))
+    at = F.monotonically_increasing_id()  # of the sorted partition: its number, and the row's within
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({tag: F.shiftright(at, 33), place: at.bitwiseAND((1 << 33) - 1)}).checkpoint()
     sizes = dealt.groupBy(tag).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy(tag).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(tag, before.alias("__before"))
-    return local.join(F.broadcast(offsets), tag).withColumn(name, (F.col("__before") + F.col(place) - 1 + first).cast("long")).drop(tag, place, "__before")
+    return dealt.join(F.broadcast(offsets), tag).withColumn(name, (F.col("__before") + F.col(place) + first).cast("long")).drop(tag, place, "__before")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import norm, minus, triangle_area, vector
-from ..functions.numbering import numbered
+from ..functions.numbering import ensure_checkpoints, numbered
 
 
 def near_pairs(vertices: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -39,14 +39,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
-def ensure_checkpoints(spark) -> None:
-    """Uses ``spark.checkpoint.dir``; sets a temporary folder only where it is unset (one machine)."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-
-
 def merge_vertices(vertices: DataFrame, faces: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), corners: tuple[str, ...] = ("a", "b", "c")) -> tuple[DataFrame, DataFrame]:
     """Vertices within ``radius`` of each other, directly or through others, become the first of them; faces with equal corners go."""
     roots = components(vertices.select(F.col("vid").alias("node")), near_pairs(vertices, radius, axes))

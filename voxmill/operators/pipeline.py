@@ -7,15 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import numbered
+from ..functions.numbering import ensure_checkpoints, numbered
 from ..spec import GridSpec
 from . import cubes, flux, lattice, nodes, squares
-from .mesh import ensure_checkpoints
 
 
 @dataclass(frozen=True)
 class Surface:
-    """Tables of one run. The elements are checkpointed, the rest is computed on action."""
+    """Tables of one run. The lattice, its fractions and the elements are checkpointed, the rest is computed on action."""
 
     fractions: DataFrame
     elements: DataFrame
@@ -39,22 +38,23 @@ class SurfaceMapper:
         return lattice.depth(lattice.padded(voxels, self.spec), axes).withColumn("weight", lattice.weight(self.spec))
 
     def elements(self, fractions: DataFrame) -> DataFrame:
-        """Segments or triangles, numbered. Numbering reads its table several times, so the table is checkpointed first."""
+        """Segments or triangles, numbered and checkpointed: the jobs that make them run here."""
         spec = self.spec
         ensure_checkpoints(fractions.sparkSession)
         if spec.ndims == 2:
             made = squares.attributes(squares.segments(squares.within(squares.cells(fractions, self.level, self.digits), spec), spec, self.level))
-            return numbered(made.checkpoint(), ["cj", "ci", "part"], "elem_id").checkpoint()
+            return numbered(made, ["cj", "ci", "part"], "elem_id").checkpoint()
         made = cubes.attributes(cubes.triangles(cubes.cells(fractions, self.level, self.digits), spec, self.level)).where("area > 0")
         home = {c: spec.cell_of(a, F.col(f"g{'xyz'[a]}")) for a, c in enumerate(spec.cell_axes)}
-        return numbered(made.checkpoint(), ["ck", "cj", "ci", "part"], "elem_id").withColumns(home).checkpoint()
+        return numbered(made, ["ck", "cj", "ci", "part"], "elem_id").withColumns(home).checkpoint()
 
     def run(self, voxels: DataFrame, check: bool = True) -> Surface:
         spec = self.spec
-        snapped = lattice.collapse(lattice.snap(voxels, spec), spec.voxel_axes)
+        ensure_checkpoints(voxels.sparkSession)
+        snapped = lattice.collapse(lattice.snap(voxels, spec), spec.voxel_axes).checkpoint()
         if check:
             spec.check(snapped)
-        fractions = nodes.node_fractions(self.weighted(snapped), spec)
+        fractions = nodes.node_fractions(self.weighted(snapped), spec).checkpoint()
         elements = self.elements(fractions)
         pairs = flux.candidates(elements, flux.surface_faces(snapped, spec), spec)
         shares = flux.weights(flux.overlaps_2d(pairs) if spec.ndims == 2 else flux.overlaps_3d(pairs))

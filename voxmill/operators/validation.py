@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import project, vector
+from ..functions.numbering import ensure_checkpoints
 
 
 def regular_polygon(spark: SparkSession, sides: int, radius: float, degrees: float = 0.0) -> DataFrame:
@@ -39,9 +40,10 @@ def nearest_element(points: DataFrame, elements: DataFrame, bin_size: float) ->
 
     Segments (ax, ay, bx, by, nx, ny) are entered in every bin their bounding box
     touches, points look at their own bin and the eight around it. Points whose
-    neighbourhood holds no segment within ``bin_size`` get the answer from rings of
-    doubled bins, until none is left.
+    neighbourhood holds no segment within ``bin_size`` go on to bins of eight times
+    the size, until none is left. What is left is checkpointed in each round.
     """
+    ensure_checkpoints(points.sparkSession)
     found, size = None, float(bin_size)
     rest, span = points.select("pid", "x", "y"), None
     limit = elements.agg(F.max(F.greatest(F.abs("ax"), F.abs("ay"), F.abs("bx"), F.abs("by"))).alias("m")).first().m
@@ -57,11 +59,14 @@ def nearest_element(points: DataFrame, elements: DataFrame, bin_size: float) ->
         met = looked.join(entered, ["gx", "gy"]).withColumns({"away": segment_distance(), "side": (F.col("x") - F.col("ax")) * F.col("nx") + (F.col("y") - F.col("ay")) * F.col("ny")})
         best = met.groupBy("pid").agg(F.min_by(F.struct("elem_id", "away", "side"), F.struct("away", "elem_id")).alias("b"))
         sure = best if last else best.where(F.col("b.away") <= size)
+        sure = sure.checkpoint()
         part = sure.select("pid", F.col("b.elem_id").alias("elem_id"), (F.col("b.away") * F.when(F.col("b.side") < 0, -1.0).otherwise(1.0)).alias("distance"))
         found = part if found is None else found.unionByName(part)
         if last:
             return found
-        rest = rest.join(sure.select("pid"), "pid", "left_anti")
+        rest = rest.join(sure.select("pid"), "pid", "left_anti").checkpoint()
+        if rest.isEmpty():
+            return found
         size *= 8
 
 

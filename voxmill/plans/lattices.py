@@ -114,9 +114,34 @@ def ctes(ndims: int) -> dict[str, str]:
         v = lambda c: f"coalesce(max(CASE WHEN ni - ci = {c & 1} AND nj - cj = {c >> 1 & 1} AND nk - ck = {c >> 2} THEN CAST(CAST(round(frac, 9) AS FLOAT) AS DOUBLE) END), 0e0) AS v{c}"
         out["cor"] = f"SELECT ci, cj, ck, {', '.join(v(c) for c in range(8))} FROM (SELECT ni, nj, nk, frac, ni - dx AS ci, nj - dy AS cj, nk - dz AS ck FROM nod CROSS JOIN (VALUES (0), (1)) x(dx) CROSS JOIN (VALUES (0), (1)) y(dy) CROSS JOIN (VALUES (0), (1)) z(dz)) GROUP BY ci, cj, ck"
         out["cub"] = "SELECT * FROM (SELECT *, " + " + ".join(f"{1 << c} * (v{c} > 0.5e0)::INT" for c in range(8)) + " AS cube_index FROM cor) WHERE cube_index NOT IN (0, 255)"
+        out["tri"] = _triangles(spec)
     return out
 
 
+def _triangles(spec: GridSpec) -> str:
+    """Triangles of the crossed cells: joined faces by their saddle value, cases from the rule, corners on the edges."""
+    from ..operators.cubes import EDGES, cases, faces
+
+    joined = []
+    for f, (a, b, c, d) in enumerate(faces()):
+        w = [f"(v{x} - 0.5e0)" for x in (a, b, c, d)]
+        product = f"{w[0]} * {w[2]} - {w[1]} * {w[3]}"
+        joined.append(f"CASE WHEN ({w[0]} > 0) = ({w[2]} > 0) AND ({w[1]} > 0) = ({w[3]} > 0) AND ({w[0]} > 0) <> ({w[1]} > 0) AND (CASE WHEN {w[0]} > 0 THEN {product} ELSE -({product}) END) > 0 THEN {1 << f} ELSE 0 END")
+    at = []
+    for n, cell in enumerate(spec.cell_axes):
+        ends = []
+        for a, b in EDGES:
+            along = (b - a).bit_length() - 1 == n
+            part = f"(0.5e0 - v{a}) / (v{b} - v{a})" if along else "0e0"
+            ends.append(f"CASE WHEN (v{a} > 0.5e0) <> (v{b} > 0.5e0) THEN {spec.lo[n]}e0 + ({cell} + {a >> n & 1} + {part}) * {spec.cell[n]}e0 END")
+        at.append(f"[{', '.join(ends)}] AS e{'xyz'[n]}")
+    table_ = ", ".join(map(str, cases()))
+    corner = ", ".join(f"e{x}[s{n} + 1] AS {x}{n}" for n in range(3) for x in "xyz")
+    square = "power((y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0), 2) + power((z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0), 2) + power((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0), 2)"
+    rows = f"SELECT ci, cj, ck, part, {corner} FROM (SELECT *, {' + '.join(joined)} AS joined, {', '.join(at)} FROM cub) u JOIN (VALUES {table_}) c(index_, joined_, part, s0, s1, s2) ON cube_index = index_ AND joined = joined_"
+    return f"SELECT *, sqrt({square}) / 2 AS area FROM ({rows})"
+
+
 def oracle(ndims: int, last: str) -> str:
     """``last`` after the common tables it may use."""
     return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in ctes(ndims).items()) + "\n" + last

@@ -38,16 +38,23 @@ def plane_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SurfaceMapper(PLANE, digits=9).elements(plane_nodes(spark, sf_dir))
 
 
-def plane_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flux.candidates(plane_elements(spark, sf_dir), flux.surface_faces(plane_voxels(spark, sf_dir), PLANE), PLANE)
+def plane_pairs(spark: SparkSession, sf_dir: str, elements: DataFrame | None = None) -> DataFrame:
+    elements = plane_elements(spark, sf_dir) if elements is None else elements
+    return flux.candidates(elements, flux.surface_faces(plane_voxels(spark, sf_dir), PLANE), PLANE)
 
 
-def plane_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flux.weights(flux.overlaps_2d(plane_pairs(spark, sf_dir)))
+def plane_weights(spark: SparkSession, sf_dir: str, elements: DataFrame | None = None) -> DataFrame:
+    return flux.weights(flux.overlaps_2d(plane_pairs(spark, sf_dir, elements)))
 
 
-def plane_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plane_elements(spark, sf_dir).select("elem_id", (F.lit(2.0) + F.cos("theta")).alias("scalar"))
+def plane_scalars(elements: DataFrame) -> DataFrame:
+    return elements.select("elem_id", (F.lit(2.0) + F.cos("theta")).alias("scalar"))
+
+
+def plane_received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each voxel gets: the elements are made once, for their shares and their scalars."""
+    elements = plane_elements(spark, sf_dir)
+    return flux.apply_flux(plane_weights(spark, sf_dir, elements), plane_scalars(elements))
 
 
 @register("lattice_snap_2d", oracle(2, "SELECT i, j, n_input FROM vox"))
@@ -171,7 +178,7 @@ def _(spark, sf_dir):
     return ends.groupBy("ni", "nj", "nk", "axis").agg(r6(F.max(at)).alias("t"))
 
 
-@register("mesh_area_3d")
+@register("mesh_area_3d", oracle(3, "SELECT round(sum(area), 6) + 0e0 AS area, round(sum(x0 * (y1 * z2 - z1 * y2) + y0 * (z1 * x2 - x1 * z2) + z0 * (x1 * y2 - y1 * x2)) / 6, 6) + 0e0 AS volume, count(*) AS n_triangles FROM tri"))
 def _(spark, sf_dir):
     rows = cubes.triangles(cubes.cells(space_nodes(spark, sf_dir), digits=9), SPACE)
     return cubes.surface_area(rows).select(r6("area").alias("area"), r6("volume").alias("volume"), "n_triangles")
@@ -215,18 +222,23 @@ def _(spark, sf_dir):
 
 @register("flux_apply", oracle(2, "SELECT oid, round(value, 5) AS value FROM rec WHERE value > 1e-4"))
 def _(spark, sf_dir):
-    return flux.apply_flux(plane_weights(spark, sf_dir), plane_scalars(spark, sf_dir)).where("value > 1e-4").select("oid", F.round("value", 5).alias("value"))
+    return plane_received(spark, sf_dir).where("value > 1e-4").select("oid", F.round("value", 5).alias("value"))
 
 
 @register("conservation_error", oracle(2, "SELECT round((SELECT sum(scalar) FROM sca), 5) AS sent, round((SELECT sum(value) FROM rec), 5) AS received, (SELECT count(*) FROM sca WHERE elem_id NOT IN (SELECT elem_id FROM shr)) AS n_uncovered"))
 def _(spark, sf_dir):
-    scalars, weights = plane_scalars(spark, sf_dir), plane_weights(spark, sf_dir)
+    elements = plane_elements(spark, sf_dir)
+    scalars, weights = plane_scalars(elements), plane_weights(spark, sf_dir, elements)
     return flux.conservation(scalars, weights, flux.apply_flux(weights, scalars)).select(F.round("sent", 5).alias("sent"), F.round("received", 5).alias("received"), "n_uncovered")
 
 
-@register("low_coverage_elements", oracle(2, "SELECT elem_id, round(length, 6) AS length FROM ele WHERE elem_id NOT IN (SELECT elem_id FROM shr)"))
+@register("low_coverage_elements", oracle(2, """SELECT elem_id, round(length, 6) AS length FROM ele WHERE elem_id NOT IN (
+         SELECT ovl.elem_id FROM ovl JOIN vox ON vox.oid = ovl.oid WHERE cover > 0 AND n_input > 1 GROUP BY ovl.elem_id, ovl.oid HAVING max(cover) > 1e-6 * min(length))"""))
 def _(spark, sf_dir):
-    return flux.uncovered(plane_elements(spark, sf_dir), plane_weights(spark, sf_dir)).select("elem_id", r6("length").alias("length"))
+    """Elements that no voxel of two or more inputs receives anything from."""
+    elements = plane_elements(spark, sf_dir)
+    dense = plane_pairs(spark, sf_dir, elements).join(plane_voxels(spark, sf_dir).where("n_input > 1").select("oid"), "oid", "left_semi")
+    return flux.uncovered(elements, flux.weights(flux.overlaps_2d(dense))).select("elem_id", r6("length").alias("length"))
 
 
 @register("flux_weights_3d")
@@ -234,7 +246,7 @@ def _(spark, sf_dir):
     return SurfaceMapper(SPACE, digits=9).run(space_points(spark, sf_dir), check=False).weights
 
 
-@register("flux_conserved_3d")
+@register("flux_conserved_3d", oracle(3, "SELECT round(sum(2 + nx), 6) AS sent, 0e0 AS lost, round(sum(2 + nx), 6) AS received, CAST(0 AS BIGINT) AS n_uncovered FROM (SELECT ((y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0)) / (2 * area) AS nx FROM tri WHERE area > 0)"))
 def _(spark, sf_dir):
     surface = SurfaceMapper(SPACE, digits=9).run(space_points(spark, sf_dir), check=False)
     scalars = surface.elements.select("elem_id", (F.lit(2.0) + F.col("nx")).alias("scalar"))

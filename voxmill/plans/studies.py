@@ -11,7 +11,7 @@ from ..functions.geometry import longest_side, shoelace, vector
 from ..operators import ablation, flux, lattice, mesh, squares, validation
 from ..sources import dumps
 from .lattices import PLANE, oracle, table
-from .mapping import plane_nodes, plane_scalars, plane_voxels, plane_weights, r6
+from .mapping import plane_nodes, plane_received, plane_voxels, r6
 from .registry import register
 
 
@@ -19,10 +19,6 @@ def plane_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_voxels(spark, sf_dir).select("oid", "i", "j", (F.col("n_input") * 0.1).alias("removed"), F.when(F.col("oid") % 3 == 0, "Matrix").otherwise("Fiber").alias("phase"))
 
 
-def plane_received(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flux.apply_flux(plane_weights(spark, sf_dir), plane_scalars(spark, sf_dir))
-
-
 @register("ablate_step", oracle(2, "SELECT vox.oid, round(n_input * 0.1e0 + coalesce(value, 0e0), 5) AS removed, n_input * 0.1e0 + coalesce(value, 0e0) <= 2.05e0 AS alive FROM vox LEFT JOIN rec ON rec.oid = vox.oid"))
 def _(spark, sf_dir):
     return ablation.ablate(plane_state(spark, sf_dir), plane_received(spark, sf_dir), 2.05).select("oid", F.round("removed", 5).alias("removed"), "alive")
@@ -93,12 +89,12 @@ def _(spark, sf_dir):
 
 @register(
     "signed_distance",
-    f"""WITH {_RING} SELECT pid, round(min(sqrt(power(x - ax - t * (bx - ax), 2) + power(y - ay - t * (by_ - ay), 2))), 6) AS distance FROM (
+    f"""WITH {_RING} SELECT pid, round(min(sqrt(power(x - ax - t * (bx - ax), 2) + power(y - ay - t * (by_ - ay), 2))) * CASE WHEN bool_and((bx - ax) * (y - ay) - (by_ - ay) * (x - ax) > 0) THEN -1e0 ELSE 1e0 END, 6) + 0e0 AS distance FROM (
       SELECT *, greatest(0e0, least(1e0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / (power(bx - ax, 2) + power(by_ - ay, 2)))) AS t FROM pts CROSS JOIN ring) GROUP BY pid""",
 )
 def _(spark, sf_dir):
     sides = squares.attributes(validation.regular_polygon(spark, 12, 0.15)).select(F.col("side_id").cast("long").alias("elem_id"), "ax", "ay", "bx", "by", "nx", "ny")
-    return validation.nearest_element(points_of_embeddings(spark, sf_dir), sides, 0.1).select("pid", F.round(F.abs("distance"), 6).alias("distance"))
+    return validation.nearest_element(points_of_embeddings(spark, sf_dir), sides, 0.1).select("pid", r6("distance").alias("distance"))
 
 
 @register("misplaced_by_layer", oracle(2, "SELECT 1").rsplit("\n", 1)[0] + ", lay AS (SELECT depth, count(*) AS n_voxels, count(*) FILTER (WHERE n_input >= 4) AS n_misplaced FROM dep JOIN vox USING (i, j) GROUP BY depth) SELECT depth, n_voxels, n_misplaced FROM lay WHERE depth < coalesce((SELECT min(depth) FROM lay WHERE n_misplaced = 0), 1000000)")
@@ -139,11 +135,12 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 4).alias("middle"), F.round(F.median("l_extendedprice") / F.median("l_quantity"), 6).alias("speedup"))
 
 
-@register("attach_by_id_left_join", "SELECT s_suppkey AS tid, p_partkey IS NULL AS missing, coalesce(p_retailprice, -1e0) AS price FROM supplier LEFT JOIN part ON p_partkey = s_suppkey AND p_partkey % 2 = 0")
+@register("attach_by_id_left_join", "SELECT p_partkey AS tid, s_suppkey IS NULL AS missing, coalesce(s_acctbal, -1e6) AS balance FROM part LEFT JOIN supplier ON s_suppkey = p_partkey")
 def _(spark, sf_dir):
-    data = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("sid"), "p_retailprice")
-    joined, _ = dumps.attach(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tid")), data)
-    return joined.select("tid", F.isnan("p_retailprice").alias("missing"), F.when(F.isnan("p_retailprice"), -1.0).otherwise(F.col("p_retailprice")).alias("price"))
+    """Every part with the data of the supplier of its number; most have none."""
+    data = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sid"), "s_acctbal")
+    joined, _ = dumps.attach(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tid")), data)
+    return joined.select("tid", F.isnan("s_acctbal").alias("missing"), F.when(F.isnan("s_acctbal"), -1e6).otherwise(F.col("s_acctbal")).alias("balance"))
 
 
 @register("unattached_rows", "SELECT p_partkey AS tid FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)")
@@ -196,12 +193,12 @@ def _(spark, sf_dir):
     return dumps.label_phases(table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 2).alias("value"))).groupBy("phase").agg(F.count("*").alias("n"))
 
 
-_SPARSE = "(SELECT CAST(j * 1000 + i AS BIGINT) AS node, i, j FROM vox WHERE n_input % 3 = 1)"
+_ALL = "(SELECT CAST(j * 1000 + i AS BIGINT) AS node, i, j FROM vox)"
 
 
-@register("connected_components", oracle(2, "SELECT 1").rsplit("\n", 1)[0].replace("WITH ", "WITH RECURSIVE ", 1) + f", nd AS {_SPARSE}, ed AS (SELECT p.node AS a, q.node AS b FROM nd p JOIN nd q ON abs(p.i - q.i) + abs(p.j - q.j) = 1), cl AS (SELECT node, node AS reach FROM nd UNION SELECT cl.node, ed.b FROM cl JOIN ed ON ed.a = cl.reach) SELECT node, min(reach) AS root FROM cl GROUP BY node")
+@register("connected_components", oracle(2, "SELECT 1").rsplit("\n", 1)[0].replace("WITH ", "WITH RECURSIVE ", 1) + f", nd AS {_ALL}, ed AS (SELECT p.node AS a, q.node AS b FROM nd p JOIN nd q ON abs(p.i - q.i) + abs(p.j - q.j) = 1), cl AS (SELECT node, node AS root, 0 AS nth FROM nd UNION ALL SELECT node, root, nth FROM (SELECT *, bool_or(root < was) OVER () AS moved FROM (SELECT cl.node, cl.root AS was, least(cl.root, coalesce(min(o.root), cl.root)) AS root, cl.nth + 1 AS nth FROM cl LEFT JOIN ed ON ed.a = cl.node LEFT JOIN cl o ON o.node = ed.b GROUP BY cl.node, cl.root, cl.nth)) WHERE moved) SELECT node, min(root) AS root FROM cl GROUP BY node")
 def _(spark, sf_dir):
-    nodes = plane_voxels(spark, sf_dir).where("n_input % 3 = 1").select((F.col("j") * 1000 + F.col("i")).cast("long").alias("node"), "i", "j")
+    nodes = plane_voxels(spark, sf_dir).select((F.col("j") * 1000 + F.col("i")).cast("long").alias("node"), "i", "j")
     step = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1, 0), (0, 1)))))
     to = nodes.withColumn("d", step).select(F.col("node").alias("a"), (F.col("i") + F.col("d.x")).alias("i"), (F.col("j") + F.col("d.y")).alias("j"))
     edges = to.join(nodes.select(F.col("node").alias("b"), "i", "j"), ["i", "j"]).select("a", "b")
@@ -254,7 +251,8 @@ def _(spark, sf_dir):
     return dumps.boxes_to_points(boxes, flat=True)[0]
 
 
-@register("uniform_noise")
+@register("uniform_noise", oracle(2, "SELECT ni, nj, round(frac * (1 + 0.01e0 * (2 * (((CAST(ni AS BIGINT) * 7919 + nj * 104729) * 48271) % 2147483647 / 2147483647e0) - 1)), 9) + 0e0 AS frac FROM nod"))
 def _(spark, sf_dir):
-    """Multiplicative noise of one percent on node fractions, from a fixed seed."""
-    return plane_nodes(spark, sf_dir).withColumn("frac", F.col("frac") * (1 + 0.01 * (2 * F.rand(7) - 1)))
+    """Multiplicative noise of one percent on node fractions, drawn from each node's number, so the same in every run."""
+    drawn = ((F.col("ni").cast("long") * 7919 + F.col("nj") * 104729) * 48271) % 2147483647 / F.lit(2147483647.0)
+    return plane_nodes(spark, sf_dir).select("ni", "nj", (F.round(F.col("frac") * (1 + 0.01 * (2 * drawn - 1)), 9) + F.lit(0.0)).alias("frac"))

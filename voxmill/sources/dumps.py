@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 FLOW_COLUMNS = ("id", "xlo", "ylo", "zlo", "xhi", "yhi", "zhi")
 FLAT_FLOW_COLUMNS = ("id", "xlo", "ylo", "xhi", "yhi")
 
@@ -191,8 +193,8 @@ def list_files(spark: SparkSession, path: str, stride: int = 1, pattern: str = "
 
 def every_nth(files: DataFrame, stride: int) -> DataFrame:
     step = F.expr("try_cast(regexp_extract(path, '([0-9]+)[^0-9/]*$', 1) as long)")
-    nth = F.row_number().over(Window.orderBy(step, "path")) - 1  # a list of file names
-    return files.withColumn("nth", nth).where(F.col("nth") % stride == 0)
+    placed = numbered(files.withColumn("__step", step), ["__step", "path"], "nth")
+    return placed.where(F.col("nth") % stride == 0).withColumn("nth", F.col("nth").cast("int")).drop("__step")
 
 
 def attach(elements: DataFrame, data: DataFrame, left: str = "tid", right: str = "sid") -> tuple[DataFrame, DataFrame]:
@@ -204,10 +206,11 @@ def attach(elements: DataFrame, data: DataFrame, left: str = "tid", right: str =
 
 
 def zip_rows(a: DataFrame, b: DataFrame, order_a: str, order_b: str, per: list[str] | None = None) -> DataFrame:
-    """Pairs of the n-th rows of two listings; what has no partner is left out."""
-    wa, wb = (Window.partitionBy(*(per or [])).orderBy(o) for o in (order_a, order_b))
-    key = [*(per or []), "nth"]
-    return a.withColumn("nth", F.row_number().over(wa)).join(b.withColumn("nth", F.row_number().over(wb)), key)
+    """Pairs of the n-th rows of two listings (n from 1), of each group of ``per`` or of the whole; what has no partner is left out."""
+    if not per:
+        return numbered(a, [order_a], "nth", 1).join(numbered(b, [order_b], "nth", 1), "nth")
+    nth = [F.row_number().over(Window.partitionBy(*per).orderBy(o)) for o in (order_a, order_b)]
+    return a.withColumn("nth", nth[0]).join(b.withColumn("nth", nth[1]), [*per, "nth"])
 
 
 def non_nan_counts(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -15,6 +15,8 @@ from xml.sax.saxutils import quoteattr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 #: Cell types of the VTK formats.
 VTK_VOXEL, VTK_HEXAHEDRON = 11, 12
 
@@ -67,36 +69,29 @@ def stl_lines(triangles: DataFrame, name: str = "surface") -> DataFrame:
 
 def grid_lines(points: DataFrame, cells: DataFrame, fields: list[str], key: str = "id", cell_type: int = VTK_VOXEL) -> DataFrame:
     """ASCII VTK unstructured grid of boxes: points has key, corner, x, y, z; cells has key and the fields."""
-    order = F.row_number().over(_by(key)) - 1
-    numbered = cells.withColumn("nth", order.cast("long"))
-    at = points.join(numbered.select(key, "nth"), key)
+    placed = numbered(cells, [key], "nth")
+    at = points.join(placed.select(key, "nth"), key)
     ring = [0, 1, 2, 3, 4, 5, 6, 7] if cell_type == VTK_VOXEL else [0, 1, 3, 2, 4, 5, 7, 6]
     n = cells.count()
     parts = [_literal(cells, 0, ['<?xml version="1.0"?>', '<VTKFile type="UnstructuredGrid" version="0.1">', "<UnstructuredGrid>", f'<Piece NumberOfPoints="{8 * n}" NumberOfCells="{n}">', '<Points><DataArray type="Float64" NumberOfComponents="3" format="ascii">'])]
     parts.append(_lines(at, 1, F.col("nth") * 8 + F.col("corner"), F.concat_ws(" ", "x", "y", "z")))
     parts.append(_literal(cells, 2, ["</DataArray></Points>", '<Cells><DataArray type="Int64" Name="connectivity" format="ascii">']))
-    parts.append(_lines(numbered, 3, F.col("nth"), F.concat_ws(" ", *(F.col("nth") * 8 + c for c in ring))))
+    parts.append(_lines(placed, 3, F.col("nth"), F.concat_ws(" ", *(F.col("nth") * 8 + c for c in ring))))
     parts.append(_literal(cells, 4, ["</DataArray>", '<DataArray type="Int64" Name="offsets" format="ascii">']))
-    parts.append(_lines(numbered, 5, F.col("nth"), (F.col("nth") * 8 + 8).cast("string")))
+    parts.append(_lines(placed, 5, F.col("nth"), (F.col("nth") * 8 + 8).cast("string")))
     parts.append(_literal(cells, 6, ["</DataArray>", '<DataArray type="UInt8" Name="types" format="ascii">']))
-    parts.append(_lines(numbered, 7, F.col("nth"), F.lit(str(cell_type))))
+    parts.append(_lines(placed, 7, F.col("nth"), F.lit(str(cell_type))))
     parts.append(_literal(cells, 8, ["</DataArray></Cells>", "<CellData>"]))
     section = 9
     for f in fields:
         parts.append(_literal(cells, section, [f'<DataArray type="Float64" Name={quoteattr(f)} format="ascii">']))
-        parts.append(_lines(numbered, section + 1, F.col("nth"), F.col(f).cast("double").cast("string")))
+        parts.append(_lines(placed, section + 1, F.col("nth"), F.col(f).cast("double").cast("string")))
         parts.append(_literal(cells, section + 2, ["</DataArray>"]))
         section += 3
     parts.append(_literal(cells, section, ["</CellData>", "</Piece>", "</UnstructuredGrid>", "</VTKFile>"]))
     return union(parts)
 
 
-def _by(key: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(key)
-
-
 def polydata_lines(points: DataFrame, triangles: DataFrame, fields: list[str]) -> DataFrame:
     """ASCII VTK polydata: points has pid, x, y, z; triangles has tid, a, b, c and the fields."""
     n, m = points.count(), triangles.count()
