@@ -183,15 +183,35 @@ output_dir = "{folders}/out"
     assert done == {"flow": [2, 10], "surface": [2, 10], "solid": [2]}
     assert 'NumberOfCells="2"' in (folders / "out/flow/flow_2.vtu").read_text()
     synced = (folders / "out/synced.pvd").read_text()
-    assert synced.count("DataSet") == 3 and "flow/flow_2.vtu" in synced and "_10" not in synced
+    assert synced.count("DataSet") == 3 and 'group="flow" part="0" file="flow/flow_2.vtu"' in synced and "_10" not in synced
+    (folders / "out/synced.pvd").unlink()
+    (folders / "out/results.zip").unlink()
+    (folders / "out/surface/surface_2.vtp").unlink()
+    (folders / "out/flow/flow_notes.txt").write_text("not an output")
+    with pytest.raises(ValueError):  # no timestep that all have
+        convert.run(spark, config.load(folders / "c.toml"), "ONLY")
+    (folders / "out/surface/surface_2.vtp").write_text("again")
+    assert convert.run(spark, config.load(folders / "c.toml"), "ONLY") == {"flow": [2, 10], "surface": [2, 10], "solid": [2]}
+    assert (folders / "out/synced.pvd").read_text() == synced
     with zipfile.ZipFile(folders / "out/results.zip") as z:
         assert "flow/flow_2.vtu" in z.namelist() and "flow.pvd" in z.namelist()
     with pytest.raises(ValueError):
         sinks.collection([])
 
 
+def test_settings_by_their_older_names(tmp_path):
+    (tmp_path / "c.toml").write_text('[flow]\nflow_dir = "a"\nflow_dt = 1e-9\nstep = 3\n[solid]\nsolid_dir = "b"\nsolid_dt = 1e-10\nvoxel_size = 1e-6\n[surface]\nsurf_data_dir = "c"\nsurf_geom_dir = "d"\nsurface_dt = 1e-9\nstep = 1\n[postprocess]\narchive = true\nsync_enabled = true\n')
+    c = config.load(tmp_path / "c.toml")
+    assert (c.flow.input_dir, c.flow.stride, c.flow.dt, c.flow.output_dir) == ("a", 3, 1e-9, "flow_output")
+    assert (c.solid.input_dir, c.solid.voxel_size) == ("b", 1e-6) and (c.surface.data_dir, c.surface.geometry_dir) == ("c", "d")
+    assert c.postprocess.archive and c.postprocess.sync
+    (tmp_path / "c.toml").write_text('[flow]\nflow_dir = "a"\ninput_dir = "b"\n')
+    with pytest.raises(config.ConfigError):
+        config.load(tmp_path / "c.toml")
+
+
 def test_config_errors(tmp_path):
-    for text in ("", "[other]\na = 1\n", "[flow]\ninput_dir = 3\noutput_dir = 'x'\n", "[flow]\ninput_dir = 'x'\n", "[flow]\ninput_dir = 'x'\noutput_dir = 'y'\nstride = 0\n"):
+    for text in ("", "[other]\na = 1\n", "[flow]\ninput_dir = 3\noutput_dir = 'x'\n", "[flow]\noutput_dir = 'x'\n", "[flow]\ninput_dir = 'x'\nflow_dt = -1.0\n", "[flow]\ninput_dir = 'x'\noutput_dir = 'y'\nstride = 0\n"):
         (tmp_path / "c.toml").write_text(text)
         with pytest.raises(config.ConfigError):
             config.load(tmp_path / "c.toml")

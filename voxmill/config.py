@@ -1,4 +1,7 @@
-"""Conversion settings from a TOML file: sections flow, surface, solid and postprocess, each optional."""
+"""Conversion settings from a TOML file: sections flow, surface, solid and postprocess, each optional.
+
+Settings of the older command-line tool are read as well, see ``OLDER``.
+"""
 
 from __future__ import annotations
 
@@ -14,24 +17,27 @@ class ConfigError(ValueError):
 @dataclass(frozen=True)
 class FlowConfig:
     input_dir: str
-    output_dir: str
+    output_dir: str = "flow_output"
     stride: int = 1
+    dt: float = 0.0
 
 
 @dataclass(frozen=True)
 class SurfaceConfig:
     geometry_dir: str
     data_dir: str
-    output_dir: str
+    output_dir: str = "surface_output"
     stride: int = 1
+    dt: float = 0.0
 
 
 @dataclass(frozen=True)
 class SolidConfig:
     input_dir: str
-    output_dir: str
+    output_dir: str = "solid_output"
     voxel_size: float = 1.0
     stride: int = 1
+    dt: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -39,6 +45,7 @@ class PostprocessConfig:
     sync: bool = True
     archive: bool = False
     output_dir: str = "."
+    plots: bool = False
 
 
 @dataclass(frozen=True)
@@ -50,12 +57,23 @@ class Config:
 
 
 SECTIONS = {"flow": FlowConfig, "surface": SurfaceConfig, "solid": SolidConfig, "postprocess": PostprocessConfig}
+#: Names of settings in files of the older tool, and ours.
+OLDER = {
+    "flow": {"flow_dir": "input_dir", "flow_dt": "dt", "step": "stride"},
+    "surface": {"surf_data_dir": "data_dir", "surf_geom_dir": "geometry_dir", "surface_dt": "dt", "step": "stride"},
+    "solid": {"solid_dir": "input_dir", "solid_dt": "dt", "step": "stride"},
+    "postprocess": {"sync_enabled": "sync", "vis_enabled": "plots"},
+}
 TYPES = {"str": str, "int": int, "float": (int, float), "bool": bool}
 
 
 def _section(name: str, values: dict):
     kind = SECTIONS[name]
     known = {f.name: f for f in fields(kind)}
+    older = OLDER[name]
+    if twice := {older[k] for k in older if k in values} & set(values):
+        raise ConfigError(f"[{name}] has settings by both their names: {', '.join(sorted(twice))}")
+    values = {older.get(k, k): v for k, v in values.items()}
     if unknown := set(values) - set(known):
         raise ConfigError(f"[{name}] has unknown settings: {', '.join(sorted(unknown))}")
     for key, value in values.items():
@@ -66,8 +84,8 @@ def _section(name: str, values: dict):
         made = kind(**values)
     except TypeError as e:
         raise ConfigError(f"[{name}] lacks a setting: {e}") from None
-    if getattr(made, "stride", 1) < 1 or getattr(made, "voxel_size", 1.0) <= 0:
-        raise ConfigError(f"[{name}] stride and voxel_size must be positive")
+    if getattr(made, "stride", 1) < 1 or getattr(made, "voxel_size", 1.0) <= 0 or getattr(made, "dt", 0.0) < 0:
+        raise ConfigError(f"[{name}] stride and voxel_size must be positive, dt not negative")
     return made
 
 

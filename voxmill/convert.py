@@ -97,32 +97,51 @@ def convert_surface(spark: SparkSession, c: settings.SurfaceConfig) -> list[int]
 CONVERTERS = {"flow": (convert_flow, "vtu"), "surface": (convert_surface, "vtp"), "solid": (convert_solid, "vtu")}
 
 
-def run(spark: SparkSession, c: settings.Config, postprocess: bool = True) -> dict[str, list[int]]:
-    """Converts every section, then archives and lists the timesteps all solvers share."""
-    done = {name: convert(spark, getattr(c, name)) for name, (convert, _) in CONVERTERS.items() if getattr(c, name)}
-    if postprocess:
-        folders = {name: getattr(c, name).output_dir for name in done}
-        os.makedirs(c.postprocess.output_dir, exist_ok=True)
-        if c.postprocess.archive:
-            extra = [os.path.join(f, f"{n}.pvd") for n, f in folders.items()]
-            sinks.archive(list(folders.values()), extra, os.path.join(c.postprocess.output_dir, "results.zip"))
-        if c.postprocess.sync:
-            steps = spark.createDataFrame([(n, t) for n, ts in done.items() for t in ts], "solver string, timestep int")
-            common = sorted(r.timestep for r in dumps.common_steps(steps, list(done)).collect())
-            pattern = {n: os.path.relpath(os.path.join(f, f"{n}_{{}}.{CONVERTERS[n][1]}"), c.postprocess.output_dir) for n, f in folders.items()}
-            with open(os.path.join(c.postprocess.output_dir, "synced.pvd"), "w") as out:
-                out.write(sinks.synced_collection(common, pattern))
+def postprocess(spark: SparkSession, c: settings.Config, done: dict[str, list[int]]) -> None:
+    """Archives the outputs and lists the timesteps that all solvers share, as the settings ask."""
+    if c.postprocess.plots:
+        log.warning("plots are not made")
+    folders = {name: getattr(c, name).output_dir for name in done}
+    os.makedirs(c.postprocess.output_dir, exist_ok=True)
+    if c.postprocess.archive:
+        extra = [path for n, f in folders.items() if os.path.exists(path := os.path.join(f, f"{n}.pvd"))]
+        sinks.archive(list(folders.values()), extra, os.path.join(c.postprocess.output_dir, "results.zip"))
+    if c.postprocess.sync:
+        steps = spark.createDataFrame([(n, t) for n, ts in done.items() for t in ts], "solver string, timestep int")
+        common = sorted(r.timestep for r in dumps.common_steps(steps, list(done)).collect())
+        pattern = {n: os.path.relpath(os.path.join(f, f"{n}_{{}}.{CONVERTERS[n][1]}"), c.postprocess.output_dir) for n, f in folders.items()}
+        with open(os.path.join(c.postprocess.output_dir, "synced.pvd"), "w") as out:
+            out.write(sinks.synced_collection(common, pattern))
+
+
+def existing(spark: SparkSession, c: settings.Config) -> dict[str, list[int]]:
+    """Timesteps of outputs that earlier runs left, by solver; a warning for a folder that is missing."""
+    done = {}
+    for name in CONVERTERS:
+        if (section := getattr(c, name)) and os.path.isdir(section.output_dir):
+            done[name] = sorted(r.timestep for r in dumps.output_steps(spark, section.output_dir, name).select("timestep").distinct().collect())
+        elif section:
+            log.warning("no folder %s", section.output_dir)
+    return done
+
+
+def run(spark: SparkSession, c: settings.Config, post: str = "ON") -> dict[str, list[int]]:
+    """Converts every section, then archives and lists the timesteps all solvers share; ``post`` is ON, OFF, or ONLY to convert nothing."""
+    done = existing(spark, c) if post == "ONLY" else {name: convert(spark, getattr(c, name)) for name, (convert, _) in CONVERTERS.items() if getattr(c, name)}
+    if post != "OFF":
+        postprocess(spark, c, done)
     return done
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("config", nargs="?", default="config.toml")
-    parser.add_argument("--logging", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR"])
-    parser.add_argument("--postprocessing", default="ON", choices=["ON", "OFF"])
+    parser.add_argument("--logging", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"])
+    parser.add_argument("--postprocessing", choices=["ON"], help="only post-process what earlier runs have converted")
+    parser.add_argument("--no-postprocessing", action="store_true", help="only convert")
     given = parser.parse_args(argv)
     logging.basicConfig(level=given.logging)
-    run(SparkSession.builder.appName("voxmill-convert").getOrCreate(), settings.load(given.config), given.postprocessing == "ON")
+    run(SparkSession.builder.appName("voxmill-convert").getOrCreate(), settings.load(given.config), "ONLY" if given.postprocessing else "OFF" if given.no_postprocessing else "ON")
     return 0
 
 

@@ -142,17 +142,17 @@ def write_phases(state: DataFrame, folder: str) -> None:
     state.select(F.to_json(F.struct("oid", "phase")).alias("value")).write.mode("overwrite").text(folder)
 
 
-def collection(steps: list[tuple[int, str]]) -> str:
-    """PVD text for (timestep, file) in order of time; ValueError if there are none."""
+def collection(steps: list[tuple[int, str]] | list[tuple[int, str, str]]) -> str:
+    """PVD text for (timestep, file) or (timestep, group, file) in order of time; ValueError if there are none."""
     if not steps:
         raise ValueError("no timestep to list")
-    rows = [f"    <DataSet timestep={quoteattr(str(t))} group=\"\" part=\"0\" file={quoteattr(f)}/>" for t, f in sorted(steps)]
+    rows = [f'    <DataSet timestep={quoteattr(str(t))} group={quoteattr(group[0] if group else "")} part="0" file={quoteattr(f)}/>' for t, *group, f in sorted(steps)]
     return "\n".join(['<?xml version="1.0"?>', '<VTKFile type="Collection" version="0.1">', "  <Collection>", *rows, "  </Collection>", "</VTKFile>", ""])
 
 
 def synced_collection(common: list[int], solvers: dict[str, str]) -> str:
-    """PVD text of every common timestep and solver; ``solvers`` maps a name to its file pattern with ``{}`` for the timestep."""
-    return collection([(t, pattern.format(t)) for t in common for _, pattern in sorted(solvers.items())])
+    """PVD text of every common timestep and solver, grouped by solver; ``solvers`` maps a name to its file pattern with ``{}`` for the timestep."""
+    return collection([(t, name, pattern.format(t)) for t in common for name, pattern in sorted(solvers.items())])
 
 
 def archive(folders: list[str], extra: list[str], target: str) -> str:
