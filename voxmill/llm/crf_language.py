@@ -30,6 +30,8 @@ from .shared import written
 CHUNK = 64
 #: Words whose features are held at once; bytes of texts that are labelled at once, unless one is longer.
 PART, LABEL_BYTES = 1 << 15, 1 << 19
+#: Parts in which a language's texts are ranked for the sample.
+PARTS = 64
 SIZE = 1 << 14
 KINDS = 7
 UNKNOWN = "und"
@@ -243,8 +245,11 @@ def sample_texts(labelled: DataFrame, per_language: int, most_languages: int, mo
     """
     rows = labelled.select("text", "lang", F.xxhash64("text").alias("mark")).where("text is not null and lang is not null")
     common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
-    chosen = rows.select("lang", "mark").distinct().join(F.broadcast(common), "lang").withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "mark")
+    chosen = rows.select("lang", "mark").distinct().join(F.broadcast(common), "lang").withColumn("part", F.pmod(F.hash("mark"), F.lit(PARTS)))
+    for group in (["lang", "part"], ["lang"]):  # first of each part of a language, so that no task ranks all of it
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("mark"))
+        chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
+    chosen = chosen.select("lang", "mark")
     taken = rows.join(F.broadcast(chosen), ["lang", "mark"])  # at most per_language * most_languages rows of a name and a number
     return taken.withColumn("text", F.substr("text", F.lit(1), F.lit(most_chars))).groupBy("lang", "mark").agg(F.min("text").alias("text"))
 
