@@ -42,27 +42,35 @@ def unescape_role(role: Column) -> Column:
 def climbs(messages: DataFrame) -> list[DataFrame]:
     """``(tree, node, above, score, turns)`` of each round k: the ancestor 2^k steps up (null: none), and what the nodes below it on the way sum to.
 
-    A parent that is null or not a node of the tree makes a root. Nodes on a
-    cycle, or below one, have an ancestor in every round; when only such are left,
-    a round ends no more ways, and the last table still has their ancestors.
+    A round holds the nodes that had an ancestor in the round before. A parent
+    that is null or not a node of the tree makes a root. Nodes on a cycle, or
+    below one, have an ancestor in every round; when only such are left, a round
+    ends no more ways, and the last table still has their ancestors.
     """
     nodes = messages.select("tree", "node", "parent", "score")
     parents = nodes.select("tree", F.col("node").alias("parent"), F.col("node").alias("above"))
     rounds = [written(nodes.join(parents, ["tree", "parent"], "left").select("tree", "node", "above", "score", F.lit(1).cast("long").alias("turns")), "climbs")]
     left, before = rounds[0].where("above is not null").count(), None
     while left and left != before:
-        now = rounds[-1]
-        up = now.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("score").alias("more"), F.col("turns").alias("further"))
-        way = now.join(up, ["tree", "above"], "left")
-        rounds.append(written(way.select("tree", "node", F.col("top").alias("above"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("turns") + F.coalesce("further", F.lit(0).cast("long"))).alias("turns")), "climbs"))
+        now = rounds[-1].where("above is not null")
+        up = now.unionByName(arrived(rounds)).select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("score").alias("more"), F.col("turns").alias("further"))
+        rounds.append(written(now.join(up, ["tree", "above"]).select("tree", "node", F.col("top").alias("above"), (F.col("score") + F.col("more")).alias("score"), (F.col("turns") + F.col("further")).alias("turns")), "climbs"))
         left, before = rounds[-1].where("above is not null").count(), left
     return rounds
 
 
+def arrived(rounds: list[DataFrame]) -> DataFrame:
+    """The rows of nodes that have reached a root, each from the round in which it did."""
+    done = rounds[0].where("above is null")
+    for more in rounds[1:]:
+        done = done.unionByName(more.where("above is null"))
+    return done
+
+
 def leaves(rounds: list[DataFrame]) -> DataFrame:
     """``(tree, leaf, score, n_turns)`` of the leaves that reach a root."""
     inner = rounds[0].where("above is not null").select("tree", F.col("above").alias("node"))
-    return rounds[-1].where("above is null").join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score", F.col("turns").alias("n_turns"))
+    return arrived(rounds).join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score", F.col("turns").alias("n_turns"))
 
 
 def spelled_out(chosen: DataFrame, rounds: list[DataFrame]) -> DataFrame:
