@@ -193,3 +193,21 @@ def test_complete_nodes(spark):
     rows = nodes.node_fractions(one, spec, complete=True)
     assert rows.count() == 25 and rows.agg(F.sum("frac")).first()[0] == pytest.approx(1.0)
     assert math.isclose(nodes.fill_total(rows).first().cells_filled, 1.0)
+
+
+def test_iso_surface_in_one_call(spark):
+    """A ball: normals point outward, faces close, each vertex has a value; the level must be met."""
+    spec = GridSpec((0.0, 0.0, 0.0), (10.0, 10.0, 10.0), (10, 10, 10))
+    axis = lambda n: spark.range(11).select(F.col("id").cast("int").alias(n))
+    away = F.sqrt((F.col("ni") - 5.1) ** 2 + (F.col("nj") - 5.2) ** 2 + (F.col("nk") - 4.9) ** 2)
+    values = axis("ni").crossJoin(axis("nj")).crossJoin(axis("nk")).withColumn("frac", F.greatest(F.lit(0.0), 1 - away / 6))
+    vertices, faces = cubes.iso_surface(values, spec, 0.5)
+    v, f = {r.vid: r for r in vertices.collect()}, faces.collect()
+    assert len(v) - len(f) * 3 // 2 + len(f) == 2 and {x for t in f for x in (t.a, t.b, t.c)} == set(v)
+    for r in v.values():
+        assert (r.x - 5.1) * r.nx + (r.y - 5.2) * r.ny + (r.z - 4.9) * r.nz > 2.5 and 0 < r.value <= 1
+    with pytest.raises(GridError):
+        cubes.iso_surface(values, spec, 2.0)
+    import voxmill
+
+    assert voxmill.GridSpec is GridSpec and voxmill.SurfaceMapper.__name__ == "SurfaceMapper"

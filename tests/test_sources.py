@@ -142,6 +142,17 @@ def test_volume_and_phases(spark, tmp_path):
     assert {r.phase for r in dumps.label_phases(volume).collect()} == {"Matrix", "Fiber"}
 
 
+def test_block_of_a_volume(spark, tmp_path):
+    rows = [(a, b, c) for a in range(1, 7) for b in range(1, 6) for c in range(1, 5) if (a + b + c) % 2]
+    (tmp_path / "v.dat").write_text("a\nb\n" + "\n".join(f"{a} {b} {c} 1" for a, b, c in rows) + "\n")
+    got, limits = dumps.sliced_voxels(spark, str(tmp_path / "v.dat"), 2, 3, 1, 2, 0.5, 1.0, 3)
+    want = {((a - 2) * 0.5, (b - 3) * 0.5, (c - 2) * 0.5) for a, b, c in rows if 2 <= a < 5 and 3 <= b < 5 and 2 <= c < 4}
+    assert {(r.x, r.y, r.z) for r in got.collect()} == want and got.select("oid").distinct().count() == len(want)
+    assert limits == [[-0.5] * 3, [2.0, 1.5, 1.5]]
+    with pytest.raises(ValueError):
+        dumps.sliced_voxels(spark, "v.png", 0, 0, 0, 2, 1.0)
+
+
 def test_tiff(spark, tmp_path):
     import struct
 

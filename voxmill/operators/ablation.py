@@ -31,6 +31,29 @@ def ablate_phases(state: DataFrame, received: DataFrame, factors: dict[str, floa
     return rows.withColumns({"effective": raw * factor, "removed": stored}).withColumn("alive", F.col("effective") <= mass).drop("value")
 
 
+def wear(state: DataFrame, received: DataFrame, area: float, axes: tuple[str, ...] = ("i", "j")) -> DataFrame:
+    """One step of wear: ``state`` with ``integrity`` and ``alive`` after it, and ``taken``, the amount each voxel lost.
+
+    ``state`` has oid, the axes, depth and integrity (1: whole), ``received`` oid
+    and value. A surface voxel (depth 0) loses value / area of its integrity. Where
+    nothing is left it goes, and what it could not lose is taken in equal parts
+    from the voxels just below (depth 1) in its block of neighbours; those go
+    too where that is more than they have, and the rest is lost.
+    """
+    rows = state.join(received.select("oid", "value"), "oid", "left").withColumn("value", F.when(F.col("depth") == 0, F.coalesce("value", F.lit(0.0))).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("left", F.col("integrity") - F.col("value") / area)
+    offsets = [o for o in range(3 ** len(axes)) if o != (3 ** len(axes) - 1) // 2]
+    step = F.explode(F.array(*(F.struct(*(F.lit(o // 3**a % 3 - 1).alias(f"d{x}") for a, x in enumerate(axes))) for o in offsets)))
+    over = rows.where("depth = 0 and left <= 0").select(F.col("oid").alias("source"), (-F.col("left") * area).alias("excess"), *axes, step.alias("d"))
+    met = over.select("source", "excess", *((F.col(x) + F.col(f"d.d{x}")).cast("int").alias(x) for x in axes)).join(rows.where("depth = 1").select("oid", *axes), list(axes))
+    shares = met.groupBy("source").agg(F.count("*").alias("n"))
+    more = met.join(shares, "source").groupBy("oid").agg(F.sum(F.col("excess") / F.col("n")).alias("more"))
+    out = rows.join(more, "oid", "left").withColumn("left", F.col("left") - F.coalesce("more", F.lit(0.0)) / area)
+    wanted = F.col("value") + F.coalesce("more", F.lit(0.0))
+    out = out.withColumn("taken", F.least(wanted, F.col("integrity") * area)).withColumn("alive", F.col("left") > 0)
+    return out.withColumn("integrity", F.greatest("left", F.lit(0.0))).drop("value", "left", "more")
+
+
 def spill(state: DataFrame, axes: tuple[str, ...] = ("i", "j"), capacity: float = 1.0) -> DataFrame:
     """One round of spillover: what a voxel lost beyond ``capacity`` goes in equal parts to living neighbours in the 3 x 3 (x 3) block that lie on the surface (depth 0) or just below (1); with none, it stays.
 

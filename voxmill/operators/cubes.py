@@ -199,3 +199,24 @@ def vertex_values(cells_: DataFrame, triangles_: DataFrame) -> DataFrame:
     span = F.greatest(F.lit(0.0), *(F.col(f"v{c}") for c in range(8))) - F.least(F.lit(0.0), *(F.col(f"v{c}") for c in range(8)))
     each = triangles_.select("ci", "cj", "ck", F.explode(F.array("e0", "e1", "e2")).alias("edge")).join(cells_.select("ci", "cj", "ck", span.alias("value")), ["ci", "cj", "ck"])
     return each.groupBy("edge").agg(F.max("value").alias("value"))
+
+
+def vertex_spans(cells_: DataFrame, triangles_: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``vid, value``: for each vertex, the largest range of node values among the cells that meet there (0 included)."""
+    span = F.greatest(F.lit(0.0), *(F.col(f"v{c}") for c in range(8))) - F.least(F.lit(0.0), *(F.col(f"v{c}") for c in range(8)))
+    each = triangles_.select("ci", "cj", "ck", F.explode(F.array("t0", "t1", "t2")).alias("t")).join(cells_.select("ci", "cj", "ck", span.alias("value")), ["ci", "cj", "ck"])
+    each = each.select(*((F.col(f"t.{x}") + F.lit(0.0)).alias(x) for x in "xyz"), "value").groupBy("x", "y", "z").agg(F.max("value").alias("value"))
+    return vertices.join(each, ["x", "y", "z"]).select("vid", "value")
+
+
+def iso_surface(fractions: DataFrame, spec: GridSpec, level: float | None = None, digits: int | None = None, step: int = 1, mask: DataFrame | None = None, classic: bool = False, flip: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(vertices: vid, x, y, z, nx, ny, nz, value)`` and ``(faces: elem_id, a, b, c)`` of the surface of node values at ``level`` (mid-range by default).
+
+    Normals are area-weighted means of the faces'; ``value`` is the largest range
+    of node values about a vertex. GridError for a level outside the values' range.
+    """
+    level = check_level(fractions, level)
+    crossed = cells(fractions, level, digits, step, mask)
+    made = triangles(crossed, spec, level, classic, flip, step)
+    vertices, faces_ = indexed(made)
+    return vertices.join(vertex_normals(vertices, faces_), "vid", "left").join(vertex_spans(crossed, made, vertices), "vid"), faces_

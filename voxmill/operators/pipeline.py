@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import ensure_checkpoints, numbered
-from ..spec import GridSpec
+from ..spec import GridError, GridSpec
 from . import cubes, flux, lattice, nodes, squares
 
 
@@ -55,6 +55,8 @@ class SurfaceMapper:
         if check:
             spec.check(snapped)
         fractions = nodes.node_fractions(self.weighted(snapped), spec).checkpoint()
+        if check and fractions.where(F.col("frac") >= self.level).isEmpty():
+            raise GridError("no node is filled to the level, so there is no surface")
         elements = self.elements(fractions)
         pairs = flux.candidates(elements, flux.surface_faces(snapped, spec), spec)
         shares = flux.weights(flux.overlaps_2d(pairs) if spec.ndims == 2 else flux.overlaps_3d(pairs))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
+from .tiff import read_tiff
 
 FLOW_COLUMNS = ("id", "xlo", "ylo", "zlo", "xhi", "yhi", "zhi")
 FLAT_FLOW_COLUMNS = ("id", "xlo", "ylo", "xhi", "yhi")
@@ -175,6 +176,28 @@ def slice_volume(volume: DataFrame, x: int, y: int, z: int, half: int, height: i
     return volume.where(inside & (F.col("value") == keep)).select((F.col("i") - (x - half)).alias("i"), (F.col("j") - (y - half)).alias("j"), (F.col("k") - z).alias("k"))
 
 
+def sliced_voxels(spark: SparkSession, path: str, x: int, y: int, z: int, side: int, voxel_size: float, buffer: float = 5.0, height: int | None = None) -> tuple[DataFrame, list[list[float]]]:
+    """``(oid, x, y, z)`` centres of a block of a volume file, and the limits of a grid about it: ``[lo, hi]``.
+
+    The block has ``side`` voxels across, about (x, y), and ``height`` (``side``
+    unless given) from z on. The first axis of the result is the one through the
+    thickness, the last one the rows of a page; ``buffer`` is in voxels. TIFF by
+    ``.tif`` or ``.tiff``, text by ``.txt`` or ``.dat``, whose first column is the
+    thickness; ValueError for other names.
+    """
+    height = height or side
+    if path.endswith((".tif", ".tiff")):
+        volume = read_tiff(spark, path)
+    elif path.endswith((".txt", ".dat")):
+        volume = read_volume(spark, path).select(F.col("k").alias("i"), "j", F.col("i").alias("k"), "value")
+    else:
+        raise ValueError(f"no volume format for {path}")
+    block = slice_volume(volume, x, y, z, side // 2, height)
+    oid = (F.col("i").cast("long") * side + F.col("j")) * height + F.col("k")
+    rows = block.select(oid.alias("oid"), *((F.col(a) * voxel_size).alias(b) for a, b in zip("kji", "xyz", strict=True)))
+    return rows, [[-buffer * voxel_size] * 3, [(n + buffer) * voxel_size for n in (height, side, side)]]
+
+
 def label_phases(volume: DataFrame) -> DataFrame:
     return volume.withColumn("phase", F.when(F.col("value") == 0, "Matrix").otherwise("Fiber"))
 
