@@ -84,6 +84,19 @@ def test_repeats_across_small_blocks(spark, awkward):
     assert Counter(whole) == Counter(small)
 
 
+def test_repeats_with_few_buckets(spark):
+    """Spark's limit of buckets is met, not run into."""
+    key = "spark.sql.sources.bucketing.maxBuckets"
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i} " + "x y z " * i) for i in range(40)], "doc_id long, text string").repartition(4)
+    whole = sorted(rows_of(substring_dedup.remove_repeats(docs, window=8), "doc_id", "kept"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        assert sorted(rows_of(substring_dedup.remove_repeats(docs, window=8, block_bytes=100, bucket_bytes=500), "doc_id", "kept")) == whole
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_repeats_on_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     got = {r[0]: r[1:] for r in rows_of(substring_dedup.remove_repeats(docs, window=35, with_text=False), "doc_id", "n_removed", "kept")}

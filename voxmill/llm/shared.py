@@ -59,8 +59,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like ``written``, as a bucketed table: joins and groups by ``key`` read it where it lies, without a shuffle."""
+    """Like ``written``, as a bucketed table: joins and groups by ``key`` read it where it lies, without a shuffle. Spark limits the number of buckets; they then hold more."""
     spark = df.sparkSession
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
     df.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(table)
