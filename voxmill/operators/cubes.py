@@ -171,11 +171,8 @@ def indexed(triangles_: DataFrame) -> tuple[DataFrame, DataFrame]:
     Corners at equal coordinates are one vertex (a node exactly at the level makes
     several edges meet there), and faces left with two equal corners go.
     """
-    corners = None
-    for n in range(3):
-        part = triangles_.select("ci", "cj", "ck", "part", F.lit(n).alias("corner"), f"t{n}.*")
-        corners = part if corners is None else corners.unionByName(part)
-    corners = corners.withColumns({x: F.col(x) + F.lit(0.0) for x in "xyz"})
+    corners = triangles_.select("ci", "cj", "ck", "part", F.posexplode(F.array("t0", "t1", "t2")).alias("corner", "t"))
+    corners = corners.select("ci", "cj", "ck", "part", "corner", *((F.col(f"t.{x}") + F.lit(0.0)).alias(x) for x in "xyz"))
     vertices = numbered(corners.select("x", "y", "z").distinct(), ["z", "y", "x"], "vid")
     named = corners.join(vertices, ["x", "y", "z"]).groupBy("ci", "cj", "ck", "part").agg(*(F.max(F.when(F.col("corner") == n, F.col("vid"))).alias(x) for n, x in enumerate("abc")))
     whole = named.where("a <> b and b <> c and a <> c")

@@ -82,7 +82,7 @@ def attributes(segments_: DataFrame) -> DataFrame:
 
 def indexed(segments_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(vertices: vid, x, y)`` and ``(lines: elem_id, a, b)``, both counted from 0 in lattice order; one vertex per lattice edge crossed."""
-    ends = segments_.select(F.col("a_edge").alias("e"), F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(segments_.select(F.col("b_edge").alias("e"), F.col("bx").alias("x"), F.col("by").alias("y")))
+    ends = segments_.select(F.explode(F.array(*(F.struct(F.col(f"{p}_edge").alias("e"), F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for p in "ab"))).alias("end")).select("end.*")
     vertices = numbered(ends.groupBy("e").agg(F.min("x").alias("x"), F.min("y").alias("y")).select("e.ni", "e.nj", "e.axis", "x", "y"), ["nj", "ni", "axis"], "vid")
     lines = numbered(segments_, ["cj", "ci", "part"], "elem_id")
     key = F.struct("ni", "nj", "axis")

@@ -111,15 +111,34 @@ def ctes(ndims: int) -> dict[str, str]:
         out["sca"] = "SELECT elem_id, 2e0 + cos(atan2(by_ - ay, bx - ax)) AS scalar FROM ele"
         out["rec"] = "SELECT oid, sum(frac * scalar) AS value FROM shr JOIN sca USING (elem_id) GROUP BY oid"
     else:
-        v = lambda c: f"coalesce(max(CASE WHEN ni - ci = {c & 1} AND nj - cj = {c >> 1 & 1} AND nk - ck = {c >> 2} THEN CAST(CAST(round(frac, 9) AS FLOAT) AS DOUBLE) END), 0e0) AS v{c}"
-        out["cor"] = f"SELECT ci, cj, ck, {', '.join(v(c) for c in range(8))} FROM (SELECT ni, nj, nk, frac, ni - dx AS ci, nj - dy AS cj, nk - dz AS ck FROM nod CROSS JOIN (VALUES (0), (1)) x(dx) CROSS JOIN (VALUES (0), (1)) y(dy) CROSS JOIN (VALUES (0), (1)) z(dz)) GROUP BY ci, cj, ck"
-        out["cub"] = "SELECT * FROM (SELECT *, " + " + ".join(f"{1 << c} * (v{c} > 0.5e0)::INT" for c in range(8)) + " AS cube_index FROM cor) WHERE cube_index NOT IN (0, 255)"
+        out["cor"] = _corners()
+        out["cub"] = _CROSSED
         out["tri"] = _triangles(spec)
     return out
 
 
-def _triangles(spec: GridSpec) -> str:
-    """Triangles of the crossed cells: joined faces by their saddle value, cases from the rule, corners on the edges."""
+#: Cells of ``cor`` that the surface crosses.
+_CROSSED = "SELECT * FROM (SELECT *, " + " + ".join(f"{1 << c} * (v{c} > 0.5e0)::INT" for c in range(8)) + " AS cube_index FROM cor) WHERE cube_index NOT IN (0, 255)"
+
+
+def _corners(step: int = 1) -> str:
+    """Corner values of cells of ``step`` nodes a side."""
+    v = lambda c: f"coalesce(max(CASE WHEN ni - ci = {step * (c & 1)} AND nj - cj = {step * (c >> 1 & 1)} AND nk - ck = {step * (c >> 2)} THEN CAST(CAST(round(frac, 9) AS FLOAT) AS DOUBLE) END), 0e0) AS v{c}"
+    offsets = " ".join(f"CROSS JOIN (VALUES (0), ({step})) {x}(d{x})" for x in "xyz")
+    taken = f" WHERE ni % {step} = 0 AND nj % {step} = 0 AND nk % {step} = 0" if step > 1 else ""
+    return f"SELECT ci, cj, ck, {', '.join(v(c) for c in range(8))} FROM (SELECT ni, nj, nk, frac, ni - dx AS ci, nj - dy AS cj, nk - dz AS ck FROM nod {offsets}{taken}) GROUP BY ci, cj, ck"
+
+
+def coarse(last: str) -> str:
+    """As ``oracle(3, last)``, with ``tri`` by the classic cases on every second node, in cells whose upper corner's first index is 0 or 1 modulo 4."""
+    made = ctes(3) | {"cor": _corners(2)}
+    made["cub"] = f"SELECT * FROM ({_CROSSED}) WHERE (ci, cj, ck) IN (SELECT (ni - 2, nj - 2, nk - 2) FROM nod WHERE ni % 4 < 2)"
+    made["tri"] = _triangles(SPACE, classic=True, step=2)
+    return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in made.items()) + "\n" + last
+
+
+def _triangles(spec: GridSpec, classic: bool = False, step: int = 1) -> str:
+    """Triangles of the crossed cells: joined faces by their saddle value (none if ``classic``), cases from the rule, corners on the edges."""
     from ..operators.cubes import EDGES, cases, faces
 
     joined = []
@@ -133,9 +152,10 @@ def _triangles(spec: GridSpec) -> str:
         for a, b in EDGES:
             along = (b - a).bit_length() - 1 == n
             part = f"(0.5e0 - v{a}) / (v{b} - v{a})" if along else "0e0"
-            ends.append(f"CASE WHEN (v{a} > 0.5e0) <> (v{b} > 0.5e0) THEN {spec.lo[n]}e0 + ({cell} + {a >> n & 1} + {part}) * {spec.cell[n]}e0 END")
+            ends.append(f"CASE WHEN (v{a} > 0.5e0) <> (v{b} > 0.5e0) THEN {spec.lo[n]}e0 + ({cell} + {step * (a >> n & 1)} + {step if along else 0} * {part}) * {spec.cell[n]}e0 END")
         at.append(f"[{', '.join(ends)}] AS e{'xyz'[n]}")
-    table_ = ", ".join(map(str, cases()))
+    table_ = ", ".join(map(str, cases(classic)))
+    joined = ["0"] if classic else joined
     corner = ", ".join(f"e{x}[s{n} + 1] AS {x}{n}" for n in range(3) for x in "xyz")
     square = "power((y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0), 2) + power((z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0), 2) + power((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0), 2)"
     rows = f"SELECT ci, cj, ck, part, {corner} FROM (SELECT *, {' + '.join(joined)} AS joined, {', '.join(at)} FROM cub) u JOIN (VALUES {table_}) c(index_, joined_, part, s0, s1, s2) ON cube_index = index_ AND joined = joined_"

@@ -170,10 +170,7 @@ _EDGES = " UNION ALL ".join(
 @register("cube_edge_vertices_3d", oracle(3, f"SELECT ni, nj, nk, axis, round(max(t), 6) + 0e0 AS t FROM ({_EDGES}) GROUP BY ni, nj, nk, axis"))
 def _(spark, sf_dir):
     rows = cubes.triangles(cubes.cells(space_nodes(spark, sf_dir), digits=9), SPACE)
-    ends = None
-    for n in range(3):
-        part = rows.select(f"e{n}.ni", f"e{n}.nj", f"e{n}.nk", f"e{n}.axis", F.col(f"t{n}").alias("p"))
-        ends = part if ends is None else ends.unionByName(part)
+    ends = rows.select(F.explode(F.array(*(F.struct(f"e{n}.ni", f"e{n}.nj", f"e{n}.nk", f"e{n}.axis", F.col(f"t{n}").alias("p")) for n in range(3)))).alias("end")).select("end.*")
     at = F.when(F.col("axis") == 0, (F.col("p.x") + 10) / 2 - F.col("ni")).when(F.col("axis") == 1, (F.col("p.y") + 10) / 2 - F.col("nj")).otherwise((F.col("p.z") + 10) / 2 - F.col("nk"))
     return ends.groupBy("ni", "nj", "nk", "axis").agg(r6(F.max(at)).alias("t"))
 
@@ -184,22 +181,6 @@ def _(spark, sf_dir):
     return cubes.surface_area(rows).select(r6("area").alias("area"), r6("volume").alias("volume"), "n_triangles")
 
 
-@register("mesh_normals_3d")
-def _(spark, sf_dir):
-    rows = cubes.triangles(cubes.cells(space_nodes(spark, sf_dir), digits=9), SPACE)
-    vertices, faces = cubes.indexed(rows)
-    return vertices.join(cubes.vertex_normals(vertices, faces), "vid")
-
-
-@register("mesh_classic_masked_3d")
-def _(spark, sf_dir):
-    """Classic cases, every second node, cells of a mask, winding reversed."""
-    fractions = space_nodes(spark, sf_dir)
-    mask = fractions.where("ni % 4 < 2").select("ni", "nj", "nk")
-    rows = cubes.triangles(cubes.cells(fractions, digits=9, step=2, mask=mask), SPACE, classic=True, flip=True, step=2)
-    return cubes.attributes(rows).select("ci", "cj", "ck", "part", r6("area").alias("area"))
-
-
 @register("spatial_bin_candidates", oracle(2, "SELECT e.elem_id, count(*) AS n_faces FROM ele e JOIN fac f ON abs(e.ci - f.ci) <= 1 AND abs(e.cj - f.cj) <= 1 WHERE f.fx * (by_ - ay) / length + f.fy * (ax - bx) / length > 0 GROUP BY 1"))
 def _(spark, sf_dir):
     return plane_pairs(spark, sf_dir).groupBy("elem_id").agg(F.count("*").alias("n_faces"))

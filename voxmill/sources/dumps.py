@@ -56,8 +56,8 @@ def _fields(rows: DataFrame, kind: str) -> list[str]:
     return found[0].split()[2:]
 
 
-def _dump(spark: SparkSession, path, kind: str) -> tuple[DataFrame, list[str]]:
-    rows = _first_blocks(sections(lines(spark, path)))
+def _dump(listing: DataFrame, kind: str) -> tuple[DataFrame, list[str]]:
+    rows = _first_blocks(sections(listing))
     names = _fields(rows, kind)
     step = rows.where("kind = 'TIMESTEP' and not is_item and trim(line) <> ''").groupBy("path").agg(F.min_by(F.expr("try_cast(trim(line) as int)"), "n").alias("timestep"))
     body = rows.where((F.col("kind") == kind) & ~F.col("is_item") & (F.trim("line") != "")).withColumn("t", tokens())
@@ -71,14 +71,24 @@ def _number(i: int, name: str) -> Column:
 
 def read_flow(spark: SparkSession, path) -> DataFrame:
     """Cells of flow dumps: path, timestep, n (line), and the dump's columns (float, id long). 2D dumps lack z columns."""
-    rows, names = _dump(spark, path, "CELLS")
+    return parse_flow(lines(spark, path))
+
+
+def parse_flow(listing: DataFrame) -> DataFrame:
+    """As ``read_flow``, of ``path, n, line``."""
+    rows, names = _dump(listing, "CELLS")
     require(names, FLOW_COLUMNS if {"zlo", "zhi"} & set(names) else FLAT_FLOW_COLUMNS)
     return rows
 
 
 def read_surface_data(spark: SparkSession, path) -> DataFrame:
     """Rows of surface dumps: path, timestep, n, id and fields."""
-    rows, names = _dump(spark, path, "SURFS")
+    return parse_surface_data(lines(spark, path))
+
+
+def parse_surface_data(listing: DataFrame) -> DataFrame:
+    """As ``read_surface_data``, of ``path, n, line``."""
+    rows, names = _dump(listing, "SURFS")
     require(names, ("id",))
     return rows
 
@@ -94,7 +104,12 @@ def read_surface(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
 
     The timestep is 0 for ``*.surf`` and else the third part of the name between dots.
     """
-    rows = lines(spark, path).withColumn("line", F.trim("line"))
+    return parse_surface(lines(spark, path))
+
+
+def parse_surface(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``read_surface``, of ``path, n, line``."""
+    rows = listing.withColumn("line", F.trim("line"))
     w = Window.partitionBy("path").orderBy("n")
     title = F.when(F.col("line").isin("Points", "Triangles", "Lines"), F.col("line"))
     rows = rows.withColumn("part", F.last(title, ignorenulls=True).over(w)).where("part is not null and line <> '' and line <> part").withColumn("t", tokens())
@@ -108,7 +123,12 @@ def read_surface(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
 
 def read_weights(spark: SparkSession, path) -> DataFrame:
     """``elem_id, oid, frac`` of weight files (elem_id from 0). DumpError for a line outside a block or a voxel twice in an element."""
-    rows = lines(spark, path).where("n > 1 and trim(line) <> ''").withColumn("t", tokens())
+    return parse_weights(lines(spark, path))
+
+
+def parse_weights(listing: DataFrame) -> DataFrame:
+    """As ``read_weights``, of ``path, n, line``."""
+    rows = listing.where("n > 1 and trim(line) <> ''").withColumn("t", tokens())
     w = Window.partitionBy("path").orderBy("n")
     starts, ends = F.col("t")[0] == "start", F.col("t")[0] == "end"
     rows = rows.withColumns({"open": F.sum(F.when(starts, 1).when(ends, -1).otherwise(0)).over(w), "elem_id": F.last(F.when(starts, F.col("t")[1].cast("long") - 1), ignorenulls=True).over(w)})
@@ -123,7 +143,12 @@ def read_weights(spark: SparkSession, path) -> DataFrame:
 
 def read_solid(spark: SparkSession, path) -> DataFrame:
     """Rows of solid CSV files: path, timestep, id, x, y, z and fields (float)."""
-    rows = lines(spark, path).where("trim(line) <> ''")
+    return parse_solid(lines(spark, path))
+
+
+def parse_solid(listing: DataFrame) -> DataFrame:
+    """As ``read_solid``, of ``path, n, line``."""
+    rows = listing.where("trim(line) <> ''")
     mark = rows.where(F.trim("line") == "ITEM: SOLID TIMESTEP").groupBy("path").agg(F.min("n").alias("at"))
     if not rows.select("path").distinct().join(mark, "path", "left_anti").isEmpty():
         raise DumpError("no line ITEM: SOLID TIMESTEP")
@@ -151,8 +176,13 @@ def second_block(rows: DataFrame, header_lines: int = 9) -> DataFrame:
 
 def read_reactions(spark: SparkSession, path, scale: float = 1.0) -> DataFrame:
     """``elem_id, scalar``: the i-th row by id of the second block belongs to element i."""
+    return parse_reactions(lines(spark, path), scale)
+
+
+def parse_reactions(listing: DataFrame, scale: float = 1.0) -> DataFrame:
+    """As ``read_reactions``, of ``path, n, line``."""
     t = tokens()
-    rows = second_block(lines(spark, path)).select("path", t[0].cast("long").alias("id"), (t[1].cast("double") * scale).alias("scalar"))
+    rows = second_block(listing).select("path", t[0].cast("long").alias("id"), (t[1].cast("double") * scale).alias("scalar"))
     nth = F.row_number().over(Window.partitionBy("path").orderBy("id")) - 1
     return rows.select("path", nth.cast("long").alias("elem_id"), "scalar")
 
