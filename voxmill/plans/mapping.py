@@ -222,11 +222,6 @@ def _(spark, sf_dir):
     return flux.uncovered(elements, flux.weights(flux.overlaps_2d(dense))).select("elem_id", r6("length").alias("length"))
 
 
-@register("flux_weights_3d")
-def _(spark, sf_dir):
-    return SurfaceMapper(SPACE, digits=9).run(space_points(spark, sf_dir), check=False).weights
-
-
 @register("flux_conserved_3d", oracle(3, "SELECT round(sum(2 + nx), 6) AS sent, 0e0 AS lost, round(sum(2 + nx), 6) AS received, CAST(0 AS BIGINT) AS n_uncovered FROM (SELECT ((y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0)) / (2 * area) AS nx FROM tri WHERE area > 0)"))
 def _(spark, sf_dir):
     surface = SurfaceMapper(SPACE, digits=9).run(space_points(spark, sf_dir), check=False)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import clip_to_plane, project, unit
 from ..operators import ablation, cubes, lattice, mesh, nodes, validation
+from ..operators.pipeline import SurfaceMapper
 from ..sources import dumps
-from .lattices import PLANE, SPACE, coarse, oracle, table
+from .lattices import PLANE, SPACE, coarse, oracle, space_points, table
 from .mapping import plane_elements, plane_voxels, r6, space_nodes
 from .registry import register
 
@@ -69,6 +70,48 @@ def _(spark, sf_dir):
     return cubes.attributes(rows).select("ci", "cj", "ck", "part", r6("area").alias("area"))
 
 
+def _shares() -> str:
+    """DuckDB text: shares of the voxels in the elements, by clipping each edge of a projected face and of its triangle to the other."""
+    at = lambda b, n: f"CASE face // 2 WHEN {b} THEN {'ijk'[b]} + face % 2 - 0.5e0 WHEN {(b + 2) % 3} THEN {'ijk'[b]} + {(-0.5, 0.5, 0.5, -0.5)[n]}e0 ELSE {'ijk'[b]} + {(-0.5, -0.5, 0.5, 0.5)[n]}e0 END"
+    home = ", ".join(f"CAST(floor(({x} + 10e0) / 2e0) AS INTEGER) AS f{c}" for x, c in zip("ijk", "abc", strict=True))
+    faces = f"SELECT oid, {home}, {', '.join(f'CASE face // 2 WHEN {b} THEN face % 2 * 2 - 1 ELSE 0 END AS f{x}' for b, x in enumerate('xyz'))}, {', '.join(f'{at(b, n)} AS q{n}{x}' for n in range(4) for b, x in enumerate('xyz'))} FROM exp"
+    elements = f"SELECT *, row_number() OVER (ORDER BY ck, cj, ci, part) - 1 AS elem_id, {', '.join(f'({n}) / (2 * area) AS n{x}' for x, n in _N.items())}, {', '.join(f'CAST(floor((({x}0 + {x}1 + {x}2) / 3 + 10e0) / 2e0) AS INTEGER) AS e{c}' for x, c in zip('xyz', 'abc', strict=True))}, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2) + power(z1 - z0, 2)) AS side FROM tri WHERE area > 0"
+    along = ", ".join(f"({x}1 - {x}0) / side AS u{x}" for x in "xyz")
+    across = "ny * uz - nz * uy AS vx, nz * ux - nx * uz AS vy, nx * uy - ny * ux AS vz"
+    flat = lambda p, w: " + ".join(f"({p.replace('_', x)} - {x}0) * {w}{x}" for x in "xyz")
+    plane = ", ".join(f"{flat(f'q{n}_', w)} AS a{n}{w}" for n in range(4) for w in "uv") + ", " + ", ".join(f"{flat(f'_{n}', w)} AS b{n}{w}" for n in range(3) for w in "uv")
+    turn = " + ".join(f"(a{n}u * a{(n + 1) % 4}v - a{(n + 1) % 4}u * a{n}v)" for n in range(4))
+
+    def clipped(own: str, sides: int, other: str, others: int, sign: str, swap: bool) -> str:
+        """Twice the area under the edges of ``own`` inside ``other``; a face that turns the other way counts by its sign."""
+        out = []
+        for e in range(sides):
+            p, q = f"{own}{e}", f"{own}{(e + 1) % sides}"
+            low, high = ["0e0"], ["1e0"]
+            for s in range(others):
+                o, d = f"{other}{s}", f"{other}{(s + 1) % others}"
+                side = lambda r: f"(({d}u - {o}u) * ({r}v - {o}v) - ({d}v - {o}v) * ({r}u - {o}u))" + (f" * {sign}" if swap else "")  # noqa: B023, E731
+                a, step = side(p), f"({side(q)} - {side(p)})"
+                low.append(f"CASE WHEN {step} > 1e-12 THEN -{a} / {step} WHEN abs({step}) <= 1e-12 AND {a} < 0 THEN 2e0 ELSE 0e0 END")
+                high.append(f"CASE WHEN {step} < -1e-12 THEN -{a} / {step} ELSE 1e0 END")
+            span = f"greatest(0e0, least({', '.join(high)}) - greatest({', '.join(low)}))"
+            out.append(f"({p}u * {q}v - {q}u * {p}v) * {span}" + ("" if swap else f" * {sign}"))
+        return " + ".join(out)
+
+    cover = f"({clipped('a', 4, 'b', 3, 'way', False)} + {clipped('b', 3, 'a', 4, 'way', True)}) / 2"
+    return oracle(3, "").rstrip() + f""", fce AS ({faces}), elm AS (SELECT *, {across} FROM (SELECT *, {along} FROM ({elements}))),
+ flt AS (SELECT elem_id, oid, area, {plane} FROM elm JOIN fce ON abs(ea - fa) <= 1 AND abs(eb - fb) <= 1 AND abs(ec - fc) <= 1 WHERE fx * nx + fy * ny + fz * nz > 0),
+ cov AS (SELECT elem_id, oid, area, greatest(0e0, {cover}) AS cover FROM (SELECT *, CASE WHEN {turn} < 0 THEN -1 ELSE 1 END AS way FROM flt)),
+ shr AS (SELECT elem_id, oid, cover / sum(cover) OVER (PARTITION BY elem_id) AS frac FROM (SELECT elem_id, oid, sum(cover) AS cover, max(cover) AS most, min(area) AS area FROM cov WHERE cover > 0 GROUP BY elem_id, oid) WHERE most > 1e-6 * area)
+ SELECT elem_id, oid, round(frac, 6) AS frac FROM shr WHERE frac > 1e-5"""
+
+
+@register("flux_weights_3d", _shares())
+def _(spark, sf_dir):
+    weights = SurfaceMapper(SPACE, digits=9).run(space_points(spark, sf_dir), check=False).weights
+    return weights.where("frac > 1e-5").select("elem_id", "oid", r6("frac").alias("frac"))
+
+
 @register("cells_filled_3d", oracle(3, "SELECT round(sum(frac), 6) AS cells_filled FROM nod"))
 def _(spark, sf_dir):
     return nodes.fill_total(space_nodes(spark, sf_dir)).select(r6("cells_filled").alias("cells_filled"))
