@@ -85,6 +85,17 @@ def run_steps(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], ste
     return out
 
 
+def remaining_curve(curve: DataFrame, half: float, rate: float, ndims: int = 2) -> DataFrame:
+    """``curve`` (step, left) with ``share``, what is left of the first step's, and ``exact``, that of a square or cube of half side ``half`` whose sides recede by ``rate`` a step.
+
+    Beyond its end ``exact`` turns negative. ``left`` is any amount; the first step is the smallest.
+    """
+    first = curve.agg(F.min_by("left", "step").alias("first"))
+    depth = F.lit(float(half)) - F.lit(float(rate)) * F.col("step")
+    exact = F.signum(depth) * F.pow(F.abs(depth) / float(half), F.lit(float(ndims)))
+    return curve.crossJoin(first).withColumns({"share": F.col("left") / F.when(F.col("first") != 0, F.col("first")), "exact": exact}).drop("first")  # one row
+
+
 def remaining(states: list[DataFrame]) -> DataFrame:
     """``step, n_alive, removed`` of each state."""
     out = None

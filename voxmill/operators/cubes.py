@@ -191,6 +191,26 @@ def vertex_normals(vertices: DataFrame, faces_: DataFrame) -> DataFrame:
     return total.select("vid", *((F.col(f"n{x}") / F.when(size > 0, size)).alias(f"n{x}") for x in "xyz"))
 
 
+def gradient_normals(cells_: DataFrame, triangles_: DataFrame, vertices: DataFrame, level: float = 0.5, step: int = 1) -> DataFrame:
+    """``vid`` and a unit normal from the node values: the differences along the cell's edges at both ends of the vertex's edge.
+
+    An end counts by one over its distance from the level, in each triangle corner
+    at the vertex. Differences are the lower corner's value less the upper
+    one's, so normals leave the solid. Null where they cancel.
+    """
+    corner = F.explode(F.array(*(F.struct(F.col(f"e{n}").alias("e"), F.col(f"t{n}").alias("t")) for n in range(3)))).alias("p")
+    low = sum((F.floor((F.col(f"p.e.{n}") - F.col(c)) / step).cast("int") * (1 << b) for b, (n, c) in enumerate((("nj", "cj"), ("nk", "ck")), 1)), F.floor((F.col("p.e.ni") - F.col("ci")) / step).cast("int"))
+    values = cells_.select("ci", "cj", "ck", F.array(*(F.col(f"v{c}") for c in range(8))).alias("v"))
+    ends = triangles_.select("ci", "cj", "ck", corner).select("ci", "cj", "ck", "p.t", low.alias("low"), F.col("p.e.axis").alias("axis")).join(values, ["ci", "cj", "ck"])
+    ends = ends.withColumn("end", F.explode(F.array("low", F.col("low").bitwiseOR(F.expr("shiftleft(1, axis)")))))
+    at = lambda c: F.element_at("v", c + 1)
+    strength = 1 / (F.abs(at(F.col("end")) - level) + 2.0**-52)
+    parts = [((at(F.col("end").bitwiseAND(7 - (1 << b))) - at(F.col("end").bitwiseOR(F.lit(1 << b)))) * strength).alias(f"n{x}") for b, x in enumerate("xyz")]
+    total = ends.select(*((F.col(f"t.{x}") + F.lit(0.0)).alias(x) for x in "xyz"), *parts).groupBy("x", "y", "z").agg(*(F.sum(f"n{x}").alias(f"n{x}") for x in "xyz"))
+    size = norm(vector("nx", "ny", "nz"))
+    return vertices.join(total, ["x", "y", "z"]).select("vid", *((F.col(f"n{x}") / F.when(size > 0, size)).alias(f"n{x}") for x in "xyz"))
+
+
 def vertex_values(cells_: DataFrame, triangles_: DataFrame) -> DataFrame:
     """``edge, value``: for each crossed lattice edge, the largest range of node values among its cells (0 included)."""
     span = F.greatest(F.lit(0.0), *(F.col(f"v{c}") for c in range(8))) - F.least(F.lit(0.0), *(F.col(f"v{c}") for c in range(8)))
@@ -206,14 +226,15 @@ def vertex_spans(cells_: DataFrame, triangles_: DataFrame, vertices: DataFrame)
     return vertices.join(each, ["x", "y", "z"]).select("vid", "value")
 
 
-def iso_surface(fractions: DataFrame, spec: GridSpec, level: float | None = None, digits: int | None = None, step: int = 1, mask: DataFrame | None = None, classic: bool = False, flip: bool = False) -> tuple[DataFrame, DataFrame]:
+def iso_surface(fractions: DataFrame, spec: GridSpec, level: float | None = None, digits: int | None = None, step: int = 1, mask: DataFrame | None = None, classic: bool = False, flip: bool = False, gradients: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(vertices: vid, x, y, z, nx, ny, nz, value)`` and ``(faces: elem_id, a, b, c)`` of the surface of node values at ``level`` (mid-range by default).
 
-    Normals are area-weighted means of the faces'; ``value`` is the largest range
+    Normals are area-weighted means of the faces', or with ``gradients`` those of the node values; ``value`` is the largest range
     of node values about a vertex. GridError for a level outside the values' range.
     """
     level = check_level(fractions, level)
     crossed = cells(fractions, level, digits, step, mask)
     made = triangles(crossed, spec, level, classic, flip, step)
     vertices, faces_ = indexed(made)
-    return vertices.join(vertex_normals(vertices, faces_), "vid", "left").join(vertex_spans(crossed, made, vertices), "vid"), faces_
+    normals = gradient_normals(crossed, made, vertices, level, step) if gradients else vertex_normals(vertices, faces_)
+    return vertices.join(normals, "vid", "left").join(vertex_spans(crossed, made, vertices), "vid"), faces_

@@ -158,7 +158,7 @@ def _triangles(spec: GridSpec, classic: bool = False, step: int = 1) -> str:
     joined = ["0"] if classic else joined
     corner = ", ".join(f"e{x}[s{n} + 1] AS {x}{n}" for n in range(3) for x in "xyz")
     square = "power((y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0), 2) + power((z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0), 2) + power((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0), 2)"
-    rows = f"SELECT ci, cj, ck, part, {corner} FROM (SELECT *, {' + '.join(joined)} AS joined, {', '.join(at)} FROM cub) u JOIN (VALUES {table_}) c(index_, joined_, part, s0, s1, s2) ON cube_index = index_ AND joined = joined_"
+    rows = f"SELECT ci, cj, ck, part, s0, s1, s2, {corner} FROM (SELECT *, {' + '.join(joined)} AS joined, {', '.join(at)} FROM cub) u JOIN (VALUES {table_}) c(index_, joined_, part, s0, s1, s2) ON cube_index = index_ AND joined = joined_"
     return f"SELECT *, sqrt({square}) / 2 AS area FROM ({rows})"
 
 

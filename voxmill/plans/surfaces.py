@@ -61,6 +61,17 @@ def _(spark, sf_dir):
     return cubes.iso_surface(space_nodes(spark, sf_dir), SPACE, 0.5, digits=9)[1]
 
 
+#: For each triangle corner: both ends of its edge, by their corner number, with the cell's values.
+_ENDS = "SELECT x, y, z, unnest([lo, lo | (hi - lo)]) AS e, v FROM (" + " UNION ALL ".join(f"SELECT x{n} + 0e0 AS x, y{n} + 0e0 AS y, z{n} + 0e0 AS z, [{', '.join(str(a) for a, _ in cubes.EDGES)}][s{n} + 1] AS lo, [{', '.join(str(b) for _, b in cubes.EDGES)}][s{n} + 1] AS hi, [{', '.join(f'v{c}' for c in range(8))}] AS v FROM tri JOIN cub USING (ci, cj, ck)" for n in range(3)) + ")"
+_SUMS = f"SELECT x, y, z, {', '.join(f'sum((v[(e & {7 - (1 << b)}) + 1] - v[(e | {1 << b}) + 1]) / (abs(v[e + 1] - 0.5e0) + {2.0**-52})) AS n{x}' for b, x in enumerate('xyz'))} FROM ({_ENDS}) GROUP BY x, y, z"
+
+
+@register("gradient_normals_3d", meshed("SELECT vid, " + ", ".join(f"round(n{x} / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0e0 AS n{x}" for x in "xyz") + f" FROM vtx JOIN ({_SUMS}) USING (x, y, z) WHERE nx * nx + ny * ny + nz * nz > 0"))
+def _(spark, sf_dir):
+    vertices, _ = cubes.iso_surface(space_nodes(spark, sf_dir), SPACE, 0.5, digits=9, gradients=True)
+    return vertices.where("nx is not null").select("vid", *(r6(c).alias(c) for c in ("nx", "ny", "nz")))
+
+
 @register("mesh_classic_masked_3d", coarse("SELECT ci, cj, ck, part, round(area, 6) AS area FROM tri"))
 def _(spark, sf_dir):
     """Classic cases, every second node, cells of a mask, winding reversed."""
@@ -117,6 +128,29 @@ def _(spark, sf_dir):
     return nodes.fill_total(space_nodes(spark, sf_dir)).select(r6("cells_filled").alias("cells_filled"))
 
 
+def _low(a: str, c: str) -> str:
+    return f"greatest(0e0, least(1e0, (-10e0 + {c} * 2e0 + 1e0 - ({a} - 0.5e0)) / 1e0))"
+
+
+@register(
+    "centre_fractions_2d",
+    oracle(2, f"""SELECT ni, nj, round(sum(share), 9) AS frac, round(sum(share), 9) > 0.499e0 AS inside FROM (
+      SELECT ci + dx AS ni, cj + dy AS nj, weight * CASE dx WHEN 0 THEN {_low('i', 'ci')} ELSE 1 - {_low('i', 'ci')} END * CASE dy WHEN 0 THEN {_low('j', 'cj')} ELSE 1 - {_low('j', 'cj')} END / 4 AS share
+      FROM (SELECT *, CAST(floor((i + 10e0) / 2e0) AS INTEGER) AS ci, CAST(floor((j + 10e0) / 2e0) AS INTEGER) AS cj FROM wei WHERE weight > 1e-12) CROSS JOIN (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy))
+      WHERE share > 0 AND ni BETWEEN 0 AND 60 AND nj BETWEEN 0 AND 40 GROUP BY ni, nj"""),
+)
+def _(spark, sf_dir):
+    rows = nodes.centre_fractions(SurfaceMapper(PLANE).weighted(plane_voxels(spark, sf_dir)), PLANE)
+    return rows.select("ni", "nj", F.round("frac", 9).alias("frac"), "inside")
+
+
+@register("remaining_curve", "SELECT step, round(left_ / max(CASE WHEN step = 0 THEN left_ END) OVER (), 6) AS share, round(sign(50 - 6e0 * step) * power(abs(50 - 6e0 * step) / 50, 2), 6) + 0e0 AS exact FROM (SELECT CAST(l_linenumber - 1 AS INTEGER) AS step, CAST(count(*) AS DOUBLE) AS left_ FROM lineitem GROUP BY 1)")
+def _(spark, sf_dir):
+    """Line items by their place in the order, as what is left after so many steps."""
+    curve = table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") - 1).cast("int").alias("step")).agg(F.count("*").cast("double").alias("left"))
+    return ablation.remaining_curve(curve, 50.0, 6.0).select("step", F.round("share", 6).alias("share"), r6("exact").alias("exact"))
+
+
 @register("analytic_flux_2d", oracle(2, "SELECT elem_id, round(scalar, 6) AS scalar FROM sca"))
 def _(spark, sf_dir):
     return plane_elements(spark, sf_dir).select("elem_id", F.round(validation.analytic_flux(F.col("theta")), 6).alias("scalar"))
