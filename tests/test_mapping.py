@@ -211,3 +211,24 @@ def test_iso_surface_in_one_call(spark):
     import voxmill
 
     assert voxmill.GridSpec is GridSpec and voxmill.SurfaceMapper.__name__ == "SurfaceMapper"
+
+
+def test_gradient_normals_of_a_ball(spark):
+    """Normals from smooth node values point away from the centre, also where the surface meets nodes exactly."""
+    spec = GridSpec((-4.0,) * 3, (4.0,) * 3, (8,) * 3)
+    at = [(F.floor(F.col("id") / 9**a) % 9).cast("int") for a in range(3)]
+    away = F.sqrt(sum(((c - 4) * (c - 4) for c in at[1:]), (at[0] - 4) * (at[0] - 4)))
+    fractions = spark.range(9**3).select(*(c.alias(n) for c, n in zip(at, ("ni", "nj", "nk"), strict=True)), (1 / (1 + F.exp(away - 3))).alias("frac"))
+    vertices, faces = cubes.iso_surface(fractions, spec, 0.5, gradients=True)
+    rows = vertices.collect()
+    assert rows and faces.count() > 0
+    for r in rows:
+        assert (r.x * r.nx + r.y * r.ny + r.z * r.nz) / math.hypot(r.x, r.y, r.z) > 0.97
+
+
+def test_split_at_cell_centres(spark):
+    spec = GridSpec((0.0, 0.0), (8.0, 8.0), (4, 4))
+    at = lambda *voxels: {(r.ni, r.nj): (round(r.frac, 6), r.inside) for r in nodes.centre_fractions(spark.createDataFrame(voxels, "i int, j int, weight double"), spec, 0.1).collect()}
+    assert at((3, 3, 1.0)) == {(1, 1): (0.0625, False), (2, 1): (0.0625, False), (1, 2): (0.0625, False), (2, 2): (0.0625, False)}
+    assert at((2, 3, 1.0)) == {(1, 1): (0.125, True), (1, 2): (0.125, True)}
+    assert at((3, 3, 0.0)) == {} == at((9, 9, 1.0))

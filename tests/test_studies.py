@@ -131,3 +131,10 @@ def test_wear_spills_below(spark):
     state = spark.createDataFrame([(0, 0, 1, 0, 0.5), (1, 1, 1, 0, 1.0), (2, 0, 0, 1, 1.0), (3, 1, 0, 1, 0.05), (4, 5, 5, 0, 0.5)], "oid long, i int, j int, depth int, integrity double")
     got = {r.oid: (round(r.integrity, 6), r.alive, round(r.taken, 6)) for r in ablation.wear(state, spark.createDataFrame([(0, 2.8), (1, 1.0), (4, 9.0)], "oid long, value double"), 4.0).collect()}
     assert got == {0: (0.0, False, 2.0), 1: (0.75, True, 1.0), 2: (0.9, True, 0.4), 3: (0.0, False, 0.2), 4: (0.0, False, 2.0)}
+
+
+def test_remaining_curve(spark):
+    curve = spark.createDataFrame([(0, 200.0), (1, 50.0), (3, 0.0)], "step int, left double")
+    got = {r.step: (r.share, round(r.exact, 6)) for r in ablation.remaining_curve(curve, 2.0, 1.0).collect()}
+    assert got == {0: (1.0, 1.0), 1: (0.25, 0.25), 3: (0.0, -0.25)}
+    assert ablation.remaining_curve(curve.limit(0), 2.0, 1.0).count() == 0

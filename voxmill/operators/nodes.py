@@ -49,7 +49,7 @@ def node_fractions(weighted: DataFrame, spec: GridSpec, complete: bool = False)
 def centre_fractions(weighted: DataFrame, spec: GridSpec, level: float = 0.499) -> DataFrame:
     """``(*node axes, frac, inside)``: each voxel is split at the centre of the cell that its own centre lies in, between that cell's nodes.
 
-    Parts of a voxel beyond its cell stay with that cell. ``inside``: more than ``level`` of a cell's volume.
+    Parts of a voxel beyond its cell stay with that cell; voxels in no cell of the grid are left out. ``inside``: more than ``level`` of a cell's volume.
     """
     rows, share = weighted.where(F.col("weight") > 1e-12), F.col("weight")
     size = float(spec.voxel_size)
@@ -60,11 +60,11 @@ def centre_fractions(weighted: DataFrame, spec: GridSpec, level: float = 0.499)
         low = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (middle - (spec.centre(a) - size / 2)) / size))
         rows = rows.withColumn(f"low_{node}", low).withColumn(f"up_{node}", F.explode(F.array(F.lit(0), F.lit(1))))
         share = share * F.when(F.col(f"up_{node}") == 0, F.col(f"low_{node}")).otherwise(1 - F.col(f"low_{node}")) * (size / h)
-    placed = rows.select(*((F.col(n) + F.col(f"up_{n}")).alias(n) for n in spec.node_axes), share.alias("share")).where("share > 0")
     keep = F.lit(True)
-    for node, n in zip(spec.node_axes, spec.nodes, strict=True):
+    for node, n in zip(spec.node_axes, spec.ncells, strict=True):
         keep = keep & F.col(node).between(0, n - 1)
-    return placed.where(keep).groupBy(*spec.node_axes).agg(F.sum("share").alias("frac")).withColumn("inside", F.col("frac") > level)
+    placed = rows.where(keep).select(*((F.col(n) + F.col(f"up_{n}")).alias(n) for n in spec.node_axes), share.alias("share")).where("share > 0")
+    return placed.groupBy(*spec.node_axes).agg(F.sum("share").alias("frac")).withColumn("inside", F.col("frac") > level)
 
 
 def fill_total(fractions: DataFrame) -> DataFrame:

@@ -135,9 +135,9 @@ def _low(a: str, c: str) -> str:
 @register(
     "centre_fractions_2d",
     oracle(2, f"""SELECT ni, nj, round(sum(share), 9) AS frac, round(sum(share), 9) > 0.499e0 AS inside FROM (
-      SELECT ci + dx AS ni, cj + dy AS nj, weight * CASE dx WHEN 0 THEN {_low('i', 'ci')} ELSE 1 - {_low('i', 'ci')} END * CASE dy WHEN 0 THEN {_low('j', 'cj')} ELSE 1 - {_low('j', 'cj')} END / 4 AS share
+      SELECT ci, cj, ci + dx AS ni, cj + dy AS nj, weight * CASE dx WHEN 0 THEN {_low('i', 'ci')} ELSE 1 - {_low('i', 'ci')} END * CASE dy WHEN 0 THEN {_low('j', 'cj')} ELSE 1 - {_low('j', 'cj')} END / 4 AS share
       FROM (SELECT *, CAST(floor((i + 10e0) / 2e0) AS INTEGER) AS ci, CAST(floor((j + 10e0) / 2e0) AS INTEGER) AS cj FROM wei WHERE weight > 1e-12) CROSS JOIN (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy))
-      WHERE share > 0 AND ni BETWEEN 0 AND 60 AND nj BETWEEN 0 AND 40 GROUP BY ni, nj"""),
+      WHERE share > 0 AND ci BETWEEN 0 AND 59 AND cj BETWEEN 0 AND 39 GROUP BY ni, nj"""),
 )
 def _(spark, sf_dir):
     rows = nodes.centre_fractions(SurfaceMapper(PLANE).weighted(plane_voxels(spark, sf_dir)), PLANE)
