@@ -37,3 +37,20 @@ def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> Data
     before = F.coalesce(F.sum("__n").over(Window.orderBy(tag).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(tag, before.alias("__before"))
     return dealt.join(F.broadcast(offsets), tag).withColumn(name, (F.col("__before") + F.col(place) + first).cast("long")).drop(tag, place, "__before")
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str, first: int = 1) -> DataFrame:
+    """``df`` with ``name``: first, first + 1, ... within each group of ``by`` in the order of ``order`` (null first), a group of any size spread over tasks.
+
+    As in ``numbered``, the table is range-partitioned, sorted and checkpointed.
+    A group's rows lie in runs, one for each partition it reaches; a run's rows
+    count on from the sizes of the group's earlier runs. ``by`` may not be null.
+    """
+    ensure_checkpoints(df.sparkSession)
+    tag, place = "__part", "__place"
+    at = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumns({tag: F.shiftright(at, 33), place: at.bitwiseAND((1 << 33) - 1)}).checkpoint()
+    runs = dealt.groupBy(tag, *by).agg(F.min(place).alias("__start"), F.count("*").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(tag).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(tag, *by, (earlier - F.col("__start") + first).alias("__shift"))
+    return dealt.join(runs, [tag, *by]).withColumn(name, (F.col(place) + F.col("__shift")).cast("long")).drop(tag, place, "__shift")
