@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf_language, decontaminate, interpolated_lm, media, near_dedup, packing, secrets, substring_dedup, token_counts
+from . import chat, crf_language, decontaminate, interpolated_lm, media, near_dedup, packing, prefix_trie, secrets, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,34 @@ q AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM i)
 SELECT d.doc_id, q.item_id, CAST(q.n AS BIGINT) AS n_shingles, count(*) AS n_shared, count(*) / CAST(q.n AS DOUBLE) AS containment
 FROM q JOIN d ON d.g = q.g GROUP BY d.doc_id, q.item_id, q.n HAVING 100 * count(*) >= 80 * q.n
 """
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+#: CRC-32 of a text of ASCII characters in DuckDB: the table of the reflected polynomial, then a fold over the characters.
+CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crcs)"
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295)"
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS nth
+   FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, count(*) AS n, c - c % 100 AS base, {CRC.format("CAST(c AS VARCHAR)")} % 6 AS h FROM t, {CRC_TABLE} GROUP BY c, crcs),
+k AS (SELECT a.c, a.h, a.base, least(a.h, coalesce(b.n, 0)) AS taken FROM ids a LEFT JOIN ids b ON b.c = a.base),
+r AS (SELECT k.c, t.nth AS d, role, text FROM k JOIN t ON t.c = k.base AND t.nth <= k.taken
+      UNION ALL SELECT k.c, t.nth - k.h + k.taken, role, text FROM k JOIN t ON t.c = k.c AND t.nth > k.h),
+p AS (SELECT c, d, length(text) AS size, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d)) AS name FROM r
+      UNION ALL SELECT c, 0, 0, '' FROM k),
+n AS (SELECT d, name, min(c) AS c, count(*) AS members, any_value(size) AS size FROM p GROUP BY d, name),
+u AS (SELECT n.*, q.name AS parent FROM n LEFT JOIN p q ON q.c = n.c AND q.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS name, count(*) AS kids FROM u WHERE d > 0 GROUP BY ALL),
+own AS (SELECT u.*, coalesce(kids, 0) AS kids, (members - 1) * size AS saved FROM u LEFT JOIN kids USING (d, name)),
+sub AS (SELECT q.d, q.name, sum(CASE WHEN o.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved FROM own o JOIN p q ON q.c = o.c AND q.d <= o.d GROUP BY q.d, q.name),
+len AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+ends AS (SELECT p.d, p.name, sha256(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c)) AS ends FROM p JOIN len USING (c, d) GROUP BY p.d, p.name)
+SELECT own.c AS conv_id, CAST(own.d AS BIGINT) AS depth, par.c AS parent_conv_id, own.members AS n_convs, CAST(own.kids AS BIGINT) AS n_children,
+  CAST(sub.leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM own JOIN sub USING (d, name) LEFT JOIN ends USING (d, name) LEFT JOIN n par ON par.d = own.d - 1 AND par.name = own.parent
+"""
