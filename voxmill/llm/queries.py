@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf_language, decontaminate, interpolated_lm, media, near_dedup, packing, prefix_trie, secrets, substring_dedup, token_counts
+from . import chat, crf_language, decontaminate, divergence, interpolated_lm, media, near_dedup, near_vectors, packing, prefix_trie, secrets, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,41 @@ SELECT own.c AS conv_id, CAST(own.d AS BIGINT) AS depth, par.c AS parent_conv_id
   CAST(sub.leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
 FROM own JOIN sub USING (d, name) LEFT JOIN ends USING (d, name) LEFT JOIN n par ON par.d = own.d - 1 AND par.name = own.parent
 """
+
+@query
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+ORACLES["op12_divergence_audit"] = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+df AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(t) AS term FROM d) JOIN df USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM df GROUP BY lang),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v FROM d LEFT JOIN v USING (lang) GROUP BY lang, source),
+gn AS (SELECT g.lang, g.source, g.v, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ln AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM c GROUP BY lang, term),
+p AS (SELECT gn.lang, gn.source, df.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (gn.total + 5 * gn.v)::HUGEINT AS p
+      FROM gn JOIN df USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = df.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v)::HUGEINT AS q FROM ln JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+   LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+   ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT p.lang, source, p.term AS item, p - q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
+UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, CAST(value AS BIGINT), CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term) WHERE rank <= 50
+"""
+
+@query
+def op13_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+ORACLES["op13_subspace_pigeonhole"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+   AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS reach FROM embeddings UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.reach)
+SELECT vec_id, CAST((SELECT count(*) FROM p WHERE p.a = vec_id) AS BIGINT) AS n_links, min(reach) AS component_id, vec_id = min(reach) AS kept FROM r GROUP BY vec_id
+"""
