@@ -3,8 +3,8 @@
 For each pattern of corners inside the solid, and each choice on the ambiguous
 faces, the boundary is traced over the six faces of the cell and its loops are
 cut into triangles. The choice on a face comes from the sign of the bilinear
-saddle, which the two cells at the face share, so the mesh stays closed. Interior
-tests and centre vertices, which choose among meshes of equal boundary, are not used.
+saddle, which the two cells at the face share, so the mesh stays closed. Tunnels
+inside cells and vertices in their middle are ``topology``'s part.
 """
 
 from __future__ import annotations
@@ -124,26 +124,51 @@ def joined_faces(level: float) -> Column:
     return bits
 
 
-def triangles(cells_: DataFrame, spec: GridSpec, level: float = 0.5, classic: bool = False, flip: bool = False, step: int = 1) -> DataFrame:
+def located(cells_: DataFrame, level: float = 0.5) -> DataFrame:
+    """Adds the keys of the case table: ``joined``, bits of joined faces, and ``inner``, which diagonal inside the cell joins two loops (4: none)."""
+    from . import topology
+
+    return cells_.withColumn("joined", joined_faces(level).cast("int")).withColumn("inside", topology.joined_inside(level).cast("int")).withColumn("inner", topology.inner_bit(level)).drop("inside")
+
+
+def centre(level: float) -> list[Column]:
+    """The vertex inside a cell, in cells from its lowest corner: the mean of the corners by one over their distance from the level."""
+    strength = [1 / (F.abs(F.col(f"v{c}") - level) + 2.0**-52) for c in range(8)]
+    total = sum(strength[1:], strength[0])
+    return [sum((s for c, s in enumerate(strength) if c >> b & 1 and c != 1 << b), strength[1 << b]) / total for b in range(3)]
+
+
+def triangles(cells_: DataFrame, spec: GridSpec, level: float = 0.5, classic: bool = False, flip: bool = False, step: int = 1, interior: bool = True) -> DataFrame:
     """``ci, cj, ck, part, t0, t1, t2, e0, e1, e2``: corners (structs x, y, z) and the lattice edges they lie on.
 
-    Vertices divide an edge in proportion to the level. ``flip`` reverses the winding.
+    Vertices divide an edge in proportion to the level; one inside a cell has that
+    cell in place of an edge, with axis 3. ``flip`` reverses the winding, ``classic``
+    takes one mesh for each pattern of corners, and without ``interior`` loops are
+    never joined inside a cell.
     """
-    table = cells_.sparkSession.createDataFrame([(i, j, n, *e) for i, j, n, *e in cases(classic)], "cube_index int, joined int, part int, s0 int, s1 int, s2 int")
-    joined = F.lit(0) if classic else joined_faces(level)
-    rows = cells_.withColumn("joined", joined.cast("int")).join(F.broadcast(table), ["cube_index", "joined"])  # a fixed table
+    from . import topology
+
+    spark = cells_.sparkSession
+    if classic:
+        table = spark.createDataFrame([(i, j, n, *e) for i, j, n, *e in cases(classic)], "cube_index int, joined int, part int, s0 int, s1 int, s2 int")
+        rows = cells_.withColumn("joined", F.lit(0)).join(F.broadcast(table), ["cube_index", "joined"])  # a fixed table
+    else:
+        table = spark.createDataFrame([list(c) for c in topology.cases() if interior or c[2] == 4], "cube_index int, joined int, inner int, part int, s0 int, s1 int, s2 int")
+        keyed = located(cells_, level) if interior else cells_.withColumn("joined", joined_faces(level).cast("int")).withColumn("inner", F.lit(4))
+        rows = keyed.join(F.broadcast(table), ["cube_index", "joined", "inner"])  # a fixed table
     values = F.array(*(F.col(f"v{c}") for c in range(8)))
-    low = F.array(*(F.lit(a) for a, _ in EDGES))
-    axis = F.array(*(F.lit((b - a).bit_length() - 1) for a, b in EDGES))
-    rows = rows.withColumn("v", values)
+    low = F.array(*(F.lit(a) for a, _ in EDGES), F.lit(0))
+    high = F.array(*(F.lit(b) for _, b in EDGES), F.lit(0))
+    axis = F.array(*(F.lit((b - a).bit_length() - 1) for a, b in EDGES), F.lit(3))
+    rows = rows.withColumns({"v": values, "m": F.array(*centre(level))})
     for n in range(3):
-        c, a = F.element_at(low, F.col(f"s{n}") + 1), F.element_at(axis, F.col(f"s{n}") + 1)
-        rows = rows.withColumns({f"c{n}": c, f"a{n}": a})
-        rows = rows.withColumn(f"w{n}", (F.lit(level) - F.element_at("v", F.col(f"c{n}") + 1)) / (F.element_at("v", (F.col(f"c{n}").bitwiseOR(F.expr(f"shiftleft(1, a{n})"))) + 1) - F.element_at("v", F.col(f"c{n}") + 1)))
+        slot = F.col(f"s{n}") + 1
+        rows = rows.withColumns({f"c{n}": F.element_at(low, slot), f"a{n}": F.element_at(axis, slot), f"h{n}": F.element_at(high, slot)})
+        rows = rows.withColumn(f"w{n}", F.when(F.col(f"a{n}") < 3, (F.lit(level) - F.element_at("v", F.col(f"c{n}") + 1)) / (F.element_at("v", F.col(f"h{n}") + 1) - F.element_at("v", F.col(f"c{n}") + 1))))
     out = []
     for n in (0, 2, 1) if flip else (0, 1, 2):
         at = [F.col(x) + step * F.expr(f"(c{n} >> {b}) & 1") for b, x in enumerate(("ci", "cj", "ck"))]
-        point = [spec.node_position(b, x + step * F.when(F.col(f"a{n}") == b, F.col(f"w{n}")).otherwise(0.0)) for b, x in enumerate(at)]
+        point = [spec.node_position(b, x + step * F.when(F.col(f"a{n}") == 3, F.element_at("m", b + 1)).when(F.col(f"a{n}") == b, F.col(f"w{n}")).otherwise(0.0)) for b, x in enumerate(at)]
         m = len(out) // 2
         out += [F.struct(*(p.alias(x) for p, x in zip(point, "xyz", strict=True))).alias(f"t{m}"), F.struct(*(x.cast("int").alias(y) for x, y in zip(at, ("ni", "nj", "nk"), strict=True)), F.col(f"a{n}").alias("axis")).alias(f"e{m}")]
     return rows.select("ci", "cj", "ck", "part", *out)
@@ -195,14 +220,14 @@ def gradient_normals(cells_: DataFrame, triangles_: DataFrame, vertices: DataFra
     """``vid`` and a unit normal from the node values: the differences along the cell's edges at both ends of the vertex's edge.
 
     An end counts by one over its distance from the level, in each triangle corner
-    at the vertex. Differences are the lower corner's value less the upper
+    at the vertex; a vertex inside a cell has all its corners for ends. Differences are the lower corner's value less the upper
     one's, so normals leave the solid. Null where they cancel.
     """
     corner = F.explode(F.array(*(F.struct(F.col(f"e{n}").alias("e"), F.col(f"t{n}").alias("t")) for n in range(3)))).alias("p")
     low = sum((F.floor((F.col(f"p.e.{n}") - F.col(c)) / step).cast("int") * (1 << b) for b, (n, c) in enumerate((("nj", "cj"), ("nk", "ck")), 1)), F.floor((F.col("p.e.ni") - F.col("ci")) / step).cast("int"))
     values = cells_.select("ci", "cj", "ck", F.array(*(F.col(f"v{c}") for c in range(8))).alias("v"))
     ends = triangles_.select("ci", "cj", "ck", corner).select("ci", "cj", "ck", "p.t", low.alias("low"), F.col("p.e.axis").alias("axis")).join(values, ["ci", "cj", "ck"])
-    ends = ends.withColumn("end", F.explode(F.array("low", F.col("low").bitwiseOR(F.expr("shiftleft(1, axis)")))))
+    ends = ends.withColumn("end", F.explode(F.when(F.col("axis") == 3, F.sequence(F.lit(0), F.lit(7))).otherwise(F.array("low", F.col("low").bitwiseOR(F.expr("shiftleft(1, axis)"))))))
     at = lambda c: F.element_at("v", c + 1)
     strength = 1 / (F.abs(at(F.col("end")) - level) + 2.0**-52)
     parts = [((at(F.col("end").bitwiseAND(7 - (1 << b))) - at(F.col("end").bitwiseOR(F.lit(1 << b)))) * strength).alias(f"n{x}") for b, x in enumerate("xyz")]
@@ -226,7 +251,7 @@ def vertex_spans(cells_: DataFrame, triangles_: DataFrame, vertices: DataFrame)
     return vertices.join(each, ["x", "y", "z"]).select("vid", "value")
 
 
-def iso_surface(fractions: DataFrame, spec: GridSpec, level: float | None = None, digits: int | None = None, step: int = 1, mask: DataFrame | None = None, classic: bool = False, flip: bool = False, gradients: bool = False) -> tuple[DataFrame, DataFrame]:
+def iso_surface(fractions: DataFrame, spec: GridSpec, level: float | None = None, digits: int | None = None, step: int = 1, mask: DataFrame | None = None, classic: bool = False, flip: bool = False, gradients: bool = False, interior: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(vertices: vid, x, y, z, nx, ny, nz, value)`` and ``(faces: elem_id, a, b, c)`` of the surface of node values at ``level`` (mid-range by default).
 
     Normals are area-weighted means of the faces', or with ``gradients`` those of the node values; ``value`` is the largest range
@@ -234,7 +259,7 @@ def iso_surface(fractions: DataFrame, spec: GridSpec, level: float | None = None
     """
     level = check_level(fractions, level)
     crossed = cells(fractions, level, digits, step, mask)
-    made = triangles(crossed, spec, level, classic, flip, step)
+    made = triangles(crossed, spec, level, classic, flip, step, interior)
     vertices, faces_ = indexed(made)
     normals = gradient_normals(crossed, made, vertices, level, step) if gradients else vertex_normals(vertices, faces_)
     return vertices.join(normals, "vid", "left").join(vertex_spans(crossed, made, vertices), "vid"), faces_

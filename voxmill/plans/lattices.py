@@ -137,28 +137,63 @@ def coarse(last: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in made.items()) + "\n" + last
 
 
-def _triangles(spec: GridSpec, classic: bool = False, step: int = 1) -> str:
-    """Triangles of the crossed cells: joined faces by their saddle value (none if ``classic``), cases from the rule, corners on the edges."""
-    from ..operators.cubes import EDGES, cases, faces
+def _slices(level: str = "0.5e0") -> list[str]:
+    """Whether some slice across the third axis joins a diagonal of its corners: one condition for each diagonal and sign, on columns v0..v7."""
+    lines = [(0, 4), (1, 5), (3, 7), (2, 6)]
+    out = []
+    for sign in (1, -1):
+        for d in (0, 1):
+            x = [tuple(f"({sign if n % 2 == d else -sign} * (v{c} - {level}))" for c in pair) for n, pair in enumerate(lines)]
+            x = [x[d], x[d + 2], x[1 - d], x[3 - d]]
+            lo = "greatest(0e0, " + ", ".join(f"CASE WHEN {u} > 0 THEN 0e0 WHEN {w} > 0 THEN {u} / ({u} - {w}) ELSE 2e0 END" for u, w in x) + ")"
+            hi = "least(1e0, " + ", ".join(f"CASE WHEN {w} > 0 THEN 1e0 WHEN {u} > 0 THEN {u} / ({u} - {w}) ELSE -1e0 END" for u, w in x) + ")"
+            (p, p1), (q, q1), (r, r1), (s, s1) = x
+            a = f"({p1} - {p}) * ({q1} - {q}) - ({r1} - {r}) * ({s1} - {s})"
+            b = f"{p} * ({q1} - {q}) + {q} * ({p1} - {p}) - {r} * ({s1} - {s}) - {s} * ({r1} - {r})"
+            out.append(f"{{'lo': {lo}, 'hi': {hi}, 'a': {a}, 'b': {b}, 'c': {p} * {q} - {r} * {s}}}")
+    return out
+
+
+def located(source: str = "cub") -> str:
+    """The cells of a table with ``joined``, and with ``inner`` by the cases' keys."""
+    from ..operators.cubes import faces
+    from ..operators.topology import relevant
 
     joined = []
     for f, (a, b, c, d) in enumerate(faces()):
         w = [f"(v{x} - 0.5e0)" for x in (a, b, c, d)]
         product = f"{w[0]} * {w[2]} - {w[1]} * {w[3]}"
         joined.append(f"CASE WHEN ({w[0]} > 0) = ({w[2]} > 0) AND ({w[1]} > 0) = ({w[3]} > 0) AND ({w[0]} > 0) <> ({w[1]} > 0) AND (CASE WHEN {w[0]} > 0 THEN {product} ELSE -({product}) END) > 0 THEN {1 << f} ELSE 0 END")
+    g = lambda n, t: f"((g{n}.a * {t} + g{n}.b) * {t} + g{n}.c)"
+    met = lambda n: f"(g{n}.lo < g{n}.hi AND greatest({g(n, f'g{n}.lo')}, {g(n, f'g{n}.hi')}, CASE WHEN g{n}.a < 0 THEN {g(n, f'least(g{n}.hi, greatest(g{n}.lo, -g{n}.b / (2 * g{n}.a)))')} ELSE {g(n, f'g{n}.lo')} END) > 0)"
+    known: dict[int, list[str]] = {}
+    for i, j, bit in relevant():
+        known.setdefault(bit, []).append(str(i * 64 + j))
+    inner = " ".join(f"WHEN {met(bit)} AND cube_index * 64 + joined IN ({', '.join(known[bit])}) THEN {bit}" for bit in sorted(known))
+    slices = ", ".join(f"{x} AS g{n}" for n, x in enumerate(_slices()))
+    return f"SELECT *, CAST(CASE {inner} ELSE 4 END AS INTEGER) AS inner_ FROM (SELECT *, CAST({' + '.join(joined)} AS INTEGER) AS joined, {slices} FROM {source})"
+
+
+def _triangles(spec: GridSpec, classic: bool = False, step: int = 1) -> str:
+    """Triangles of the crossed cells: joined faces by their saddle value and loops joined inside (neither if ``classic``), cases from the rule, corners on the edges or in the middle."""
+    from ..operators import topology
+    from ..operators.cubes import EDGES, cases
+
     at = []
+    strength = [f"(1 / (abs(v{c} - 0.5e0) + 2.220446049250313e-16))" for c in range(8)]
     for n, cell in enumerate(spec.cell_axes):
         ends = []
         for a, b in EDGES:
             along = (b - a).bit_length() - 1 == n
             part = f"(0.5e0 - v{a}) / (v{b} - v{a})" if along else "0e0"
             ends.append(f"CASE WHEN (v{a} > 0.5e0) <> (v{b} > 0.5e0) THEN {spec.lo[n]}e0 + ({cell} + {step * (a >> n & 1)} + {step if along else 0} * {part}) * {spec.cell[n]}e0 END")
+        ends.append(f"{spec.lo[n]}e0 + ({cell} + {step} * ({' + '.join(s for c, s in enumerate(strength) if c >> n & 1)}) / ({' + '.join(strength)})) * {spec.cell[n]}e0")
         at.append(f"[{', '.join(ends)}] AS e{'xyz'[n]}")
-    table_ = ", ".join(map(str, cases(classic)))
-    joined = ["0"] if classic else joined
+    table_ = ", ".join(f"({i}, {j}, 4, {', '.join(map(str, rest))})" for i, j, *rest in cases(True)) if classic else ", ".join(map(str, topology.cases()))
+    keyed = "SELECT *, 0 AS joined, 4 AS inner_ FROM cub" if classic else located()
     corner = ", ".join(f"e{x}[s{n} + 1] AS {x}{n}" for n in range(3) for x in "xyz")
     square = "power((y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0), 2) + power((z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0), 2) + power((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0), 2)"
-    rows = f"SELECT ci, cj, ck, part, s0, s1, s2, {corner} FROM (SELECT *, {' + '.join(joined)} AS joined, {', '.join(at)} FROM cub) u JOIN (VALUES {table_}) c(index_, joined_, part, s0, s1, s2) ON cube_index = index_ AND joined = joined_"
+    rows = f"SELECT ci, cj, ck, part, s0, s1, s2, {corner} FROM (SELECT *, {', '.join(at)} FROM ({keyed})) u JOIN (VALUES {table_}) c(index_, joined_, inside_, part, s0, s1, s2) ON cube_index = index_ AND joined = joined_ AND inner_ = inside_"
     return f"SELECT *, sqrt({square}) / 2 AS area FROM ({rows})"
 
 

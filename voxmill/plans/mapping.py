@@ -170,7 +170,7 @@ _EDGES = " UNION ALL ".join(
 @register("cube_edge_vertices_3d", oracle(3, f"SELECT ni, nj, nk, axis, round(max(t), 6) + 0e0 AS t FROM ({_EDGES}) GROUP BY ni, nj, nk, axis"))
 def _(spark, sf_dir):
     rows = cubes.triangles(cubes.cells(space_nodes(spark, sf_dir), digits=9), SPACE)
-    ends = rows.select(F.explode(F.array(*(F.struct(f"e{n}.ni", f"e{n}.nj", f"e{n}.nk", f"e{n}.axis", F.col(f"t{n}").alias("p")) for n in range(3)))).alias("end")).select("end.*")
+    ends = rows.select(F.explode(F.array(*(F.struct(f"e{n}.ni", f"e{n}.nj", f"e{n}.nk", f"e{n}.axis", F.col(f"t{n}").alias("p")) for n in range(3)))).alias("end")).select("end.*").where("axis < 3")
     at = F.when(F.col("axis") == 0, (F.col("p.x") + 10) / 2 - F.col("ni")).when(F.col("axis") == 1, (F.col("p.y") + 10) / 2 - F.col("nj")).otherwise((F.col("p.z") + 10) / 2 - F.col("nk"))
     return ends.groupBy("ni", "nj", "nk", "axis").agg(r6(F.max(at)).alias("t"))
 

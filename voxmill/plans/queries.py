@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import mapping, studies, surfaces  # noqa: F401
+from . import interiors, mapping, studies, surfaces  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
