@@ -33,7 +33,9 @@ from .graph import components
 from .shared import written
 
 #: Dimensions of a block, directions of its grid, vectors of a chunk, and sampled vectors for the rotation.
-WIDTH, GRID, CHUNK, SAMPLED = 16, 2, 8192, 4096
+WIDTH, GRID, CHUNK, SAMPLED = 16, 2, 16384, 4096
+#: Products in single floats are this exact, for vectors of length 1 at most.
+SINGLE = 1e-5
 #: Pairs this close to a limit are decided by correctly rounded sums, so that every task decides alike.
 CLOSE = 1e-9
 SCHEMA = "a long, b long, n long"
@@ -95,49 +97,56 @@ def _exact_dot(a, b) -> float:
     return math.fsum(float(x) * float(y) for x, y in zip(a, b, strict=True))
 
 
-def _pairs_in(space: Subspaces, left: np.ndarray, right: np.ndarray, block: int, upper: bool) -> np.ndarray:
-    """Which of left x right are linked and keep no earlier block's budget. Both are unit vectors; ``upper``: only pairs above the diagonal."""
-    out = np.zeros((len(left), len(right)), bool)
-    x, y = left @ space.rotation, right @ space.rotation
-
-    def apart(b):
-        p, q = x[:, space.columns[b]], y[:, space.columns[b]]
-        d = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None] - 2 * (p @ q.T)
-        return d, space.limits[b]
-
-    def kept(d, limit, b, i, j):
+class Members:
+    """The vectors of a task: as units, turned by the rotation, and for one block as single floats whose product is the squared distance there."""
+
+    def __init__(self, space: Subspaces, vectors: np.ndarray, block: int):
+        self.space, self.block, self.unit, self.turned = space, block, vectors, vectors @ space.rotation
+        own = self.turned[:, space.columns[block]]
+        size, one = (own * own).sum(axis=1)[:, None], np.ones((len(own), 1))
+        self.first = np.hstack((own, size, one)).astype(np.float32)
+        self.second = np.ascontiguousarray(np.hstack((-2 * own, one, size)).astype(np.float32))
+
+    def sums(self, i: np.ndarray, j: np.ndarray, values: np.ndarray, dense: bool) -> np.ndarray:
+        """Dot products of pairs of rows of ``values``: by one product of all rows if most pairs are asked for."""
+        if dense:
+            p, x = np.unique(i, return_inverse=True)
+            q, y = np.unique(j, return_inverse=True)
+            return (values[p] @ values[q].T)[x, y]
+        return np.concatenate([np.einsum("nk,nk->n", values[i[n : n + 32768]], values[j[n : n + 32768]]) for n in range(0, len(i), 32768)])
+
+    def within(self, b: int, i: np.ndarray, j: np.ndarray, dense: bool) -> np.ndarray:
+        """Which pairs keep the budget of block b."""
+        own, limit = self.turned[:, self.space.columns[b]], self.space.limits[b]
+        size = (own * own).sum(axis=1)
+        d = size[i] + size[j] - 2 * self.sums(i, j, own, dense)
         ok = d <= limit
         for n in np.flatnonzero(np.abs(d - limit) <= CLOSE):
-            axes = space.rotation[:, space.columns[b]].T
-            ok[n] = math.fsum((_exact_dot(left[i[n]], a) - _exact_dot(right[j[n]], a)) ** 2 for a in axes) <= limit
+            axes = self.space.rotation[:, self.space.columns[b]].T
+            ok[n] = math.fsum((_exact_dot(self.unit[i[n]], a) - _exact_dot(self.unit[j[n]], a)) ** 2 for a in axes) <= limit
         return ok
 
-    d, limit = apart(block)
-    near = d <= limit + CLOSE
-    if upper:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
-    if not len(i):
-        return out
-    keep = kept(d[i, j], limit, block, i, j)
-    i, j = i[keep], j[keep]
-    if len(i) * 8 > near.size:
-        cosine = (left @ right.T)[i, j]
-    else:
-        cosine = np.concatenate([np.einsum("nk,nk->n", left[i[n : n + 65536]], right[j[n : n + 65536]]) for n in range(0, len(i), 65536)] or [np.zeros(0)])
-    link = cosine >= space.least
-    for n in np.flatnonzero(np.abs(cosine - space.least) <= CLOSE):
-        a, b = left[i[n]], right[j[n]]
-        link[n] = _exact_dot(a, b) / math.sqrt(_exact_dot(a, a) * _exact_dot(b, b)) >= space.least
-    i, j = i[link], j[link]
-    for b in range(block):
-        if not len(i):
-            return out
-        d, limit = apart(b)
-        new = ~kept(d[i, j], limit, b, i, j)
-        i, j = i[new], j[new]
-    out[i, j] = True
-    return out
+    def pairs(self, p: np.ndarray, q: np.ndarray, upper: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The linked pairs of members p x q that keep this block's budget and no earlier one's; ``upper``: only pairs above the diagonal."""
+        near = self.first[p] @ self.second[q].T <= np.float32(self.space.limits[self.block] + SINGLE)
+        if upper:
+            near = np.triu(near, 1)
+        at = np.flatnonzero(near)
+        i, j = p[at // len(q)], q[at % len(q)]
+        dense = len(at) * 8 > near.size
+        for step in ("block", "whole", *range(self.block)):
+            if not len(i):
+                break
+            if step == "whole":
+                cosine = self.sums(i, j, self.unit, dense)
+                ok = cosine >= self.space.least
+                for n in np.flatnonzero(np.abs(cosine - self.space.least) <= CLOSE):
+                    x, y = self.unit[i[n]], self.unit[j[n]]
+                    ok[n] = _exact_dot(x, y) / math.sqrt(_exact_dot(x, x) * _exact_dot(y, y)) >= self.space.least
+            else:
+                ok = self.within(self.block, i, j, dense) if step == "block" else ~self.within(step, i, j, dense)
+            i, j = i[ok], j[ok]
+        return i, j
 
 
 def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -165,17 +174,15 @@ def _links(space: Subspaces, dtype, step: int = 1024):
         side, cid, n = side[order], table["cid"].to_numpy()[order], table["n"].to_numpy()[order]
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
+        members = Members(space, vectors, block)
         total, label = np.zeros(len(cid), np.int64), np.arange(len(cid))
         for lo in range(0, len(left), step):
-            p = left[lo : lo + step]
             for hi in range(lo if same else 0, len(right), step):
-                q = right[hi : hi + step]
-                met = _pairs_in(space, vectors[p], vectors[q], block, same and hi == lo)
-                if met.any():
-                    np.add.at(total, p, met @ n[q])
-                    np.add.at(total, q, met.T @ n[p])
-                    i, j = np.nonzero(met)
-                    _joined(label, p[i], q[j])
+                i, j = members.pairs(left[lo : lo + step], right[hi : hi + step], same and hi == lo)
+                if len(i):
+                    np.add.at(total, i, n[j])
+                    np.add.at(total, j, n[i])
+                    _joined(label, i, j)
         some, moved = np.flatnonzero(total), np.flatnonzero(label != np.arange(len(cid)))
         a = np.concatenate((cid[some], cid[moved]))
         b = pa.array(np.concatenate((cid[some], cid[label[moved]])), mask=np.arange(len(a)) < len(some))
