@@ -306,6 +306,37 @@ def test_long_texts_are_encoded_whole(spark):
     assert token_counts.count_tokens(docs.where("false")).count() == 0
 
 
+def _encoding():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.VOCABULARY, "rb"))}
+    return tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " \n\t", "\u3000 ", "\x85\xa0"])
+@pytest.mark.parametrize("after", ["x", "1 b", "'s", ".", "", "\x1c"])
+def test_long_white_space_below_the_limit(space, after):
+    encoding = _encoding()
+    for n in (token_counts.LONG_RUN - 1, token_counts.LONG_RUN, 30_001, 900_000 // len(space)):
+        text = "word" + (space * n) + after + " tail" * bool(after) + "\n" * 20_000 + after
+        assert token_counts.encode(encoding, text).tolist() == encoding.encode(text, disallowed_special=())
+
+
+@pytest.mark.parametrize("space", [" ", " \n\t"])
+def test_long_white_space_above_the_limit(spark, space):
+    """The pattern's own rule: all but the last character are one piece, the last one starts the next."""
+    encoding, rows, want = _encoding(), [], []
+    for n in (900_000, 1_000_000, 3_000_000):
+        run = (space * n)[:n]
+        rows.append((n, run + "x" + run + "end"))
+        parts = [encoding._encode_single_piece(run[:-1]), encoding.encode(run[-1] + "x")]
+        want.append((n, len(parts[0]) * 2 + len(parts[1]) + len(encoding.encode(run[-1] + "end"))))
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), rule="first")
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == want
+
+
 def test_token_fields(spark):
     docs = spark.createDataFrame([(1, "alpha beta", None, "gamma"), (2, None, None, None)], "doc_id long, a string, b string, c string")
     got = {r.doc_id: r for r in token_counts.count_tokens(docs, fields=["a", "b", "c"]).collect()}

@@ -13,6 +13,7 @@ sections each token meets. A token that crosses a boundary goes
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,23 @@ from . import words
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern published with this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: The characters that the pattern's white space stands for.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space this long before another character is cut off by hand: the pattern steps back over a whole run, and has no room for a million steps.
+LONG_RUN = 10_000
+
+
+def encode(encoding, text: str, whole: bool = False) -> np.ndarray:
+    """Token ids of a text. By ``PATTERN`` a run of n white-space characters before another character is a piece of n - 1 and what starts with its last one, so a long run is cut there, for the same tokens. ``whole``: never cut."""
+    if whole or len(text) < LONG_RUN:
+        return encoding.encode_to_numpy(text, disallowed_special=())
+    parts, at = [], 0
+    for run in re.finditer(f"(?<![{SPACE}])[{SPACE}]{{{LONG_RUN},}}", text):  # tried at the start of a run only, so in linear time
+        if run.end() < len(text):
+            parts.append(encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+            at = run.end() - 1
+            parts.append(np.asarray(encoding._encode_single_piece(text[run.start() : at]), np.uint32))
+    return np.concatenate([*parts, encoding.encode_to_numpy(text[at:], disallowed_special=())])
 
 
 def line_starts(raw: np.ndarray) -> np.ndarray:
@@ -59,7 +77,8 @@ def count_tokens(docs: DataFrame, fields: list[str] | None = None, rule: str = "
     Sections are the lines of ``text``, or the ``fields`` laid end to end, in
     order (null ones empty). A null or empty document has no token and one empty
     section (or as many as fields). Special tokens have no meaning inside texts.
-    A text of any length is encoded whole, one at a time. Repeated rows each give
+    A text of any length is encoded whole, one at a time, with white space of any
+    length (by the pattern given here; another one is left to its own limits). Repeated rows each give
     a row; an empty table gives none; other columns are ignored.
     """
     if rule not in ("first", "most", "share"):
@@ -81,7 +100,7 @@ def count_tokens(docs: DataFrame, fields: list[str] | None = None, rule: str = "
             for d in range(batch.num_rows):
                 raw = data[at[d] : at[d + 1]]
                 starts = line_starts(raw)
-                ids = encoding.encode_to_numpy(raw.tobytes().decode(), disallowed_special=())
+                ids = encode(encoding, raw.tobytes().decode(), pattern != PATTERN)
                 end = np.cumsum(length[ids])
                 start = end - length[ids]
                 character = np.concatenate((np.cumsum((raw & 0xC0) != 0x80), [0]))  # number of the character each byte belongs to, from 1
