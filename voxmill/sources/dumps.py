@@ -1,7 +1,8 @@
 """Readers of text dumps: lines with their numbers, sections by running counts, rows by splitting.
 
-A file is one row until its lines are exploded, so files are read in parallel
-and each must fit a task (and 2 GB).
+Spark cuts files into byte ranges at line ends, so one large file is read by many
+tasks. Line numbers come from the lines of each range, and what a line's meaning
+depends on, the header above it, is carried from chunk to chunk of lines.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbering import numbered
+from ..functions.carry import carried
+from ..functions.numbering import ensure_checkpoints, numbered, ranked
 from .tiff import read_tiff
 
 FLOW_COLUMNS = ("id", "xlo", "ylo", "zlo", "xhi", "yhi", "zhi")
@@ -21,9 +23,19 @@ class DumpError(ValueError):
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``path, n, line`` (n from 1) of text files."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("n", "line")).select("path", (F.col("n") + 1).alias("n"), "line")
+    """``path, n, line`` (n from 1) of text files; lines end at \\n, \\r\\n or \\r.
+
+    The lines of a byte range follow each other in one partition, so a line's
+    number is its place there, after the counts of the file's earlier ranges. They
+    are checkpointed as read: another scan may be cut otherwise.
+    """
+    ensure_checkpoints(spark)
+    where = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range")
+    read = spark.read.text(path).select(*where, "value").withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    ranges = read.groupBy("path", "range").agg(F.min("at").alias("first"), F.count("*").alias("size"))
+    earlier = F.coalesce(F.sum("size").over(Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("path", "range", (earlier + 1 - F.col("first")).alias("shift"))
+    return read.join(ranges, ["path", "range"]).select("path", (F.col("at") + F.col("shift")).alias("n"), F.col("value").alias("line"))
 
 
 def tokens(line: str | Column = "line") -> Column:
@@ -31,10 +43,9 @@ def tokens(line: str | Column = "line") -> Column:
 
 
 def sections(rows: DataFrame) -> DataFrame:
-    """Adds ``item``, the number of ITEM lines up to a line of its file, and ``header``, the latest of them."""
-    w = Window.partitionBy("path").orderBy("n")
+    """Adds ``item``, the number of ITEM lines up to a line of its file, ``header``, the latest of them, and ``is_item``."""
     is_item = F.col("line").startswith("ITEM:")
-    return rows.withColumns({"item": F.sum(is_item.cast("int")).over(w), "header": F.last(F.when(is_item, F.col("line")), ignorenulls=True).over(w), "is_item": is_item})
+    return carried(rows, ["path"], "n", {"item": is_item.cast("int")}, {"header": F.when(is_item, F.col("line"))}).withColumn("is_item", is_item)
 
 
 def _first_blocks(rows: DataFrame) -> DataFrame:
@@ -42,8 +53,8 @@ def _first_blocks(rows: DataFrame) -> DataFrame:
     kind = F.element_at(tokens(F.regexp_replace("header", r"^ITEM:\s*", "")), 1)
     kind = F.when(kind == "NUMBER", F.lit("NUMBER")).when(kind == "BOX", F.lit("BOX")).otherwise(kind)
     named = rows.where("header is not null").withColumn("kind", kind)
-    first = F.min("item").over(Window.partitionBy("path", "kind"))
-    return named.withColumn("first", first).where("item = first").drop("first")
+    first = named.where("is_item").groupBy("path", "kind").agg(F.min("item").alias("item"))  # a few rows a file
+    return named.join(first, ["path", "kind", "item"], "left_semi")
 
 
 def _fields(rows: DataFrame, kind: str) -> list[str]:
@@ -62,11 +73,12 @@ def _dump(listing: DataFrame, kind: str) -> tuple[DataFrame, list[str]]:
     step = rows.where("kind = 'TIMESTEP' and not is_item and trim(line) <> ''").groupBy("path").agg(F.min_by(F.expr("try_cast(trim(line) as int)"), "n").alias("timestep"))
     body = rows.where((F.col("kind") == kind) & ~F.col("is_item") & (F.trim("line") != "")).withColumn("t", tokens())
     kept = body.join(step, "path").where(F.size("t") >= len(names))
-    return kept.select("path", "timestep", "n", *(_number(i, name) for i, name in enumerate(names))), names
+    return kept.select("path", "timestep", "n", *(_number(i, "long" if name == "id" else "float").alias(name) for i, name in enumerate(names))), names
 
 
-def _number(i: int, name: str) -> Column:
-    return F.element_at("t", i + 1).cast("long" if name == "id" else "float").alias(name)
+def _number(at: int, to: str) -> Column:
+    """The number at a place of a line's parts, null for what is none: a filter on it may be tried on headers too."""
+    return F.get("t", F.lit(at)).try_cast(to)
 
 
 def read_flow(spark: SparkSession, path) -> DataFrame:
@@ -110,14 +122,12 @@ def read_surface(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
 def parse_surface(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As ``read_surface``, of ``path, n, line``."""
     rows = listing.withColumn("line", F.trim("line"))
-    w = Window.partitionBy("path").orderBy("n")
     title = F.when(F.col("line").isin("Points", "Triangles", "Lines"), F.col("line"))
-    rows = rows.withColumn("part", F.last(title, ignorenulls=True).over(w)).where("part is not null and line <> '' and line <> part").withColumn("t", tokens())
+    rows = carried(rows, ["path"], "n", lasts={"part": title}).where("part is not null and line <> '' and line <> part").withColumn("t", tokens())
     name = F.element_at(F.split("path", "/"), -1)
     step = F.when(name.endswith(".surf"), F.lit(0)).otherwise(F.expr("try_cast(element_at(split(element_at(split(path, '/'), -1), '[.]'), 3) as int)")).alias("timestep")
-    flat = F.col("t")
-    points = rows.where("part = 'Points'").select("path", step, (flat[0].cast("long") - 1).alias("pid"), *(F.get("t", F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate("xyz")))
-    elements = rows.where("part <> 'Points'").select("path", step, (flat[0].cast("long") - 1).alias("tid"), *((F.get("t", F.lit(i + 1)).cast("long") - 1).alias(c) for i, c in enumerate("abc")))
+    points = rows.where("part = 'Points'").select("path", step, (_number(0, "long") - 1).alias("pid"), *(_number(i + 1, "double").alias(c) for i, c in enumerate("xyz")))
+    elements = rows.where("part <> 'Points'").select("path", step, (_number(0, "long") - 1).alias("tid"), *((_number(i + 1, "long") - 1).alias(c) for i, c in enumerate("abc")))
     return points, elements
 
 
@@ -129,13 +139,12 @@ def read_weights(spark: SparkSession, path) -> DataFrame:
 def parse_weights(listing: DataFrame) -> DataFrame:
     """As ``read_weights``, of ``path, n, line``."""
     rows = listing.where("n > 1 and trim(line) <> ''").withColumn("t", tokens())
-    w = Window.partitionBy("path").orderBy("n")
     starts, ends = F.col("t")[0] == "start", F.col("t")[0] == "end"
-    rows = rows.withColumns({"open": F.sum(F.when(starts, 1).when(ends, -1).otherwise(0)).over(w), "elem_id": F.last(F.when(starts, F.col("t")[1].cast("long") - 1), ignorenulls=True).over(w)})
+    rows = carried(rows, ["path"], "n", {"open": F.when(starts, 1).when(ends, -1).otherwise(0)}, {"elem_id": F.when(starts, _number(1, "long") - 1)})
     body = rows.where(~starts & ~ends)
     if not body.where("open <> 1 or size(t) <> 2").isEmpty():
         raise DumpError("a line stands outside the element blocks")
-    out = body.select("elem_id", F.col("t")[0].cast("long").alias("oid"), F.col("t")[1].cast("double").alias("frac"))
+    out = body.select("elem_id", _number(0, "long").alias("oid"), _number(1, "double").alias("frac"))
     if not out.groupBy("elem_id", "oid").count().where("count > 1").isEmpty():
         raise DumpError("a voxel stands twice in an element")
     return out
@@ -148,43 +157,40 @@ def read_solid(spark: SparkSession, path) -> DataFrame:
 
 def parse_solid(listing: DataFrame) -> DataFrame:
     """As ``read_solid``, of ``path, n, line``."""
-    rows = listing.where("trim(line) <> ''")
-    mark = rows.where(F.trim("line") == "ITEM: SOLID TIMESTEP").groupBy("path").agg(F.min("n").alias("at"))
+    rows = carried(listing.where("trim(line) <> ''"), ["path"], "n", {"seen": F.lit(1)})
+    mark = rows.where(F.trim("line") == "ITEM: SOLID TIMESTEP").groupBy("path").agg(F.min("seen").alias("at"))
     if not rows.select("path").distinct().join(mark, "path", "left_anti").isEmpty():
         raise DumpError("no line ITEM: SOLID TIMESTEP")
-    placed = rows.join(mark, "path").where("n > at").withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("n")))
+    placed = rows.join(mark, "path").withColumn("nth", F.col("seen") - F.col("at")).where("nth > 0")
     heads = [r[0] for r in placed.where("nth = 2").select(F.trim("line")).distinct().limit(2).collect()]
     if len(heads) != 1:
         raise DumpError("no column names" if not heads else "files differ in their columns")
     names = [c.strip() for c in heads[0].split(",")]
     if len(names) < 4:
         raise DumpError("fewer than four columns")
-    step = placed.where("nth = 1").select("path", F.trim("line").cast("int").alias("timestep"))
+    step = placed.where("nth = 1").select("path", F.trim("line").try_cast("int").alias("timestep"))
     body = placed.where("nth > 2")
     if not step.join(body, "path", "left_anti").isEmpty():
         raise DumpError("no data rows")
-    return body.join(step, "path").withColumn("t", F.split("line", ",")).select("path", "timestep", *(F.trim(F.col("t")[i]).cast("float").alias(c) for i, c in enumerate(names)))
+    return body.join(step, "path").withColumn("t", F.transform(F.split("line", ","), lambda x: F.trim(x))).select("path", "timestep", *(_number(i, "float").alias(c) for i, c in enumerate(names)))
 
 
 def second_block(rows: DataFrame, header_lines: int = 9) -> DataFrame:
     """Lines of the second TIMESTEP block after its header, of ``path, n, line``."""
-    w = Window.partitionBy("path").orderBy("n")
-    marked = rows.withColumn("block", F.sum(F.when(F.trim("line") == "ITEM: TIMESTEP", 1).otherwise(0)).over(w))
-    nth = F.row_number().over(Window.partitionBy("path", "block").orderBy("n"))
-    return marked.where("block = 2").withColumn("nth", nth).where((F.col("nth") > header_lines) & (F.trim("line") != "")).select("path", "n", "line")
+    starts = F.trim("line") == "ITEM: TIMESTEP"
+    marked = carried(rows, ["path"], "n", {"block": starts.cast("int")}, {"start": F.when(starts, F.col("n"))})
+    return marked.where((F.col("block") == 2) & (F.col("n") - F.col("start") >= header_lines) & (F.trim("line") != "")).select("path", "n", "line")
 
 
 def read_reactions(spark: SparkSession, path, scale: float = 1.0) -> DataFrame:
-    """``elem_id, scalar``: the i-th row by id of the second block belongs to element i."""
+    """``path, elem_id, scalar``: the i-th row by id of the second block belongs to element i."""
     return parse_reactions(lines(spark, path), scale)
 
 
 def parse_reactions(listing: DataFrame, scale: float = 1.0) -> DataFrame:
     """As ``read_reactions``, of ``path, n, line``."""
-    t = tokens()
-    rows = second_block(listing).select("path", t[0].cast("long").alias("id"), (t[1].cast("double") * scale).alias("scalar"))
-    nth = F.row_number().over(Window.partitionBy("path").orderBy("id")) - 1
-    return rows.select("path", nth.cast("long").alias("elem_id"), "scalar")
+    rows = second_block(listing).withColumn("t", tokens()).select("path", _number(0, "long").alias("id"), (_number(1, "double") * scale).alias("scalar"))
+    return ranked(rows, ["path"], ["id"], "elem_id", 0).select("path", "elem_id", "scalar")
 
 
 def reaction_scale(fnum: float, coupling_time: float, avogadro: float, dt: float, molar_mass: float = 0.012) -> float:
@@ -194,8 +200,8 @@ def reaction_scale(fnum: float, coupling_time: float, avogadro: float, dt: float
 
 def read_volume(spark: SparkSession, path) -> DataFrame:
     """``i, j, k, value`` (from 0) of voxel volume text after two header lines; absent voxels are 0."""
-    t = tokens()
-    return lines(spark, path).where("n > 2 and trim(line) <> ''").select(*((t[a].cast("int") - 1).alias(x) for a, x in enumerate("ijk")), t[3].cast("int").alias("value"))
+    rows = lines(spark, path).where("n > 2 and trim(line) <> ''").withColumn("t", tokens())
+    return rows.select(*((_number(a, "int") - 1).alias(x) for a, x in enumerate("ijk")), _number(3, "int").alias("value"))
 
 
 def slice_volume(volume: DataFrame, x: int, y: int, z: int, half: int, height: int | None = None, keep: int = 1) -> DataFrame:
