@@ -223,7 +223,8 @@ def sliced_voxels(spark: SparkSession, path: str, x: int, y: int, z: int, side:
     """
     height = height or side
     if path.endswith((".tif", ".tiff")):
-        volume = read_tiff(spark, path)
+        half = side // 2
+        volume = read_tiff(spark, path, [[max(0, x - half), x + half], [max(0, y - half), y + half], [z, z + height]])
     elif path.endswith((".txt", ".dat")):
         volume = read_volume(spark, path).select(F.col("k").alias("i"), "j", F.col("i").alias("k"), "value")
     else:
