@@ -54,3 +54,33 @@ def ranked(df: DataFrame, by: list[str], order: list[str], name: str, first: int
     earlier = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(tag).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select(tag, *by, (earlier - F.col("__start") + first).alias("__shift"))
     return dealt.join(runs, [tag, *by]).withColumn(name, (F.col(place) + F.col("__shift")).cast("long")).drop(tag, place, "__shift")
+
+
+def quantiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """``by`` and, for each of ``shares``, the value that far up the group's values in order, between two of them in proportion.
+
+    Values that are null don't count, and a group without values has no row; a
+    ``by`` of null is a group. Values are ranked where they lie after a range
+    partition, and only the rows at the wanted ranks are looked at, so no task holds
+    a group. Without ``by``, the whole table is one group.
+    """
+    keys = [f"__by{n}" for n in range(len(by))]
+    held = [F.struct(F.col(b).alias("v")).alias(k) for k, b in zip(keys, by, strict=True)] or [F.lit(0).alias("__all")]
+    keys = keys or ["__all"]
+    rows = ranked(df.where(F.col(column).isNotNull()).select(*held, F.col(column).cast("double").alias("value")), keys, ["value"], "rank", 0)
+    groups = rows.groupBy(*keys).agg((F.max("rank") + 1).alias("size"))
+    wanted = []
+    for name, share in shares.items():
+        at = (F.col("size") - 1) * F.lit(float(share))
+        low, part = F.floor(at), at - F.floor(at)
+        wanted += [F.struct(F.lit(name).alias("name"), low.alias("rank"), (1 - part).alias("part")), F.struct(F.lit(name).alias("name"), (low + 1).alias("rank"), part.alias("part"))]
+    places = groups.select(*keys, F.explode(F.array(*wanted)).alias("w")).select(*keys, "w.*").where("part > 0")
+    met = places.join(rows, [*keys, "rank"]).groupBy(*keys).agg(*(F.sum(F.when(F.col("name") == n, F.col("part") * F.col("value"))).alias(n) for n in shares))
+    return met.select(*(F.col(f"{k}.v").alias(b) for k, b in zip(keys, by)), *shares)
+
+
+def accumulated(df: DataFrame, by: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``column`` up to each row in the order of ``order`` within its group of ``by`` (not null), of any size."""
+    from .carry import carried
+
+    return carried(ranked(df, by, order, "__rank"), by, "__rank", {name: F.col(column)}).drop("__rank")

@@ -64,6 +64,40 @@ def depth(lattice: DataFrame, axes: tuple[str, ...]) -> DataFrame:
     return out.withColumn("depth", F.greatest(F.lit(-FAR), F.least(F.lit(FAR), signed)).cast("int")).drop("void_at", "solid_at")
 
 
+def surface(voxels: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """The voxels (indices alone) that end a run of voxels along some axis: those with an exposed face."""
+    out, ends = voxels.select(*axes).distinct(), F.lit(False)
+    for a in axes:
+        line = Window.partitionBy(*(x for x in axes if x != a)).orderBy(a)
+        alone = F.coalesce(F.lag(a).over(line) != F.col(a) - 1, F.lit(True)) | F.coalesce(F.lead(a).over(line) != F.col(a) + 1, F.lit(True))
+        out, ends = out.withColumn(f"__{a}", alone), ends | F.col(f"__{a}")
+    return out.where(ends).select(*axes)
+
+
+def near_surface(voxels: DataFrame, axes: tuple[str, ...], reach: int) -> DataFrame:
+    """``(*axes, steps)``: positions within ``reach`` rook steps of a surface voxel, solid or void, with the fewest steps.
+
+    A shortest way from a solid position to the void, or from the void to the
+    solid, meets no other surface voxel before its last step, so these steps are
+    depths. Steps are added axis by axis and the fewest kept, so rows grow with the
+    surface, not with the box around it.
+    """
+    out = surface(voxels, axes).withColumn("steps", F.lit(0))
+    for a in axes:
+        left = F.lit(reach) - F.col("steps")
+        moved = out.withColumn("by", F.explode(F.sequence(-left, left)))
+        moved = moved.select(*((F.col(x) + F.col("by")).cast("int").alias(x) if x == a else x for x in axes), (F.col("steps") + F.abs("by")).alias("steps"))
+        out = moved.groupBy(*axes).agg(F.min("steps").alias("steps"))
+    return out
+
+
+def shell_depth(voxels: DataFrame, axes: tuple[str, ...], reach: int) -> DataFrame:
+    """``(*axes, solid, depth)`` of all voxels, and of void positions within ``reach`` steps of one; as ``depth``, but at most ``reach``."""
+    solid = voxels.select(*axes).distinct().withColumn("solid", F.lit(True))
+    both = near_surface(voxels, axes, reach).join(solid, list(axes), "full").withColumn("solid", F.coalesce("solid", F.lit(False)))
+    return both.withColumn("depth", F.when(F.col("solid"), F.coalesce("steps", F.lit(reach))).otherwise(-F.col("steps"))).drop("steps")
+
+
 def weight(spec: GridSpec, depth_: Column | None = None) -> Column:
     """A voxel's weight from its depth; 1 or 0 for solid or void in an unweighted grid."""
     d = F.col("depth") if depth_ is None else depth_

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import norm, minus, triangle_area, vector
 from ..functions.numbering import ensure_checkpoints, numbered
+from ..spec import GridError
 
 
 def near_pairs(vertices: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -48,12 +49,21 @@ def merge_vertices(vertices: DataFrame, faces: DataFrame, radius: float, axes: t
     return compact(vertices, distinct_corners(moved, corners), corners)
 
 
-def distinct_corners(faces: DataFrame, corners: tuple[str, ...] = ("a", "b", "c")) -> DataFrame:
+def _distinct(corners: tuple[str, ...]) -> Column:
     keep = F.lit(True)
     for n, x in enumerate(corners):
         for y in corners[n + 1 :]:
             keep = keep & (F.col(x) != F.col(y))
-    return faces.where(keep)
+    return keep
+
+
+def distinct_corners(faces: DataFrame, corners: tuple[str, ...] = ("a", "b", "c")) -> DataFrame:
+    return faces.where(_distinct(corners))
+
+
+def equal_corners(faces: DataFrame, corners: tuple[str, ...] = ("a", "b", "c")) -> DataFrame:
+    """The faces that ``distinct_corners`` leaves out."""
+    return faces.where(~_distinct(corners))
 
 
 def compact(vertices: DataFrame, faces: DataFrame, corners: tuple[str, ...] = ("a", "b", "c")) -> tuple[DataFrame, DataFrame]:
@@ -112,6 +122,73 @@ def repair_thin(vertices: DataFrame, faces: DataFrame, least: float = 1e-8) -> D
     return kept.unionByName(halves.where("half = 0").select("elem_id", "a", "b", "c")).unionByName(extra)
 
 
+def _sides(faces: DataFrame) -> DataFrame:
+    """``elem_id, p, q, r, long_edge``: each side p-q of each face, its third corner, and its ends in order."""
+    side = F.explode(F.array(*(F.struct(F.col(x).alias("p"), F.col(y).alias("q"), F.col(z).alias("r")) for x, y, z in ("abc", "bca", "cab")))).alias("s")
+    return faces.select("elem_id", side).select("elem_id", "s.*", F.array_sort(F.array("s.p", "s.q")).alias("long_edge"))
+
+
+def _repair_round(faces: DataFrame, thin: DataFrame, forced: bool) -> DataFrame:
+    """One round of ``repair``. ``forced``: the first thin face may split a thin one."""
+    tip = F.element_at(F.array_except(F.array("a", "b", "c"), "long_edge"), 1)
+    one = Window.partitionBy("long_edge", "tip")
+    paired = thin.withColumn("tip", tip).withColumns({"n": F.count("*").over(one), "turn": F.row_number().over(one.orderBy("elem_id"))})
+    left_over = (F.col("turn") == 1) & (F.col("n") % 2 == 1)  # of an odd number of one shape, the first goes on alone
+    alone = paired.where(left_over).select(F.col("elem_id").alias("thin"), "long_edge", "tip")
+    flat = paired.where(left_over).select("elem_id", F.col("long_edge").alias("own_edge"))
+    if forced:
+        alone = alone.orderBy("thin").limit(1)
+    else:
+        gone = paired.where(~left_over).select("elem_id").checkpoint()
+        faces = faces.join(gone, "elem_id", "left_anti")
+    met = alone.join(_sides(faces), "long_edge").where("elem_id <> thin").join(flat, "elem_id", "left")
+    free = F.col("own_edge").isNull() | ((F.col("own_edge") == F.col("long_edge")) & (F.col("elem_id") > F.col("thin")))
+    claims = met.where(F.lit(True) if forced else free).groupBy("thin").agg(F.min(F.struct("elem_id", "p", "q", "r", "tip")).alias("m"))
+    claimed = claims.groupBy("m.elem_id").agg(F.min(F.struct("thin", "m")).alias("s")).select("s.thin", "s.m.*").checkpoint()
+    splits = claimed.join(claimed.select(F.col("elem_id").alias("thin")), "thin", "left_anti").checkpoint()
+    bare = alone.join(met.select("thin"), "thin", "left_anti").select(F.col("thin").alias("elem_id"))  # on a border: nothing to split
+    gone = bare.unionByName(splits.select(F.col("thin").alias("elem_id"))).unionByName(splits.select("elem_id"))
+    halves = splits.select("elem_id", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("p").alias("a"), F.col("tip").alias("b"), F.col("r").alias("c")), F.struct(F.lit(1).alias("half"), F.col("tip").alias("a"), F.col("q").alias("b"), F.col("r").alias("c")))).alias("h")).select("elem_id", "h.*")
+    last = faces.agg(F.coalesce(F.max("elem_id"), F.lit(-1)).alias("last"))
+    extra = numbered(halves.where("half = 1"), ["elem_id"], "nth").crossJoin(last).select((F.col("last") + 1 + F.col("nth")).alias("elem_id"), "a", "b", "c")  # one row
+    kept = faces.join(gone.distinct(), "elem_id", "left_anti").select("elem_id", "a", "b", "c")
+    return kept.unionByName(halves.where("half = 0").select("elem_id", "a", "b", "c")).unionByName(extra)
+
+
+def repair(vertices: DataFrame, faces: DataFrame, least: float = 1e-8, rounds: int = 200) -> DataFrame:
+    """Faces without thin ones, by rounds that each split what they can at once; a closed mesh stays closed.
+
+    Two thin faces with the same corners and longest side both go. Another one goes
+    when a face that has its longest side is split at its third corner: one that is
+    not thin, or a thin one of the same longest side and a larger elem_id. A face
+    is split once a round, at the thin face with the smallest elem_id; the others,
+    and those whose longest side is only a short one of thin faces, wait for a later
+    round. If all wait, the first splits what there is. One that shares its longest
+    side with no face goes. Faces of two equal corners are dropped first. A round
+    is checkpointed; thin faces become fewer, or their longest sides shorter.
+    GridError if some are left after ``rounds``.
+    """
+    ensure_checkpoints(faces.sparkSession)
+    now, before, forced = distinct_corners(faces.select("elem_id", "a", "b", "c")).checkpoint(), None, False
+    for _ in range(rounds):
+        thin = thin_faces(vertices, now, least).checkpoint()
+        ids = thin.agg(F.count("*").alias("n"), F.sum(F.xxhash64("elem_id", "a", "b", "c").cast("decimal(38,0)")).alias("sum")).first()
+        if not ids.n:
+            return now
+        forced = (ids.n, ids.sum) == before and not forced
+        before = (ids.n, ids.sum)
+        now = distinct_corners(_repair_round(now, thin, forced)).checkpoint()
+    raise GridError(f"thin faces are left after {rounds} rounds")
+
+
+def clean(vertices: DataFrame, faces: DataFrame, radius: float, least: float = 1e-8) -> tuple[DataFrame, DataFrame]:
+    """Near vertices merged, faces with equal corners dropped, thin faces repaired, vertices without a face dropped."""
+    vertices, faces = merge_vertices(vertices, faces, radius)
+    ensure_checkpoints(faces.sparkSession)
+    vertices, faces = vertices.checkpoint(), faces.checkpoint()
+    return compact(vertices, repair(vertices, faces, least))
+
+
 def area(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     p = [vector(f"p{c}.x", f"p{c}.y", f"p{c}.z") for c in "abc"]
     return with_corners(vertices, faces).agg(F.coalesce(F.sum(triangle_area(*p)), F.lit(0.0)).alias("area"))

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import ensure_checkpoints, numbered
 from ..spec import GridError, GridSpec
-from . import cubes, flux, lattice, nodes, squares
+from . import cubes, flux, lattice, mesh, nodes, squares
+
+#: Vertices this near each other, in voxels, are one.
+NEAR = 1e-7
 
 
 @dataclass(frozen=True)
@@ -27,15 +30,16 @@ class Surface:
 class SurfaceMapper:
     """``SurfaceMapper(spec).run(voxels)``: voxels has oid and centres x, y[, z]."""
 
-    def __init__(self, spec: GridSpec, level: float = 0.5, digits: int | None = None):
-        self.spec, self.level, self.digits = spec, level, digits
+    def __init__(self, spec: GridSpec, level: float = 0.5, digits: int | None = None, clean: bool = True):
+        """``clean``: near vertices of a surface in space are merged and its thin faces repaired."""
+        self.spec, self.level, self.digits, self.clean = spec, level, digits, clean
 
     def weighted(self, voxels: DataFrame) -> DataFrame:
-        """Lattice positions with depth and weight; void ones too in a weighted grid."""
+        """Lattice positions with depth and weight; void ones near the solid too in a weighted grid."""
         axes = self.spec.voxel_axes
         if not self.spec.weighted:
             return voxels.select(*axes).distinct().withColumn("weight", F.lit(1.0))
-        return lattice.depth(lattice.padded(voxels, self.spec), axes).withColumn("weight", lattice.weight(self.spec))
+        return lattice.shell_depth(voxels, axes, self.spec.reach).withColumn("weight", lattice.weight(self.spec))
 
     def elements(self, fractions: DataFrame) -> DataFrame:
         """Segments or triangles, numbered and checkpointed: the jobs that make them run here."""
@@ -46,7 +50,19 @@ class SurfaceMapper:
             return numbered(made, ["cj", "ci", "part"], "elem_id").checkpoint()
         made = cubes.attributes(cubes.triangles(cubes.cells(fractions, self.level, self.digits), spec, self.level)).where("area > 0")
         home = {c: spec.cell_of(a, F.col(f"g{'xyz'[a]}")) for a, c in enumerate(spec.cell_axes)}
-        return numbered(made, ["ck", "cj", "ci", "part"], "elem_id").withColumns(home).checkpoint()
+        made = numbered(made, ["ck", "cj", "ci", "part"], "elem_id")
+        return (self.cleaned(made) if self.clean else made).withColumns(home).checkpoint()
+
+    def cleaned(self, elements: DataFrame) -> DataFrame:
+        """``elements`` themselves if no two vertices are near each other and no face is thin; else those of the cleaned mesh, numbered anew, with ``part`` their number in it."""
+        vertices, faces = cubes.indexed(elements)
+        vertices, radius = vertices.checkpoint(), NEAR * self.spec.voxel_size
+        if mesh.near_pairs(vertices, radius).isEmpty() and mesh.thin_faces(vertices, faces).isEmpty():
+            return elements
+        vertices, faces = mesh.clean(vertices, faces, radius)
+        whole = mesh.with_corners(vertices, faces).select(*(F.col(f"p{c}").alias(f"t{n}") for n, c in enumerate("abc")), F.col("elem_id").alias("part"))
+        whole = cubes.attributes(whole).withColumns({c: self.spec.cell_of(a, F.col(f"g{'xyz'[a]}")) for a, c in enumerate(self.spec.cell_axes)})
+        return numbered(whole, ["ck", "cj", "ci", "part"], "elem_id")
 
     def run(self, voxels: DataFrame, check: bool = True) -> Surface:
         spec = self.spec

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import project, vector
-from ..functions.numbering import ensure_checkpoints
+from ..functions.numbering import ensure_checkpoints, quantiles
 
 
 def regular_polygon(spark: SparkSession, sides: int, radius: float, degrees: float = 0.0) -> DataFrame:
@@ -35,6 +35,53 @@ def inside_polygon(points: DataFrame, sides: DataFrame) -> DataFrame:
     return points.crossJoin(ring).where(F.forall("ring", lambda s: cross(s) >= -1e-12)).drop("ring")  # one row
 
 
+def inside_any_polygon(points: DataFrame, sides: DataFrame, cells: int | None = None, keep: str = "pid", border: float = 1e-12) -> DataFrame:
+    """Rows of ``points`` (``keep``, x, y) inside any closed polygon of ``sides`` (ax, ay, bx, by) by the even-odd rule, or within ``border`` of a side.
+
+    Concave polygons, holes and several rings are fine, of any number of sides in
+    either direction; points with null coordinates are outside. The polygon's box
+    is cut into slabs by y and cells by x, about as many slabs as the square root of
+    the number of sides. Of the sides that cross a point's slab to its left, those
+    that go all the way through the slab in cells before the point's are only
+    counted, by cell and then summed along the slab; those that begin or end in
+    the slab are tried with its points; and those in the point's own cell are
+    too. So a point meets few sides however many the polygon has.
+    """
+    box = sides.agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"), F.count("*").alias("n")).first()
+    if not box.n:
+        return points.limit(0)
+    n = cells or max(1, min(4096, round(box.n**0.5)))
+    w, h = ((hi - lo) / n or 1.0 for lo, hi in ((box.x0, box.x1), (box.y0, box.y1)))
+    column = lambda x: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((x - F.lit(box.x0)) / w))).cast("int")
+    slab = lambda y: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((y - F.lit(box.y0)) / h))).cast("int")
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    cut = sides.select("ax", "ay", "bx", "by", F.explode(F.sequence(slab(low - border), slab(high + border))).alias("slab"))
+    # where the side runs within the slab, a little widened
+    y0, y1 = F.lit(box.y0) + F.col("slab") * h, F.lit(box.y0) + (F.col("slab") + 1) * h
+    at = lambda y: F.col("ax") + (y - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+    flat = F.col("ay") == F.col("by")
+    from_x = F.when(flat, F.least("ax", "bx")).otherwise(F.least(at(F.greatest(low, F.least(high, y0))), at(F.greatest(low, F.least(high, y1)))))
+    to_x = F.when(flat, F.greatest("ax", "bx")).otherwise(F.greatest(at(F.greatest(low, F.least(high, y0))), at(F.greatest(low, F.least(high, y1)))))
+    slack = border + 1e-9 * w
+    cut = cut.withColumns({"first": column(from_x - slack), "last": column(to_x + slack), "through": (low < y0 - 1e-9 * h) & (high > y1 + 1e-9 * h)})
+    placed = points.where("x is not null and y is not null").where(F.col("x").between(box.x0 - border, box.x1 + border) & F.col("y").between(box.y0 - border, box.y1 + border))
+    placed = placed.select(keep, "x", "y", slab(F.col("y")).alias("slab"), column(F.col("x")).alias("column"))
+    crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") > F.col("ax") + (F.col("y") - F.col("ay")) / F.when(~flat, F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax")))
+    near = segment_distance() <= border
+    # own cell: every side that touches it; before it: the ends alone, for what goes through is counted
+    own = cut.withColumn("column", F.explode(F.sequence("first", "last"))).select("ax", "ay", "bx", "by", "slab", "column")
+    here = placed.join(own, ["slab", "column"]).groupBy(keep).agg(F.count_if(crosses).alias("odd"), F.max(near).alias("on"))
+    ends = cut.where(~F.col("through")).select("ax", "ay", "bx", "by", "slab", "last")
+    passed = placed.join(ends, "slab").where(F.col("last") < F.col("column")).where((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))).groupBy(keep).agg(F.count("*").alias("odd"), F.lit(False).alias("on"))
+    counted = cut.where("through").where(F.col("last") < n - 1).groupBy("slab", (F.col("last") + 1).alias("column")).agg(F.count("*").alias("n"))
+    steps = Window.partitionBy("slab").orderBy("column")
+    counted = counted.select("slab", "column", F.sum("n").over(steps).alias("n"), F.coalesce(F.lead("column").over(steps), F.lit(n)).alias("until"))
+    counted = counted.select("slab", F.explode(F.sequence("column", F.col("until") - 1)).alias("column"), "n")
+    before = placed.join(counted, ["slab", "column"]).select(keep, F.col("n").alias("odd"), F.lit(False).alias("on"))
+    total = here.unionByName(passed).unionByName(before).groupBy(keep).agg(F.sum("odd").alias("odd"), F.max("on").alias("on"))
+    return points.join(total.where((F.col("odd") % 2 == 1) | F.col("on")).select(keep), keep, "left_semi")
+
+
 def nearest_element(points: DataFrame, elements: DataFrame, bin_size: float) -> DataFrame:
     """``pid, elem_id, distance``: the segment nearest each point, its distance negative on the solid's side.
 
@@ -104,9 +151,18 @@ def flux_error(measured: DataFrame, exact: DataFrame) -> DataFrame:
     return both.agg(F.avg(F.abs((F.col("value") - F.col("exact")) / F.col("exact")) * 100).alias("error_percent"), F.count("*").alias("n"))
 
 
-def distribution(df: DataFrame, column: str) -> DataFrame:
-    c = F.col(column)
-    return df.agg(F.min(c).alias("lowest"), F.percentile(c, 0.25).alias("quartile_1"), F.median(c).alias("middle"), F.percentile(c, 0.75).alias("quartile_3"), F.max(c).alias("highest"))
+def distribution(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """Of each group (or of the whole): lowest, quartile_1, middle, quartile_3 and highest value, exactly; null and missing values don't count."""
+    return quantiles(df, by or [], column, {"lowest": 0.0, "quartile_1": 0.25, "middle": 0.5, "quartile_3": 0.75, "highest": 1.0})
+
+
+def medians(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """The exact median of each column within each group, as of repeated measurements."""
+    out = None
+    for c in columns:
+        each = quantiles(df, by, c, {c: 0.5})
+        out = each if out is None else out.join(each, by, "full")
+    return out
 
 
 def sweep_matrix(cases: DataFrame, ratios: list[int]) -> DataFrame:

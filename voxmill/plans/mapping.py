@@ -100,6 +100,13 @@ def _(spark, sf_dir):
     return lattice.depth(lattice.padded(space_voxels(spark, sf_dir), SPACE), SPACE.voxel_axes).where("not solid").groupBy("depth").agg(F.count("*").alias("n"))
 
 
+@register("depth_shell_3d", oracle(3, f"SELECT i, j, k, solid, depth FROM dep WHERE depth BETWEEN -{SPACE.reach} AND {SPACE.reach}"))
+def _(spark, sf_dir):
+    """Depths of the voxels and positions that can weigh anything but 0 or 1, without a dense lattice."""
+    shell = lattice.shell_depth(space_voxels(spark, sf_dir), SPACE.voxel_axes, SPACE.reach + 1)
+    return shell.where(F.abs("depth") <= SPACE.reach)
+
+
 @register("exposed_faces", oracle(3, "SELECT i, j, k, face FROM exp"))
 def _(spark, sf_dir):
     return lattice.exposed_faces(space_voxels(spark, sf_dir), SPACE.voxel_axes).select("i", "j", "k", "face")

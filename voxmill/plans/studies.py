@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import longest_side, shoelace, vector
+from ..functions.numbering import accumulated
 from ..operators import ablation, flux, lattice, mesh, squares, validation
 from ..sources import dumps
 from .lattices import PLANE, oracle, table
@@ -32,8 +33,8 @@ def _(spark, sf_dir):
 
 @register("ablate_cumulative", "SELECT l_orderkey, l_linenumber, l_partkey, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS removed FROM lineitem")
 def _(spark, sf_dir):
-    w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.sum(F.col("l_quantity").cast("long")).over(w).alias("removed"))
+    items = table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("long"))
+    return accumulated(items, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity"], "q", "removed").select("l_orderkey", "l_linenumber", "l_partkey", "removed")
 
 
 @register("ablate_remaining")
@@ -87,6 +88,26 @@ def _(spark, sf_dir):
     return validation.inside_polygon(points_of_embeddings(spark, sf_dir), validation.regular_polygon(spark, 12, 0.15)).select("pid")
 
 
+_STAR = """WITH n AS (SELECT count(*) AS n FROM customer), p AS (SELECT c_custkey AS k, (0.05e0 + (c_acctbal + 1000) / 55000e0) * cos(2 * pi() * c_custkey / n) AS x, (0.05e0 + (c_acctbal + 1000) / 55000e0) * sin(2 * pi() * c_custkey / n) AS y FROM customer, n),
+ s AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a, n, p b WHERE b.k = a.k % n + 1),
+ e AS (SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"""
+
+
+def customer_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polygon with a corner for each customer, as far out as the balance says."""
+    customers = table(spark, sf_dir, "customer")
+    total = customers.agg(F.count("*").alias("n"))
+    out, turn = F.lit(0.05) + (F.col("c_acctbal") + 1000) / 55000, 2 * math.pi * F.col("k") / F.col("n")
+    corners = customers.select(F.col("c_custkey").alias("k"), "c_acctbal").crossJoin(total).select("k", "n", (out * F.cos(turn)).alias("x"), (out * F.sin(turn)).alias("y"))  # one row
+    after = corners.select(F.when(F.col("k") == 1, F.col("n")).otherwise(F.col("k") - 1).alias("k"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return corners.join(after, "k").select(F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
+
+
+@register("point_in_concave_polygon", f"{_STAR} SELECT pid FROM e JOIN s ON (ay > y) <> (by_ > y) AND x > ax + (y - ay) / (by_ - ay) * (bx - ax) GROUP BY pid HAVING count(*) % 2 = 1")
+def _(spark, sf_dir):
+    return validation.inside_any_polygon(points_of_embeddings(spark, sf_dir), customer_star(spark, sf_dir)).select("pid")
+
+
 @register(
     "signed_distance",
     f"""WITH {_RING} SELECT pid, round(min(sqrt(power(x - ax - t * (bx - ax), 2) + power(y - ay - t * (by_ - ay), 2))) * CASE WHEN bool_and((bx - ax) * (y - ay) - (by_ - ay) * (x - ax) > 0) THEN -1e0 ELSE 1e0 END, 6) + 0e0 AS distance FROM (
@@ -127,12 +148,20 @@ def _(spark, sf_dir):
 
 @register("distribution_summary", "SELECT p_brand, min(p_retailprice) AS lowest, round(quantile_cont(p_retailprice, 0.5), 4) AS middle, max(p_retailprice) AS highest FROM part GROUP BY p_brand")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_retailprice").alias("lowest"), F.round(F.median("p_retailprice"), 4).alias("middle"), F.max("p_retailprice").alias("highest"))
+    return validation.distribution(table(spark, sf_dir, "part"), "p_retailprice", ["p_brand"]).select("p_brand", "lowest", F.round("middle", 4).alias("middle"), "highest")
 
 
 @register("repeat_medians", "SELECT l_returnflag, round(median(l_extendedprice), 4) AS middle, round(median(l_extendedprice) / median(l_quantity), 6) AS speedup FROM lineitem GROUP BY 1")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 4).alias("middle"), F.round(F.median("l_extendedprice") / F.median("l_quantity"), 6).alias("speedup"))
+    found = validation.medians(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"], ["l_returnflag"])
+    return found.select("l_returnflag", F.round("l_extendedprice", 4).alias("middle"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6).alias("speedup"))
+
+
+@register("quartiles_of_all", "SELECT " + ", ".join(f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {p}), 4) AS {n}" for n, p in (("lowest", 0), ("quartile_1", 0.25), ("middle", 0.5), ("quartile_3", 0.75), ("highest", 1))) + " FROM lineitem")
+def _(spark, sf_dir):
+    """One group of all line items."""
+    found = validation.distribution(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return found.select(*(F.round(c, 4).alias(c) for c in found.columns))
 
 
 @register("attach_by_id_left_join", "SELECT p_partkey AS tid, s_suppkey IS NULL AS missing, coalesce(s_acctbal, -1e6) AS balance FROM part LEFT JOIN supplier ON s_suppkey = p_partkey")
@@ -222,7 +251,7 @@ def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("degenerate_faces", "SELECT l_orderkey * 8 + l_linenumber AS elem_id FROM lineitem WHERE NOT (l_partkey % 23 <> l_suppkey % 23 AND l_suppkey % 23 <> l_orderkey % 23 AND l_partkey % 23 <> l_orderkey % 23)")
 def _(spark, sf_dir):
     faces = _faces(spark, sf_dir)
-    return faces.join(mesh.distinct_corners(faces).select("elem_id", "a", "b", "c"), ["elem_id", "a", "b", "c"], "left_anti").select("elem_id")
+    return mesh.equal_corners(faces).select("elem_id")
 
 
 @register("shared_edge_counts", "SELECT least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS n FROM (SELECT l_partkey % 23 AS a, l_suppkey % 23 AS b FROM lineitem) WHERE a <> b GROUP BY 1, 2")

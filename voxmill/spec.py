@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -83,11 +84,14 @@ class GridSpec:
         return max(self.cell) / self.voxel_size
 
     @property
-    def padding(self) -> int:
-        """Voxels around the solid whose depth can matter."""
-        import math
+    def reach(self) -> int:
+        """Deeper voxels weigh 1, and those farther out 0."""
+        return math.ceil(1.5 * self.voxels_per_cell + 0.5)
 
-        return 2 * math.ceil(1.5 * self.voxels_per_cell + 0.5)
+    @property
+    def padding(self) -> int:
+        """Voxels around the solid that a dense lattice of it has."""
+        return 2 * self.reach
 
     def centre(self, axis: int) -> Column:
         """Centre of a voxel on an axis, from its index."""
