@@ -435,7 +435,7 @@ def test_sample_counts_copies_once_and_is_bounded(spark):
     rows = [(f"text number {i} of one", "aa") for i in range(50)] + [("copied words " * 20, "aa")] * 500 + [("only this text", "bb")] * 300 + [("x" * 999, "cc"), (None, "dd"), ("lost", None)]
     docs = spark.createDataFrame(rows, "text string, lang string")
     got = Counter(r.lang for r in crf_language.sample_texts(docs, 20, 3, 100).collect())
-    assert got == {"aa": 20, "bb": 1, "cc": 1}
+    assert got == {"aa": 20, "bb": 1, "cc": 2}  # nine equal pieces of 100 characters and one of 99
     assert all(len(r.text) <= 100 for r in crf_language.sample_texts(docs, 20, 3, 100).collect())
     assert set(Counter(r.lang for r in crf_language.sample_texts(docs, 20, 2, 100).collect())) == {"aa", "bb"}
 
@@ -477,3 +477,16 @@ def test_labels_do_not_depend_on_neighbours(spark, monkeypatch):
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert rows_of(crf_language.identify(docs), "lang_pred", "score") == [("und", 0.0)]
+
+
+def test_long_texts_and_all_languages_are_sampled(spark):
+    """Pieces of a long text are rows of their own, also beyond the first; no language is left out."""
+    rows = [("first " * 40 + "later " * 400, "aa")] + [(f"word{n} text", f"l{n % 90:02d}") for n in range(180)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = crf_language.sample_texts(docs, 50, None, 100).collect()
+    assert len({r.lang for r in got}) == 91
+    mine = [r.text for r in got if r.lang == "aa"]
+    whole = rows[0][0]
+    assert set(mine) == {whole[n : n + 100] for n in range(0, len(whole), 100)} and any("first" not in t for t in mine)
+    few = crf_language.sample_texts(docs, 3, None, 100).where("lang = 'aa'").collect()
+    assert len(few) == 3 and {r.text for r in few} <= set(mine)

@@ -237,28 +237,35 @@ class Model:
         return share / np.maximum(share.sum(axis=1, keepdims=True), 1e-12), count[:, 0] / np.maximum(count[:, 1], 1)
 
 
-def sample_texts(labelled: DataFrame, per_language: int, most_languages: int, most_chars: int) -> DataFrame:
-    """``(text, lang, mark)``: of each language at most ``per_language`` different texts, chosen by a hash; copies count once.
+def sample_texts(labelled: DataFrame, per_language: int, most_languages: int | None, most_chars: int) -> DataFrame:
+    """``(text, lang, mark)``: of each language at most ``per_language`` different pieces of texts, chosen by a hash; copies count once.
 
-    Only the ``most_languages`` languages with most rows are learned, and of a
-    text ``most_chars`` characters, so the sample is bounded in bytes.
+    A text is one piece, or, if it has more than ``most_chars`` characters, several
+    of that length, each a row like any other, so every part of every text may be
+    learned from and the sample is bounded in bytes for each language.
+    ``most_languages``: only those with most rows (None: all of them).
     """
-    rows = labelled.select("text", "lang", F.xxhash64("text").alias("mark")).where("text is not null and lang is not null")
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
-    chosen = rows.select("lang", "mark").distinct().join(F.broadcast(common), "lang").withColumn("part", F.pmod(F.hash("mark"), F.lit(PARTS)))
+    rows = labelled.select("text", "lang").where("text is not null and lang is not null")
+    if most_languages is not None:
+        common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
+        rows = rows.join(F.broadcast(common), "lang")
+    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / most_chars).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda n: F.substr(F.col("text"), n * most_chars + 1, F.lit(most_chars)))
+    rows = rows.select("lang", F.explode(F.when(last == 0, F.array("text")).otherwise(pieces)).alias("text")).withColumn("mark", F.xxhash64("text"))
+    chosen = rows.select("lang", "mark").distinct().withColumn("part", F.pmod(F.hash("mark"), F.lit(PARTS)))
     for group in (["lang", "part"], ["lang"]):  # first of each part of a language, so that no task ranks all of it
         nth = F.row_number().over(Window.partitionBy(*group).orderBy("mark"))
         chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
-    chosen = chosen.select("lang", "mark")
-    taken = rows.join(F.broadcast(chosen), ["lang", "mark"])  # at most per_language * most_languages rows of a name and a number
-    return taken.withColumn("text", F.substr("text", F.lit(1), F.lit(most_chars))).groupBy("lang", "mark").agg(F.min("text").alias("text"))
+    chosen = written(chosen.select("lang", "mark"), "chosen")
+    taken = rows.join(chosen, ["lang", "mark"])  # per_language names and numbers for each language; Spark broadcasts them if they are few
+    return taken.groupBy("lang", "mark").agg(F.min("text").alias("text"))
 
 
-def fit(labelled: DataFrame, per_language: int = 300, rounds: int = 3, shares: int = 4, most_languages: int = 64, most_chars: int = 50_000) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = 300, rounds: int = 3, shares: int = 4, most_languages: int | None = None, most_chars: int = 50_000) -> Model | None:
     """Trains on ``(text, lang)`` rows with neither null; None if there are none.
 
-    The sample is bounded, see ``sample_texts``. Weights are averaged on the
-    driver: ``shares`` tables a round, of a size bounded by ``most_languages``.
+    The sample is bounded, see ``sample_texts``. All languages are learned. Weights
+    are averaged on the driver: ``shares`` tables a round, of about 0.5 MB a language.
     """
     sample = written(sample_texts(labelled, per_language, most_languages, most_chars), "sample")
     langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
