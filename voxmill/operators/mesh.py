@@ -40,9 +40,63 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
+def _boxes(vertices: DataFrame, axes: tuple[str, ...], side: float) -> DataFrame:
+    """``cell`` (array of numbers) and the box of the points in it: lo, hi, and their smallest vid."""
+    cell = F.array(*(F.floor(F.col(x) / side).cast("long") for x in axes))
+    return vertices.groupBy(cell.alias("cell")).agg(F.array(*(F.min(x) for x in axes)).alias("lo"), F.array(*(F.max(x) for x in axes)).alias("hi"), F.min("vid").alias("vid"))
+
+
+def _apart(dims: int) -> tuple[Column, Column]:
+    """Squares of the least and the greatest distance between points of the boxes lo..hi and lo_..hi_."""
+    zero = F.lit(0.0)
+    near = [F.greatest(zero, F.col("lo_")[n] - F.col("hi")[n], F.col("lo")[n] - F.col("hi_")[n]) for n in range(dims)]
+    far = [F.greatest(F.col("hi_")[n] - F.col("lo")[n], F.col("hi")[n] - F.col("lo_")[n]) for n in range(dims)]
+    return sum((x * x for x in near[1:]), near[0] * near[0]), sum((x * x for x in far[1:]), far[0] * far[0])
+
+
+def near_groups(vertices: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """``(node, root)``: for each vertex the smallest one that steps of at most ``radius`` reach, however many lie in one place.
+
+    Cells are so small that the points of one are all near each other, so a cell is
+    one node. Whether two cells hold near points is asked of the boxes of their
+    points: near if even the farthest corners are, apart if even the nearest are not.
+    What is between is asked again of the halves of both cells, only for
+    cells that no halves have joined yet; boxes end as points, so this ends exact.
+    """
+    ensure_checkpoints(vertices.sparkSession)
+    dims, side = len(axes), radius / len(axes) ** 0.5 * (1 - 1e-12)
+    points = vertices.select("vid", *((F.col(x) + F.lit(0.0)).alias(x) for x in axes))
+    boxes = _boxes(points, axes, side).checkpoint()
+    steps = [o for o in ([n // 5**a % 5 - 2 for a in range(dims)] for n in range(5**dims)) if o[::-1] > [0] * dims]
+    around = boxes.withColumn("o", F.explode(F.array(*(F.array(*(F.lit(x) for x in o)) for o in steps))))
+    around = around.select(F.col("vid").alias("a"), "cell", "lo", "hi", F.zip_with("cell", "o", lambda c, o: c + o).alias("cell_"))
+    other = boxes.select(F.col("vid").alias("b"), F.col("cell").alias("cell_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
+    asked, links = around.join(other, "cell_"), None
+    near, far = _apart(dims)
+    while True:
+        known = asked.withColumns({"near": near, "far": far}).where(F.col("near") <= radius * radius).select("a", "b", "cell", "cell_", (F.col("far") <= radius * radius).alias("sure")).checkpoint()
+        found = known.where("sure").select("a", "b").distinct()
+        links = found if links is None else links.unionByName(found)
+        open_ = known.where("not sure").join(found, ["a", "b"], "left_anti")
+        if open_.isEmpty():
+            break
+        side /= 2
+        wanted = open_.select("cell").unionByName(open_.select(F.col("cell_").alias("cell"))).distinct()
+        parent = F.array(*(F.floor(F.col(x) / (2 * side)).cast("long") for x in axes))
+        halves = _boxes(points.withColumn("parent", parent).join(wanted.withColumnRenamed("cell", "parent"), "parent", "left_semi"), axes, side)
+        halves = halves.withColumn("parent", F.transform("cell", lambda c: F.floor(c / 2))).checkpoint()
+        mine = halves.select(F.col("parent").alias("cell"), F.col("cell").alias("half"), "lo", "hi")
+        theirs = halves.select(F.col("parent").alias("cell_"), F.col("cell").alias("half_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
+        asked = open_.join(mine, "cell").join(theirs, "cell_").select("a", "b", F.col("half").alias("cell"), "lo", "hi", F.col("half_").alias("cell_"), "lo_", "hi_")
+    roots = components(boxes.select(F.col("vid").alias("node")), links)
+    homes = boxes.join(roots.select(F.col("node").alias("vid"), "root"), "vid").select("cell", "root")
+    cell = F.array(*(F.floor(F.col(x) / (radius / dims**0.5 * (1 - 1e-12))).cast("long") for x in axes))
+    return points.select(F.col("vid").alias("node"), cell.alias("cell")).join(homes, "cell").select("node", "root")
+
+
 def merge_vertices(vertices: DataFrame, faces: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), corners: tuple[str, ...] = ("a", "b", "c")) -> tuple[DataFrame, DataFrame]:
     """Vertices within ``radius`` of each other, directly or through others, become the first of them; faces with equal corners go."""
-    roots = components(vertices.select(F.col("vid").alias("node")), near_pairs(vertices, radius, axes))
+    roots = near_groups(vertices, radius, axes)
     moved = faces
     for c in corners:
         moved = moved.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_")), c).drop(c).withColumnRenamed(f"{c}_", c)

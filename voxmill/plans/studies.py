@@ -243,6 +243,13 @@ def _(spark, sf_dir):
     return mesh.near_pairs(_vertices(spark, sf_dir), 0.05)
 
 
+@register("near_vertex_groups", """SELECT vid AS node, min(vid) OVER (PARTITION BY y, part) AS root FROM (SELECT *, sum(gap) OVER (PARTITION BY y ORDER BY x, vid) AS part FROM (
+  SELECT c_custkey AS vid, c_nationkey AS y, c_acctbal / 1000 AS x, CASE WHEN power(c_acctbal / 1000 - lag(c_acctbal / 1000) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal / 1000, c_custkey), 2) <= 0.05e0 * 0.05e0 THEN 0 ELSE 1 END AS gap FROM customer))""")
+def _(spark, sf_dir):
+    """Customers of a nation whose balances are linked by steps of 50."""
+    return mesh.near_groups(_vertices(spark, sf_dir), 0.05)
+
+
 def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("elem_id"), (F.col("l_partkey") % 23).alias("a"), (F.col("l_suppkey") % 23).alias("b"), (F.col("l_orderkey") % 23).alias("c"))
