@@ -2,14 +2,16 @@
 
 Candidates come from a binned spatial join: an element meets the exposed, facing
 voxel faces in its own grid cell and those around it. The offsets are exploded
-on the elements, the rarer side; the faces' cells join on equality.
+on the elements, the rarer side; the faces' cells join on equality. A cell with very
+many faces is split into an octree's (or quadtree's) parts, so it is many keys, and
+an element meets only the parts that lie along its normal.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import overlap_length, vector
@@ -29,17 +31,64 @@ def surface_faces(voxels: DataFrame, spec: GridSpec) -> DataFrame:
     return faces.select("oid", "face", *home, *corners, *normal)
 
 
-def candidates(elements: DataFrame, faces: DataFrame, spec: GridSpec) -> DataFrame:
+#: Faces of a cell from which on it is split, into parts of about as many.
+CROWDED = 1 << 14
+
+
+def _middle(corners: list[str], axis: str) -> Column:
+    total = F.col(f"{corners[0]}.{axis}")
+    for c in corners[1:]:
+        total = total + F.col(f"{c}.{axis}")
+    return total / len(corners)
+
+
+def split_cells(faces: DataFrame, spec: GridSpec, crowded: int = CROWDED) -> DataFrame:
+    """``(*cell axes, level)`` of cells with more than ``crowded`` faces: halved so often along each axis that a part has about ``crowded`` at most, if they lie on a surface."""
+    sizes = faces.groupBy(*spec.cell_axes).agg(F.count("*").alias("n")).where(F.col("n") > crowded)
+    level = F.ceil(F.log2(F.col("n") / crowded) / max(1, spec.ndims - 1))
+    return sizes.select(*spec.cell_axes, F.least(level, F.lit(20)).cast("int").alias("level"))
+
+
+def split_candidates(around: DataFrame, faces: DataFrame, cells: DataFrame, spec: GridSpec) -> DataFrame:
+    """The candidates in split ``cells``: elements that have been sent to them meet the faces of those parts that a line along the element's normal comes near enough to.
+
+    What is left out shares no area with the element when it is projected onto it.
+    """
+    axes, size, dims = list(spec.cell_axes), spec.voxel_size, spec.ndims
+    corners = [f"p{n}" for n in range(2 ** (dims - 1))]
+    part = [f"q{n}" for n in range(dims)]
+    inside = [F.floor((_middle(corners, x) - spec.lo[n] - F.col(axes[n]) * spec.cell[n]) / spec.cell[n] * F.pow(F.lit(2.0), F.col("level"))) for n, x in enumerate("xyz"[:dims])]
+    placed = faces.join(cells, axes).withColumns({q: v.cast("long") for q, v in zip(part, inside, strict=True)})
+    parts = placed.groupBy(*axes, "level", *part).agg(F.count("*").alias("n")).drop("n")
+    ends = [("ax", "ay"), ("bx", "by")] if dims == 2 else [(f"t{n}.x", f"t{n}.y", f"t{n}.z") for n in range(3)]
+    centre = [sum((F.col(e[n]) for e in ends[1:]), F.col(ends[0][n])) / len(ends) for n in range(dims)]
+    reach = F.greatest(*(F.sqrt(sum(((F.col(e[n]) - centre[n]) ** 2 for n in range(1, dims)), (F.col(e[0]) - centre[0]) ** 2)) for e in ends))
+    away = [F.lit(spec.lo[n]) + (F.col(axes[n]) + (F.col(part[n]) + 0.5) / F.pow(F.lit(2.0), F.col("level"))) * spec.cell[n] - centre[n] for n in range(dims)]
+    normal = [F.col(f"n{x}") for x in "xyz"[:dims]]
+    along = sum((a * m for a, m in zip(away[1:], normal[1:], strict=True)), away[0] * normal[0])
+    aside = F.sqrt(F.greatest(F.lit(0.0), sum((a * a for a in away[1:]), away[0] * away[0]) - along * along))
+    half = F.lit(sum(c * c for c in spec.cell) ** 0.5 / 2) / F.pow(F.lit(2.0), F.col("level"))
+    met = around.join(parts, axes).where(aside <= (reach + half + size * dims**0.5 / 2) * (1 + 1e-9))
+    return met.join(placed.drop("level"), [*axes, *part]).drop("level", *part)
+
+
+def candidates(elements: DataFrame, faces: DataFrame, spec: GridSpec, crowded: int | None = None) -> DataFrame:
     """Pairs of an element and an exposed face in a 3 x 3 (x 3) block of cells that faces the element's way.
 
-    ``elements`` has its cell in the cell axes and a normal in nx, ny[, nz].
+    ``elements`` has its cell in the cell axes and a normal in nx, ny[, nz]. Cells
+    with more than ``crowded`` faces (None: no cell) are split, see
+    ``split_candidates``: fewer pairs, the same overlaps.
     """
     block = F.explode(F.array(*(F.struct(*(F.lit(n // 3**a % 3 - 1).alias(f"d{c}") for a, c in enumerate(spec.cell_axes))) for n in range(3**spec.ndims))))
     around = elements.withColumn("around", block)
     for c in spec.cell_axes:
         around = around.withColumn(c, (F.col(c) + F.col(f"around.d{c}")).cast("int"))
     facing = sum((F.col(f"f{x}") * F.col(f"n{x}") for x in "xyz"[1 : spec.ndims]), F.col("fx") * F.col("nx"))
-    return around.drop("around").join(faces, list(spec.cell_axes)).where(facing > 0)
+    around = around.drop("around")
+    if crowded is None or (cells := split_cells(faces, spec, crowded).checkpoint()).isEmpty():
+        return around.join(faces, list(spec.cell_axes)).where(facing > 0)
+    calm = around.join(faces.join(cells.select(*spec.cell_axes), list(spec.cell_axes), "left_anti"), list(spec.cell_axes))
+    return calm.unionByName(split_candidates(around, faces, cells, spec)).where(facing > 0)
 
 
 def overlaps_2d(pairs: DataFrame) -> DataFrame:

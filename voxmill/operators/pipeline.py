@@ -74,7 +74,7 @@ class SurfaceMapper:
         if check and fractions.where(F.col("frac") >= self.level).isEmpty():
             raise GridError("no node is filled to the level, so there is no surface")
         elements = self.elements(fractions)
-        pairs = flux.candidates(elements, flux.surface_faces(snapped, spec), spec)
+        pairs = flux.candidates(elements, flux.surface_faces(snapped, spec), spec, flux.CROWDED)
         shares = flux.weights(flux.overlaps_2d(pairs) if spec.ndims == 2 else flux.overlaps_3d(pairs))
         vertices, lines = squares.indexed(elements.drop("elem_id")) if spec.ndims == 2 else cubes.indexed(elements)
         return Surface(fractions, elements, vertices, lines, shares, snapped.where("n_input > 1"))
