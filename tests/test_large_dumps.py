@@ -84,3 +84,12 @@ def test_one_large_file_of_each_kind(spark, small_ranges, tmp_path):
     volume = ["a", "b", *(f"{1 + k % 30} {1 + k // 30 % 30} {1 + k // 900} {k % 3}" for k in range(n))]
     (tmp_path / "volume.txt").write_text("\n".join(volume))
     assert dumps.read_volume(spark, str(tmp_path / "volume.txt")).where("value = (i + 30 * j + 900 * k) % 3").count() == n
+
+
+def test_several_files_of_a_timestep(spark):
+    outputs = spark.createDataFrame([("b_1.vtu", 1), ("a_1.vtu", 1), ("a_2.vtu", 2)], "path string, timestep int")
+    with pytest.warns(UserWarning, match="2 outputs"):
+        assert dumps.file_for_step(outputs, 1) == "a_1.vtu"
+    assert dumps.file_for_step(outputs, 2) == "a_2.vtu"
+    with pytest.raises(dumps.DumpError):
+        dumps.file_for_step(outputs, 3)

@@ -89,7 +89,7 @@ def _(spark, sf_dir):
 
 
 _STAR = """WITH n AS (SELECT count(*) AS n FROM customer), p AS (SELECT c_custkey AS k, (0.05e0 + (c_acctbal + 1000) / 55000e0) * cos(2 * pi() * c_custkey / n) AS x, (0.05e0 + (c_acctbal + 1000) / 55000e0) * sin(2 * pi() * c_custkey / n) AS y FROM customer, n),
- s AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a, n, p b WHERE b.k = a.k % n + 1),
+ s AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a, n, p b WHERE b.k = (a.k + 1) % n),
  e AS (SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"""
 
 
@@ -99,7 +99,7 @@ def customer_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = customers.agg(F.count("*").alias("n"))
     out, turn = F.lit(0.05) + (F.col("c_acctbal") + 1000) / 55000, 2 * math.pi * F.col("k") / F.col("n")
     corners = customers.select(F.col("c_custkey").alias("k"), "c_acctbal").crossJoin(total).select("k", "n", (out * F.cos(turn)).alias("x"), (out * F.sin(turn)).alias("y"))  # one row
-    after = corners.select(F.when(F.col("k") == 1, F.col("n")).otherwise(F.col("k") - 1).alias("k"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    after = corners.select(F.pmod(F.col("k") - 1, F.col("n")).alias("k"), F.col("x").alias("bx"), F.col("y").alias("by"))
     return corners.join(after, "k").select(F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
 
 

@@ -7,6 +7,8 @@ depends on, the header above it, is carried from chunk to chunk of lines.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -290,11 +292,13 @@ def output_steps(spark: SparkSession, path: str, solver: str) -> DataFrame:
 
 
 def file_for_step(outputs: DataFrame, timestep: int) -> str:
-    """The output file of a timestep, of ``path, timestep``: the first of several by name; DumpError if there is none."""
-    found = outputs.where(F.col("timestep") == timestep).agg(F.min("path").alias("path")).first().path
-    if found is None:
+    """The output file of a timestep, of ``path, timestep``: the first of several by name, with a warning; DumpError if there is none."""
+    found = outputs.where(F.col("timestep") == timestep).agg(F.min("path").alias("path"), F.count("*").alias("n")).first()
+    if not found.n:
         raise DumpError(f"no output for timestep {timestep}")
-    return found
+    if found.n > 1:
+        warnings.warn(f"{found.n} outputs for timestep {timestep}; {found.path} is taken", stacklevel=2)
+    return found.path
 
 
 def boxes_to_points(boxes: DataFrame, key: str = "id", flat: bool = False) -> tuple[DataFrame, DataFrame]:
