@@ -98,6 +98,32 @@ def shell_depth(voxels: DataFrame, axes: tuple[str, ...], reach: int) -> DataFra
     return both.withColumn("depth", F.when(F.col("solid"), F.coalesce("steps", F.lit(reach))).otherwise(-F.col("steps"))).drop("steps")
 
 
+def solid_depth(voxels: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """``(*axes, depth)`` of the voxels, however deep: as ``depth``, but without a box around them.
+
+    The void nearest to a position in a line ends the run of voxels it is in, and
+    no way along the line past that void is shorter. So each axis takes running
+    minima within runs of voxels, whose ends are one step from a void.
+    """
+    out = voxels.select(*axes).distinct().withColumn("void_at", F.lit(FAR))
+    for a in axes:
+        line = Window.partitionBy(*(x for x in axes if x != a)).orderBy(a)
+        out = out.withColumn("run", F.col(a) - F.row_number().over(line))
+        run = Window.partitionBy(*(x for x in axes if x != a), "run").orderBy(a)
+        up, down = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(0, Window.unboundedFollowing)
+        below = F.least(F.min(F.col("void_at") - F.col(a)).over(up), F.min(a).over(up) * -1 + 1) + F.col(a)
+        above = F.least(F.min(F.col("void_at") + F.col(a)).over(down), F.max(a).over(down) + 1) - F.col(a)
+        out = out.withColumn("void_at", F.least(below, above)).drop("run")
+    return out.select(*axes, (F.col("void_at") - 1).cast("int").alias("depth"))
+
+
+def whole_depth(voxels: DataFrame, axes: tuple[str, ...], reach: int) -> DataFrame:
+    """``(*axes, solid, depth)`` of the same positions as ``shell_depth``, the voxels' depths however deep they are."""
+    deep = solid_depth(voxels, axes).withColumn("solid", F.lit(True))
+    void = near_surface(voxels, axes, reach).join(voxels.select(*axes), list(axes), "left_anti")
+    return deep.select(*axes, "solid", "depth").unionByName(void.select(*axes, F.lit(False).alias("solid"), (-F.col("steps")).alias("depth")))
+
+
 def weight(spec: GridSpec, depth_: Column | None = None) -> Column:
     """A voxel's weight from its depth; 1 or 0 for solid or void in an unweighted grid."""
     d = F.col("depth") if depth_ is None else depth_

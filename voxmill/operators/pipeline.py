@@ -39,7 +39,7 @@ class SurfaceMapper:
         axes = self.spec.voxel_axes
         if not self.spec.weighted:
             return voxels.select(*axes).distinct().withColumn("weight", F.lit(1.0))
-        return lattice.shell_depth(voxels, axes, self.spec.reach).withColumn("weight", lattice.weight(self.spec))
+        return lattice.whole_depth(voxels, axes, self.spec.reach).withColumn("weight", lattice.weight(self.spec))
 
     def elements(self, fractions: DataFrame) -> DataFrame:
         """Segments or triangles, numbered and checkpointed: the jobs that make them run here."""
