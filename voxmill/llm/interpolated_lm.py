@@ -32,6 +32,8 @@ END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x2545F4914F6CDD1D)
 #: One training document in DELETED gives held-out counts.
 DELETED = 8
 BUCKETS = 64
+#: Rows of packed blocks are compressed already: Parquet need not try again, nor look for equal ones.
+PLAIN = {"compression": "none", "parquet.enable.dictionary": "false"}
 #: Entries that are worked on at once.
 TOKENS = 1 << 18
 ROW = "block long, bucket long, n long, hash binary, train binary, deleted binary, held binary"
@@ -316,7 +318,8 @@ def score_documents(docs: DataFrame, held_out, order: int = 3, block_bytes: int
     flagged = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))).withColumn("deleted", ~F.col("held_out") & (F.floor(own / 7) % DELETED == 0))
     flagged = flagged.select(*(F.col(c).alias(f"x{i}") for i, c in enumerate(extra)), "held_out", "deleted", "text")
     kept = [f"x{i}" for i in range(len(extra))]
-    blocks = shared.written_by(flagged.mapInArrow(_pack(kept, block_bytes), BLOCK), "blocks", "block", shared.block_buckets(total, block_bytes))
+    with shared.batches_of(docs.sparkSession, block_bytes):
+        blocks = shared.written_by(flagged.mapInArrow(_pack(kept, block_bytes), BLOCK), "blocks", "block", shared.block_buckets(total, block_bytes), **PLAIN)
     told = []
     for k in range(1, order + 1):
         dealt = blocks.groupBy("block")
@@ -328,6 +331,7 @@ def score_documents(docs: DataFrame, held_out, order: int = 3, block_bytes: int
     shared.drop_written(blocks, *told)
     n = counted.agg(*(F.sum(c).alias(c) for c in ("types", "learned", "learned_docs", "rest_tokens", "rest_docs"))).first()
     types, tokens, some = int(n.types or 0), int(n.learned or 0), int(n.learned_docs or 0)
-    weights = learn_weights(counted, order, types, int(n.rest_tokens or 0), int(n.rest_docs or 0))
+    with shared.batches_of(docs.sparkSession, block_bytes):
+        weights = learn_weights(counted, order, types, int(n.rest_tokens or 0), int(n.rest_docs or 0))
     schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in extra), *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")])
     return counted.select("size", "held_out", "n_docs", "n_tokens", "rest", *(f"all{k + 1}" for k in range(order))).mapInArrow(_score(extra, weights, types, tokens, some), schema)

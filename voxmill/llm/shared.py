@@ -13,6 +13,7 @@ inputs, as far as executor memory allows.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
@@ -58,13 +59,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like ``written``, as a bucketed table: joins and groups by ``key`` read it where it lies, without a shuffle. Spark limits the number of buckets; they then hold more."""
+#: Spark's setting for the bytes of one Arrow batch; by default 64 MB, or 10,000 rows if these are smaller.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, most: int):
+    """Jobs that run in here hand their rows to Python in Arrow batches of about ``most`` bytes, or one larger row."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def written_by(df: DataFrame, name: str, key: str, buckets: int, **options: str) -> DataFrame:
+    """Like ``written``, as a bucketed table: joins and groups by ``key`` read it where it lies, without a shuffle. Spark limits the number of buckets; they then hold more. ``options`` are the writer's."""
     spark = df.sparkSession
     buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
-    df.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    df.write.format("parquet").options(path=path, **options).bucketBy(buckets, key).saveAsTable(table)
     out = spark.table(table)
     out.__dict__.update(written_to=path, written_as=table)
     return out
