@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from voxmill.operators import mesh
 
@@ -46,3 +47,36 @@ def test_very_many_in_one_place(spark):
     for n, p in enumerate(far[100_000:]):
         touches = (((balls - p) ** 2).sum(1) <= 1).any()
         assert (got[100_000 + n] == 0) == (touches or any(want[n] == want[m] and (((balls - q) ** 2).sum(1) <= 1).any() for m, q in enumerate(far[100_000:])))
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark):
+    """A join's estimated size is the product of its sides'; carried from round to round it filled the driver's memory."""
+    nodes = spark.range(1500).select(F.col("id").alias("node"))
+    edges = nodes.where("node > 0").select(F.col("node").alias("a"), (F.col("node") - 1).alias("b"))
+    roots = mesh.components(nodes, edges)
+    assert roots.where("root = 0").count() == 1500
+    draw = np.random.default_rng(3)
+    points = np.round(draw.uniform(-1000, 10000, (1500, 1)), 2) / 1000
+    table = spark.createDataFrame(pd.DataFrame({"vid": np.arange(len(points)), "x": points[:, 0]}))
+    near = mesh.near_groups(table, 0.01, ("x",))
+    assert {r.node: r.root for r in near.collect()} == plain(points, 0.01)
+    for made in (roots, near):
+        assert made._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+
+
+@pytest.mark.parametrize("axes", [("x",), ("x", "y", "z")])
+def test_dense_cells_at_the_radius(spark, axes):
+    """Clouds of many points whose distance is the radius, more or less, so that cells are halved before points are compared."""
+    draw = np.random.default_rng(7)
+    cloud = draw.uniform(0, 0.05, (400, len(axes)))
+    step = np.zeros(len(axes))
+    points = []
+    for n, gap in enumerate((1.0 - 1e-9, 1.0 + 1e-9, 0.999, 1.0)):
+        ends = cloud.copy()
+        ends[0], ends[1] = 0.025, 0.025
+        ends[0][0], ends[1][0] = 0.0, 0.05
+        points.append(ends + step)
+        step = step + 0
+        step[0] += 0.05 + gap
+    points = np.vstack(points)
+    assert groups(spark, points, 1.0, axes) == plain(points, 1.0)

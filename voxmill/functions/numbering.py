@@ -21,6 +21,18 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` without the size that Spark has estimated for it, for tables that a loop makes from themselves.
+
+    A join's estimate is the product of its sides', and a checkpoint keeps it: in a
+    loop its digits multiply in each round, to hundreds of megabytes on the driver.
+    What is joined how is then decided by what has been shuffled.
+    """
+    ensure_checkpoints(df.sparkSession)
+    held, spark = df.checkpoint()._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
+
+
 def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
     """``df`` with ``name``: 0, 1, ... in the order of columns whose values together are unique.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import norm, minus, triangle_area, vector
-from ..functions.numbering import ensure_checkpoints, numbered
+from ..functions.numbering import checkpointed, ensure_checkpoints, numbered
 from ..spec import GridError
 
 
@@ -28,13 +28,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the longest path. Needs ``spark.checkpoint.dir`` on a cluster.
     """
     ensure_checkpoints(nodes.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
-    label = nodes.select("node", F.col("node").alias("root")).distinct().checkpoint()
+    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    label = checkpointed(nodes.select("node", F.col("node").alias("root")).distinct())
     while True:
         low = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         hooked = label.join(low, "node", "left").select("node", "root", F.least("root", F.coalesce("low", "root")).alias("next"))
         jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
-        new = hooked.join(jump, "next", "left").select("node", F.coalesce("beyond", "next").alias("root"), (F.coalesce("beyond", "next") != F.col("root")).alias("moved")).checkpoint()
+        new = checkpointed(hooked.join(jump, "next", "left").select("node", F.coalesce("beyond", "next").alias("root"), (F.coalesce("beyond", "next") != F.col("root")).alias("moved")))
         if new.where("moved").isEmpty():
             return new.select("node", "root")
         label = new.select("node", "root")
@@ -54,41 +54,73 @@ def _apart(dims: int) -> tuple[Column, Column]:
     return sum((x * x for x in near[1:]), near[0] * near[0]), sum((x * x for x in far[1:]), far[0] * far[0])
 
 
+def _linked(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after ``links`` (a, b: nodes that are roots) have joined groups; checkpointed where there are any."""
+    links = checkpointed(links.distinct())
+    if links.isEmpty():
+        return roots
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    new = components(ends, links).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return checkpointed(roots.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` with a and b as the groups they are in now; pairs within a group go."""
+    for x in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_")), x).drop(x).withColumnRenamed(f"{x}_", x)
+    return checkpointed(pairs.where("a <> b"))
+
+
+#: Two cells are asked point by point if that compares each of their points with so many others at most, in the mean.
+FEW = 64
+
+
 def near_groups(vertices: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """``(node, root)``: for each vertex the smallest one that steps of at most ``radius`` reach, however many lie in one place.
 
     Cells are so small that the points of one are all near each other, so a cell is
     one node. Whether two cells hold near points is asked of the boxes of their
     points: near if even the farthest corners are, apart if even the nearest are not.
-    What is between is asked again of the halves of both cells, only for
-    cells that no halves have joined yet; boxes end as points, so this ends exact.
+    What is between matters only for cells that are not in one group yet. Where
+    the cells have few points these are compared, else the halves of both cells
+    are asked again; boxes end as points, so this ends exact. Groups are joined as
+    links are found, so what a round plans and holds doesn't grow with the rounds.
     """
     ensure_checkpoints(vertices.sparkSession)
     dims, side = len(axes), radius / len(axes) ** 0.5 * (1 - 1e-12)
     points = vertices.select("vid", *((F.col(x) + F.lit(0.0)).alias(x) for x in axes))
-    boxes = _boxes(points, axes, side).checkpoint()
+    boxes = checkpointed(_boxes(points, axes, side))
     steps = [o for o in ([n // 5**a % 5 - 2 for a in range(dims)] for n in range(5**dims)) if o[::-1] > [0] * dims]
     around = boxes.withColumn("o", F.explode(F.array(*(F.array(*(F.lit(x) for x in o)) for o in steps))))
     around = around.select(F.col("vid").alias("a"), "cell", "lo", "hi", F.zip_with("cell", "o", lambda c, o: c + o).alias("cell_"))
     other = boxes.select(F.col("vid").alias("b"), F.col("cell").alias("cell_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
-    asked, links = around.join(other, "cell_"), None
+    asked, roots = around.join(other, "cell_"), boxes.select(F.col("vid").alias("node"), F.col("vid").alias("root"))
     near, far = _apart(dims)
     while True:
-        known = asked.withColumns({"near": near, "far": far}).where(F.col("near") <= radius * radius).select("a", "b", "cell", "cell_", (F.col("far") <= radius * radius).alias("sure")).checkpoint()
-        found = known.where("sure").select("a", "b").distinct()
-        links = found if links is None else links.unionByName(found)
-        open_ = known.where("not sure").join(found, ["a", "b"], "left_anti")
+        known = checkpointed(asked.withColumns({"near": near, "far": far}).where(F.col("near") <= radius * radius).select("a", "b", "cell", "cell_", (F.col("far") <= radius * radius).alias("sure")))
+        roots = _linked(roots, known.where("sure").select("a", "b"))
+        open_ = _between(known.where("not sure").drop("sure"), roots)
+        if open_.isEmpty():
+            break
+        place = points.withColumn("cell", F.array(*(F.floor(F.col(x) / side).cast("long") for x in axes)))
+        wanted = open_.select("cell").unionByName(open_.select(F.col("cell_").alias("cell"))).distinct()
+        inside = checkpointed(place.join(wanted, "cell", "left_semi").select("cell", F.array(*axes).alias("lo")).distinct())
+        sizes = inside.groupBy("cell").agg(F.count("*").alias("n"))
+        open_ = checkpointed(open_.join(sizes, "cell").join(sizes.select(F.col("cell").alias("cell_"), F.col("n").alias("n_")), "cell_").withColumn("few", F.col("n") * F.col("n_") <= FEW * (F.col("n") + F.col("n_"))).drop("n", "n_"))
+        mine = inside.withColumn("hi", F.col("lo"))
+        theirs = mine.select(*(F.col(x).alias(f"{x}_") for x in mine.columns))
+        links = open_.where("few").join(mine, "cell").join(theirs, "cell_").where(near <= radius * radius)
+        roots = _linked(roots, links.select("a", "b"))
+        open_ = _between(open_.where("not few").drop("few"), roots)
         if open_.isEmpty():
             break
         side /= 2
         wanted = open_.select("cell").unionByName(open_.select(F.col("cell_").alias("cell"))).distinct()
-        parent = F.array(*(F.floor(F.col(x) / (2 * side)).cast("long") for x in axes))
-        halves = _boxes(points.withColumn("parent", parent).join(wanted.withColumnRenamed("cell", "parent"), "parent", "left_semi"), axes, side)
-        halves = halves.withColumn("parent", F.transform("cell", lambda c: F.floor(c / 2))).checkpoint()
+        halves = _boxes(place.withColumnRenamed("cell", "parent").join(wanted.withColumnRenamed("cell", "parent"), "parent", "left_semi"), axes, side)
+        halves = checkpointed(halves.withColumn("parent", F.transform("cell", lambda c: F.floor(c / 2))))
         mine = halves.select(F.col("parent").alias("cell"), F.col("cell").alias("half"), "lo", "hi")
         theirs = halves.select(F.col("parent").alias("cell_"), F.col("cell").alias("half_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
         asked = open_.join(mine, "cell").join(theirs, "cell_").select("a", "b", F.col("half").alias("cell"), "lo", "hi", F.col("half_").alias("cell_"), "lo_", "hi_")
-    roots = components(boxes.select(F.col("vid").alias("node")), links)
     homes = boxes.join(roots.select(F.col("node").alias("vid"), "root"), "vid").select("cell", "root")
     cell = F.array(*(F.floor(F.col(x) / (radius / dims**0.5 * (1 - 1e-12))).cast("long") for x in axes))
     return points.select(F.col("vid").alias("node"), cell.alias("cell")).join(homes, "cell").select("node", "root")
