@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxmill.functions import numbering
 from voxmill.functions.numbering import accumulated, quantiles
 from voxmill.operators import lattice, mesh
 from voxmill.operators.pipeline import SurfaceMapper
@@ -40,6 +41,35 @@ def test_chain_of_thin_faces(spark):
     assert mesh.thin_faces(vertices, spark.createDataFrame(made, FACES)).count() == 0
 
 
+def flat_mesh(spark):
+    """Random faces on a lattice of points, so that many are thin and share sides."""
+    draw = random.Random(5)
+    vertices = spark.createDataFrame([(v, float(v % 5), float(v // 5), 0.0) for v in range(40)], VERTICES)
+    return vertices, mesh.distinct_corners(spark.createDataFrame([(3 * n, *(draw.randrange(41) for _ in "abc")) for n in range(1500)], FACES))
+
+
+def test_large_meshes_are_repaired_as_small_ones(spark, monkeypatch):
+    """Tables that are not broadcast give the same faces."""
+    vertices, faces = flat_mesh(spark)
+    small = sorted(mesh.repair_thin(vertices, faces).collect())
+    monkeypatch.setattr(numbering, "AT_HAND", 0)
+    assert mesh.thin_faces(vertices, faces).count() > 50 and sorted(mesh.repair_thin(vertices, faces).collect()) == small
+
+
+def test_thin_faces_are_found_once_by_compiled_code(spark):
+    """Java doesn't compile methods of 8000 bytes; and the result's plan has neither the vertices nor the search for thin faces."""
+    vertices, faces = flat_mesh(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = mesh.thin_faces(vertices, faces)._jdf.queryExecution().debug().codegenToSeq()
+        assert max(made.apply(n)._3().maxMethodCodeSize() for n in range(made.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    plan = mesh.repair_thin(vertices, faces)._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" not in plan and plan.count("Join ") <= 3
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_random_slivers(spark, seed):
     """A closed box whose sides are split at points on edges and next to them, again and again."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the checkpoint folder: made once, where a checkpoint makes it twice, compressed, and of known size."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: So many rows of a few numbers at most are sent to all tasks (some 60 bytes each, so tens of MB).
+AT_HAND = 1_000_000
+
+
+def at_hand(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast in joins if it has at most AT_HAND rows; larger ones are left to a shuffle. Runs a count."""
+    return F.broadcast(df) if df.count() <= AT_HAND else df
+
+
 def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
     """``df`` with ``name``: 0, 1, ... in the order of columns whose values together are unique.
 

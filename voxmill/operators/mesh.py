@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import norm, minus, triangle_area, vector
-from ..functions.numbering import checkpointed, ensure_checkpoints, numbered
+from ..functions.geometry import cross, minus, norm, triangle_area, vector
+from ..functions.numbering import at_hand, checkpointed, ensure_checkpoints, numbered, written
 from ..spec import GridError
 
 
@@ -177,14 +177,34 @@ def with_corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return faces
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, each computed once a row: a filter on them isn't moved below and doesn't repeat them."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def thin_faces(vertices: DataFrame, faces: DataFrame, least: float = 1e-8) -> DataFrame:
-    """Faces of an area below ``least`` times the square of their longest side: a measure free of scale."""
-    rows = with_corners(vertices, faces)
-    p = [vector(f"p{c}.x", f"p{c}.y", f"p{c}.z") for c in "abc"]
-    sides = [norm(minus(p[(n + 1) % 3], p[n])) for n in range(3)]
-    long_ = F.greatest(*sides)
-    ends = F.when(sides[0] == long_, F.array("a", "b")).when(sides[1] == long_, F.array("b", "c")).otherwise(F.array("c", "a"))
-    return rows.where(triangle_area(*p) < least * long_ * long_).select("elem_id", "a", "b", "c", F.array_sort(ends).alias("long_edge"))
+    """Faces of an area below ``least`` times the square of their longest side: a measure free of scale.
+
+    In one expression this is a method too large for Java to compile, so it goes in steps.
+    """
+    rows = with_corners(at_hand(vertices), faces.select("elem_id", "a", "b", "c"))
+    p = {c: vector(f"p{c}.x", f"p{c}.y", f"p{c}.z") for c in "abc"}
+    steps = {"ab": minus(p["b"], p["a"]), "bc": minus(p["c"], p["b"]), "ac": minus(p["c"], p["a"])}
+    rows = _once(rows.select("elem_id", "a", "b", "c", "pa", "pb", "pc"), **{f"{s}{x}": d for s, v in steps.items() for x, d in zip("xyz", v, strict=True)})
+    ab, bc, ac = (vector(f"{s}x", f"{s}y", f"{s}z") for s in steps)
+    rows = _once(rows.select("elem_id", "a", "b", "c", *(f"{s}{x}" for s in steps for x in "xyz")), ab=norm(ab), bc=norm(bc), ca=norm(ac), area=norm(cross(ab, ac)) / 2)
+    long_ = F.greatest("ab", "bc", "ca")
+    ends = F.when(F.col("ab") == long_, F.array("a", "b")).when(F.col("bc") == long_, F.array("b", "c")).otherwise(F.array("c", "a"))
+    return rows.where(F.col("area") < least * long_ * long_).select("elem_id", "a", "b", "c", F.array_sort(ends).alias("long_edge"))
+
+
+def _met(faces: DataFrame, edges: DataFrame) -> DataFrame:
+    """``_sides`` of ``faces`` whose ends are among ``edges`` (long_edge): by their hashes first, so that if edges are few no other side is moved."""
+    ends = lambda p, q: F.xxhash64(F.least(p, q).cast("long"), F.greatest(p, q).cast("long")).alias("hash")
+    side = F.explode(F.array(*(F.struct(*(F.col(n).alias(m) for n, m in zip(t, "pqr", strict=True))) for t in ("abc", "bca", "cab")))).alias("s")
+    sides = faces.select("elem_id", side).select("elem_id", "s.*").withColumn("hash", ends(F.col("p"), F.col("q")))
+    wanted = at_hand(edges.select(ends(*(F.col("long_edge")[n] for n in (0, 1)))).distinct())
+    return sides.join(wanted, "hash", "left_semi").select("elem_id", "p", "q", "r", F.array_sort(F.array("p", "q")).alias("long_edge"))
 
 
 def repair_thin(vertices: DataFrame, faces: DataFrame, least: float = 1e-8) -> DataFrame:
@@ -193,18 +213,22 @@ def repair_thin(vertices: DataFrame, faces: DataFrame, least: float = 1e-8) -> D
 
     A whole face that two thin ones would split is split at the first of them
     (smallest elem_id); run again while thin faces are left. New faces take the
-    split face's elem_id and the next free ones.
+    split face's elem_id and the next free ones. The faces, the thin and the
+    split ones are written to the checkpoint folder, so each is made once.
     """
-    thin = thin_faces(vertices, faces, least)
+    faces = written(faces.select("elem_id", "a", "b", "c"), "faces")
+    thin = written(thin_faces(vertices, faces, least), "thin")
     alone = thin.groupBy("long_edge").agg(F.count("*").alias("n"), F.min("elem_id").alias("elem_id")).where("n % 2 = 1").select("elem_id")
     splitting = thin.join(alone, "elem_id").select(F.col("elem_id").alias("thin"), "long_edge", F.element_at(F.array_except(F.array("a", "b", "c"), "long_edge"), 1).alias("tip"))
-    whole = faces.join(thin.select("elem_id"), "elem_id", "left_anti")
-    sides = whole.select("elem_id", F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q"), F.col("c").alias("r")), F.struct(F.col("b").alias("p"), F.col("c").alias("q"), F.col("a").alias("r")), F.struct(F.col("c").alias("p"), F.col("a").alias("q"), F.col("b").alias("r")))).alias("s")).select("elem_id", "s.*", F.array_sort(F.array("s.p", "s.q")).alias("long_edge"))
+    splitting = written(splitting, "splitting")
+    sides = _met(faces, splitting).join(thin.select("elem_id"), "elem_id", "left_anti")
     first = sides.join(splitting, "long_edge").groupBy("thin").agg(F.min(F.struct("elem_id", "p", "q", "r", "tip")).alias("m")).groupBy("m.elem_id").agg(F.min(F.struct("thin", "m")).alias("s")).select("s.m.*")
+    first = written(first, "split")
     halves = first.select("elem_id", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("p").alias("a"), F.col("tip").alias("b"), F.col("r").alias("c")), F.struct(F.lit(1).alias("half"), F.col("tip").alias("a"), F.col("q").alias("b"), F.col("r").alias("c")))).alias("h")).select("elem_id", "h.*")
     last = faces.agg(F.coalesce(F.max("elem_id"), F.lit(-1)).alias("last"))
     extra = numbered(halves.where("half = 1"), ["elem_id"], "nth").crossJoin(last).select((F.col("last") + 1 + F.col("nth")).alias("elem_id"), "a", "b", "c")  # one row
-    kept = whole.join(first.select("elem_id"), "elem_id", "left_anti").select("elem_id", "a", "b", "c")
+    gone = at_hand(thin.select("elem_id").unionByName(first.select("elem_id")))
+    kept = faces.join(gone, "elem_id", "left_anti").select("elem_id", "a", "b", "c")
     return kept.unionByName(halves.where("half = 0").select("elem_id", "a", "b", "c")).unionByName(extra)
 
 
